@@ -1,32 +1,22 @@
-"""Floating-point helpers that keep IEEE results where ANSI SQL would raise."""
+"""Floating-point expressions that keep IEEE results where ANSI SQL would raise."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def ieee_divide(numerator: Column, denominator: Column) -> Column:
+def ieee_divide(numerator: str, denominator: str) -> str:
     """``x/0`` is signed infinity, ``0/0`` is NaN, null stays null."""
-    a, b = numerator.cast("double"), denominator.cast("double")
-    by_zero = (
-        F.when((a == 0) | F.isnan(a), F.lit(float("nan")))
-        .when(a > 0, F.lit(float("inf")))
-        .when(a < 0, F.lit(float("-inf")))
-    )
-    return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
+    a, b = f"CAST({numerator} AS double)", f"CAST({denominator} AS double)"
+    return f"""CASE WHEN {b} = 0 THEN
+        CASE WHEN {a} = 0 OR isnan({a}) THEN double('NaN') WHEN {a} > 0 THEN double('Infinity')
+             WHEN {a} < 0 THEN double('-Infinity') END
+        ELSE {a} / nullif({b}, 0D) END"""
 
 
-def min_number(value: Column) -> Column:
+def min_number(value: str) -> str:
     """Minimum that ignores NaN unless there is nothing else."""
-    return F.coalesce(F.min(F.when(~F.isnan(value), value)), F.min(value))
+    return f"coalesce(min({value}) FILTER (WHERE NOT isnan({value})), min({value}))"
 
 
-def max_number(value: Column) -> Column:
+def max_number(value: str) -> str:
     """Maximum that ignores NaN unless there is nothing else."""
-    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))
-
-
-def total(value: Column) -> Column:
-    """Sum that is 0, not null, when there is nothing to add."""
-    return F.coalesce(F.sum(value), F.lit(0))
+    return f"coalesce(max({value}) FILTER (WHERE NOT isnan({value})), max({value}))"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The shapes of the accounting fields.
 JOB_ROOT = r"^(\d+)"
 JOB_SUFFIX = r"^\d+(\..+)"
@@ -19,102 +16,85 @@ RULE_ALONE = r"^rule_(.+)\z"
 
 # Bytes per unit. Terabytes are recognised as a unit but have no factor, so they give null.
 UNIT_BYTES = {"K": 2**10, "M": 2**20, "G": 2**30}
+GIGABYTE = 2**30
 
-KIND_RANK = {"allocation": 0, "batch": 1, "extern": 2, "step": 3, "unknown": 4}
+KINDS = ["allocation", "batch", "extern", "step", "unknown"]
 
 
-def matched(text: Column, pattern: str, group: int) -> Column:
+def matched(text: str, pattern: str, group: int) -> str:
     """The regex group, or null (not an empty string) when there is no match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return f"nullif(regexp_extract({text}, r'{pattern}', {group}), '')"
 
 
-def job_root(job_id: Column) -> Column:
+def job_root(job_id: str) -> str:
     return matched(job_id, JOB_ROOT, 1)
 
 
-def job_kind(job_id: Column) -> Column:
+def job_kind(job_id: str) -> str:
     """What a row of the dump describes, told by the suffix of its job id."""
     suffix = matched(job_id, JOB_SUFFIX, 1)
-    return (
-        F.when(suffix.isNull(), "allocation")
-        .when(suffix == ".batch", "batch")
-        .when(suffix == ".extern", "extern")
-        .when(suffix.rlike(STEP_SUFFIX), "step")
-        .otherwise("unknown")
-    )
+    return f"""CASE WHEN {suffix} IS NULL THEN 'allocation' WHEN {suffix} = '.batch' THEN 'batch'
+        WHEN {suffix} = '.extern' THEN 'extern' WHEN {suffix} RLIKE r'{STEP_SUFFIX}' THEN 'step' ELSE 'unknown' END"""
 
 
-def dump_order(job_id: Column, *leading: Column) -> Column:
+def dump_order(kind: str, job_id: str, *leading: str) -> str:
     """Sort key that puts the rows of a job in dump order: allocation, batch, extern, steps by number.
 
     ``leading`` columns (such as the day of the dump) come first.
     """
-    suffix = matched(job_id, JOB_SUFFIX, 1)
-    rank = F.lit(KIND_RANK["unknown"])
-    for kind, value in KIND_RANK.items():
-        rank = F.when(job_kind(job_id) == kind, value).otherwise(rank)
-    return F.struct(
-        *leading,
-        rank.alias("rank"),
-        F.substring(suffix, 2, 19).try_cast("long").alias("step"),
-        job_id.alias("id"),
-    )
-
-
-def size_digits(text: Column) -> Column:
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    step = f"try_cast(substring_index({job_id}, '.', -1) AS bigint)"
+    keys = [*leading, f"array_position(array({kinds}), {kind})", f"CASE WHEN {kind} = 'step' THEN {step} END", job_id]
+    return "struct(" + ", ".join(f"{key} AS k{i}" for i, key in enumerate(keys)) + ")"
+
+
+def size_digits(text: str) -> str:
     token = matched(text, SIZE, 0)
-    return F.left(token, F.length(token) - 1)
+    return f"left({token}, length({token}) - 1)"
 
 
-def size_unit(text: Column) -> Column:
-    return F.right(matched(text, SIZE, 0), F.lit(1))
+def size_unit(text: str) -> str:
+    return f"right({matched(text, SIZE, 0)}, 1)"
 
 
-def unit_bytes(digits: Column, unit: Column) -> Column:
-    factor = F.lit(None).cast("long")
-    for name, size in UNIT_BYTES.items():
-        factor = F.when(unit == name, F.lit(size).cast("long")).otherwise(factor)
-    return digits.cast("long") * factor
+def unit_bytes(digits: str, unit: str) -> str:
+    factors = " ".join(f"WHEN '{name}' THEN {size}L" for name, size in UNIT_BYTES.items())
+    return f"CAST({digits} AS bigint) * CASE {unit} {factors} END"
 
 
-def size_bytes(text: Column) -> Column:
+def size_bytes(text: str) -> str:
     """``12K``/``3M``/``2G`` in bytes; anything else is null."""
     return unit_bytes(size_digits(text), size_unit(text))
 
 
-def gigabytes(size: Column) -> Column:
-    return size / F.lit(float(2**30))
+def gigabytes(size: str) -> str:
+    return f"{size} / {GIGABYTE}D"
 
 
-def cpu_seconds(text: Column) -> Column:
+def cpu_seconds(text: str) -> str:
     """``D-HH:MM:SS``, ``HH:MM:SS`` or ``MM:SS.frac`` in whole seconds, 0 for any other text and for null."""
-    parts = F.split(text, "[-:.]")
 
-    def total(*seconds: int) -> Column:
-        terms = [F.get(parts, F.lit(i)).try_cast("long") * F.lit(size) for i, size in enumerate(seconds)]
-        return sum(terms[1:], terms[0])
+    def total(*seconds: int) -> str:
+        return " + ".join(f"{size}L * try_cast(get(split({text}, '[-:.]'), {i}) AS bigint)" for i, size in enumerate(seconds))
 
-    return (
-        F.when(text.rlike(CPU_DAYS), total(86400, 3600, 60, 1))
-        .when(text.rlike(CPU_HOURS), total(3600, 60, 1))
-        .when(text.rlike(CPU_MINUTES), total(60, 1))
-        .otherwise(F.lit(0).cast("long"))
-    )
+    return f"""CASE WHEN {text} RLIKE r'{CPU_DAYS}' THEN {total(86400, 3600, 60, 1)}
+        WHEN {text} RLIKE r'{CPU_HOURS}' THEN {total(3600, 60, 1)}
+        WHEN {text} RLIKE r'{CPU_MINUTES}' THEN {total(60, 1)} ELSE 0L END"""
 
 
-def rule_name(comment: Column) -> Column:
-    return F.coalesce(matched(comment, RULE_WITH_WILDCARDS, 1), matched(comment, RULE_ALONE, 1))
+def rule_name(comment: str) -> str:
+    return f"coalesce({matched(comment, RULE_WITH_WILDCARDS, 1)}, {matched(comment, RULE_ALONE, 1)})"
 
 
-def wildcards(comment: Column) -> Column:
+def wildcards(comment: str) -> str:
     return matched(comment, RULE_WITH_WILDCARDS, 2)
 
 
-def timestamp(text: Column) -> Column:
+def timestamp(text: str) -> str:
     """Local time without a zone; ``Unknown`` and every other text that is not a full timestamp is null."""
-    return F.when(text.rlike(TIMESTAMP), text.try_cast("timestamp_ntz"))
+    return f"CASE WHEN {text} RLIKE r'{TIMESTAMP}' THEN try_cast({text} AS timestamp_ntz) END"
 
 
-def seconds_between(start: Column, end: Column) -> Column:
+def seconds_between(start: str, end: str) -> str:
     # Subtracting zone-less timestamps never consults the session zone, unlike timestampdiff.
-    return (end - start).cast("interval second").cast("long")
+    return f"CAST(CAST({end} - {start} AS interval second) AS bigint)"

@@ -18,15 +18,12 @@ def _values_with_box(df: DataFrame, keys: list[str], value: str, method: str) ->
     A value is an outlier when it lies more than 1.5 interquartile ranges outside the box, and a suspected one
     when it lies more than 3 outside.
     """
-    freq = frequencies(df, keys, F.col(value))
-    q1, q3, v = F.col("q1"), F.col("q3"), F.col("value")
-    iqr = q3 - q1
-    return join_on(freq, quantiles_of_frequencies(freq, keys, QUARTILES, method), keys).withColumns(
-        {
-            "iqr": iqr,
-            "outlier": (v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr),
-            "suspected": (v < 4 * q1 - 3 * q3) | (v > 4 * q3 - 3 * q1),
-        }
+    freq = frequencies(df, keys, value)
+    boxes = quantiles_of_frequencies(freq, keys, QUARTILES, method).selectExpr("*", "q3 - q1 AS iqr")
+    return join_on(freq, boxes, keys).selectExpr(
+        "*",
+        "value < q1 - 1.5D * iqr OR value > q3 + 1.5D * iqr AS outlier",
+        "value < 4 * q1 - 3 * q3 OR value > 4 * q3 - 3 * q1 AS suspected",
     )
 
 
@@ -41,23 +38,13 @@ def box_statistics(df: DataFrame, keys: list[str], value: str, method: str = "ha
     Whiskers end at the furthest value that is no outlier, but never inside the box. ``hazen`` quartiles are the
     ones the reports draw, ``linear`` ones equal SQL ``percentile``.
     """
-    v, n = F.col("value"), F.col("n")
-    inside = F.when(~F.col("outlier"), v)
-
-    def counted(condition):
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-
-    return (
-        _values_with_box(df, keys, value, method)
-        .groupBy(*keys)
-        .agg(
-            *[F.max(c).alias(c) for c in ("count", "q1", "median", "q3", "iqr")],
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            F.least(F.max("q1"), F.min(inside)).alias("whisker_low"),
-            F.greatest(F.max("q3"), F.max(inside)).alias("whisker_high"),
-            counted(F.col("outlier")).alias("outliers"),
-            counted(F.col("outlier") & F.col("suspected")).alias("suspected_outliers"),
-        )
-        .select(*keys, *BOX)
-    )
+    aggregates = [f"max({c}) AS {c}" for c in ("count", "q1", "median", "q3", "iqr")] + [
+        "min(value) AS min",
+        "max(value) AS max",
+        "least(max(q1), min(value) FILTER (WHERE NOT outlier)) AS whisker_low",
+        "greatest(max(q3), max(value) FILTER (WHERE NOT outlier)) AS whisker_high",
+        "coalesce(sum(n) FILTER (WHERE outlier), 0L) AS outliers",
+        "coalesce(sum(n) FILTER (WHERE outlier AND suspected), 0L) AS suspected_outliers",
+    ]
+    values = _values_with_box(df, keys, value, method)
+    return values.groupBy(*keys).agg(*[F.expr(a) for a in aggregates]).select(*keys, *BOX)

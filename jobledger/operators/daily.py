@@ -7,68 +7,55 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobledger.functions.arithmetic import total
-from jobledger.functions.parsing import gigabytes, timestamp
+from jobledger.functions.parsing import gigabytes, seconds_between
 from jobledger.operators.joining import join_on
-from jobledger.operators.quantiles import quantiles_of_frequencies
-from jobledger.operators.timecols import add_daily_duration, add_job_duration, add_wait_time, as_date
+from jobledger.operators.per_job import with_expressions
+from jobledger.operators.quantiles import quantiles_of_frequencies, unpivoted_frequencies
+from jobledger.operators.timecols import END, START, SUBMIT, add_daily_duration, add_job_duration, add_wait_time, date_literal
 from jobledger.schema import DAILY_METRICS, DEFAULT_CAPACITY
 
 SCOPE = ["dt", "scope", "QOS"]
+TIMES = ["wait", "duration"]
+# Every per-QOS row counts once for its QOS and once for the whole cluster.
+BOTH_SCOPES = "inline(array(struct('qos' AS scope, QOS AS QOS), struct('global' AS scope, CAST(NULL AS string) AS QOS)))"
 
 
 def with_time_columns(jobs: DataFrame, day: str | dt.date) -> DataFrame:
-    """The job rows the report of one day is made from."""
+    """The job rows of one day with their hours on it, waiting time and duration."""
     return jobs.transform(add_daily_duration, day).transform(add_wait_time).transform(add_job_duration)
 
 
+def for_day(jobs: DataFrame, day: str | dt.date) -> DataFrame:
+    return with_expressions(jobs, {"dt": date_literal(day)})
+
+
 def job_facts(jobs: DataFrame) -> DataFrame:
     """The few numbers per job that the metrics need, from job rows with a ``dt`` date column."""
-    return (
-        jobs.transform(add_wait_time)
-        .transform(add_job_duration)
-        .select(
-            "dt",
-            "QOS",
-            "TotalCPU_seconds",
-            (gigabytes(F.col("MaxRSS")) * F.col("ElapsedRaw")).alias("gb_seconds"),
-            F.col("wait_time_seconds").alias("wait"),
-            F.col("job_duration_seconds").alias("duration"),
-            F.col("JobID").isNotNull().alias("counted"),
-            F.to_date(timestamp(F.col("Submit"))).alias("submitted"),
-            F.to_date(timestamp(F.col("Start"))).alias("started"),
-            F.to_date(timestamp(F.col("End"))).alias("ended"),
-            "State",
-        )
+    times = with_expressions(jobs, {"_submit": SUBMIT, "_start": START, "_end": END})
+    return times.selectExpr(
+        "dt",
+        "QOS",
+        "TotalCPU_seconds AS cpu_seconds",
+        f"{gigabytes('MaxRSS')} * ElapsedRaw AS gb_seconds",
+        f"{seconds_between('_submit', '_start')} AS wait",
+        f"{seconds_between('_start', '_end')} AS duration",
+        "JobID IS NOT NULL AS counted",
+        "to_date(_submit) = dt AS submitted",
+        "to_date(_start) = dt AS started",
+        "to_date(_end) = dt AS ended",
+        "State",
     )
 
 
 def _both_scopes(df: DataFrame) -> DataFrame:
-    """Every per-QOS row once for its QOS and once for the whole cluster."""
-    null_text = F.lit(None).cast("string")
-    scopes = F.array(
-        F.struct(F.lit("qos").alias("scope"), F.col("QOS").alias("QOS")),
-        F.struct(F.lit("global").alias("scope"), null_text.alias("QOS")),
-    )
-    rest = [c for c in df.columns if c not in SCOPE]
-    return df.select("dt", F.inline(scopes), *rest)
+    return df.selectExpr("dt", BOTH_SCOPES, *[c for c in df.columns if c not in SCOPE])
 
 
 def _medians(facts: DataFrame) -> DataFrame:
-    keys = [*SCOPE, "measure"]
-    measures = (
-        facts.select(
-            "dt", "QOS", F.stack(F.lit(2), F.lit("wait"), F.col("wait"), F.lit("duration"), F.col("duration")).alias("measure", "value")
-        )
-        .where("value is not null")
-        .withColumn("value", F.col("value").cast("double"))
-        .groupBy("dt", "QOS", "measure", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    scoped = _both_scopes(measures).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    medians = quantiles_of_frequencies(scoped, keys, {"median": 0.5})
+    freq = _both_scopes(unpivoted_frequencies(facts, ["dt", "QOS"], TIMES))
+    medians = quantiles_of_frequencies(freq, [*SCOPE, "measure"], {"median": 0.5})
     return medians.groupBy(*SCOPE).agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median") for m in ("wait", "duration")]
+        *[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in TIMES]
     )
 
 
@@ -76,58 +63,45 @@ def metrics_of_facts(facts: DataFrame, capacity: dict | None = None) -> DataFram
     """All metrics for all days in ``facts``: (``dt``, ``scope``, ``QOS``, 19 metrics, ``jobs_ended_on_day``).
 
     ``facts`` is read twice (totals and medians), so pass a persisted or stored frame. Totals are aggregated per QOS
-    and the cluster line is added up from those, so no row is expanded before the first aggregation.
+    and the cluster line is added up from those, so no job row is expanded before the first aggregation.
 
     ``jobs_ended`` counts jobs that *started* on the day, like ``jobs_started``; this is the reported metric.
     ``jobs_ended_on_day`` counts the jobs whose end falls on the day.
     """
     capacity = {**DEFAULT_CAPACITY, **(capacity or {})}
-
-    def counted(condition):
-        return F.count_if(F.col("counted") & condition)
-
-    # Sums stay null here when all values are, so that the second aggregation sees the same nulls.
-    per_qos = facts.groupBy("dt", "QOS").agg(
-        F.sum("TotalCPU_seconds").alias("cpu_seconds"),
-        F.sum("gb_seconds").alias("gb_seconds"),
-        *[
-            aggregate(m).alias(f"{m}_{name}")
-            for m in ("wait", "duration")
-            for name, aggregate in (("sum", F.sum), ("count", F.count), ("min", F.min), ("max", F.max))
-        ],
-        counted(F.col("submitted") == F.col("dt")).alias("jobs_submitted"),
-        counted(F.col("started") == F.col("dt")).alias("jobs_started"),
-        counted(F.col("ended") == F.col("dt")).alias("jobs_ended_on_day"),
-        *[counted(F.col("State") == s).alias(f"jobs_{s.lower()}") for s in ("COMPLETED", "FAILED", "PREEMPTED")],
-    )
-    combine = {"min": F.min, "max": F.max}
-    scoped = _both_scopes(per_qos)
-    totals = scoped.groupBy(*SCOPE).agg(
-        *[combine.get(c.rsplit("_", 1)[-1], total)(F.col(c)).alias(c) for c in scoped.columns if c not in SCOPE]
-    )
-    cpu, gb = F.col("cpu_seconds"), F.col("gb_seconds")
-    complete = totals.withColumns(
-        {
-            "cpu_hours": cpu / 3600,
-            "cpu_usage_percent": cpu / F.lit(float(capacity["cpu_seconds"])) * 100,
-            "ram_usage_percent": gb / F.lit(float(capacity["gb_seconds"])) * 100,
-            "wait_mean": F.col("wait_sum") / F.nullif(F.col("wait_count"), F.lit(0)),
-            "duration_mean": F.col("duration_sum") / F.nullif(F.col("duration_count"), F.lit(0)),
-            "jobs_ended": F.col("jobs_started"),
-        }
-    )
-    return join_on(complete, _medians(facts), SCOPE, "left").select(*SCOPE, *DAILY_METRICS, "jobs_ended_on_day")
+    counts = {
+        "jobs_submitted": "submitted",
+        "jobs_started": "started",
+        "jobs_ended_on_day": "ended",
+        "jobs_completed": "State = 'COMPLETED'",
+        "jobs_failed": "State = 'FAILED'",
+        "jobs_preempted": "State = 'PREEMPTED'",
+    }
+    # Column -> (aggregate over jobs, aggregate over the QOS lines).
+    steps = {name: (f"sum({name})", f"coalesce(sum({name}), 0)") for name in ("cpu_seconds", "gb_seconds")}
+    steps |= {name: (f"count_if(counted AND {condition})", f"sum({name})") for name, condition in counts.items()}
+    for m in TIMES:
+        steps |= {f"{m}_sum": (f"sum({m})", f"sum({m}_sum)"), f"{m}_count": (f"count({m})", f"sum({m}_count)")}
+        steps |= {f"{m}_{f}": (f"{f}({m})", f"{f}({m}_{f})") for f in ("min", "max")}
+    per_qos = facts.groupBy("dt", "QOS").agg(*[F.expr(f"{job} AS {name}") for name, (job, _) in steps.items()])
+    totals = _both_scopes(per_qos).groupBy(*SCOPE).agg(*[F.expr(f"{line} AS {name}") for name, (_, line) in steps.items()])
+    derived = {
+        "cpu_hours": "cpu_seconds / 3600",
+        "cpu_usage_percent": f"cpu_seconds / {float(capacity['cpu_seconds'])}D * 100",
+        "ram_usage_percent": f"gb_seconds / {float(capacity['gb_seconds'])}D * 100",
+        "wait_mean": "wait_sum / nullif(wait_count, 0)",
+        "duration_mean": "duration_sum / nullif(duration_count, 0)",
+        "jobs_ended": "jobs_started",
+    }
+    complete = join_on(with_expressions(totals, derived), _medians(facts), SCOPE, "left")
+    return complete.select(*SCOPE, *DAILY_METRICS, "jobs_ended_on_day")
 
 
 def merged_scopes(metrics: DataFrame) -> DataFrame:
     """One entry per day and name: the QOS names and ``global``, which wins over a QOS of that name."""
-    name = F.when(F.col("scope") == "global", "global").otherwise(F.coalesce("QOS", F.lit("null")))
     # A null QOS is written as "null"; a QOS really called that takes precedence over it.
-    rank = F.when(F.col("scope") == "global", 2).when(F.col("QOS").isNotNull(), 1).otherwise(0)
+    name = "CASE WHEN scope = 'global' THEN 'global' ELSE coalesce(QOS, 'null') END AS name"
+    rank = "CASE WHEN scope = 'global' THEN 2 WHEN QOS IS NOT NULL THEN 1 ELSE 0 END AS rank"
     columns = [c for c in metrics.columns if c not in SCOPE]
-    best = metrics.groupBy("dt", name.alias("name")).agg(F.max_by(F.struct(*columns), rank).alias("m"))
-    return best.select("dt", "name", "m.*")
-
-
-def for_day(jobs: DataFrame, day: str | dt.date) -> DataFrame:
-    return jobs.withColumn("dt", F.lit(as_date(day)))
+    named = metrics.selectExpr("dt", name, rank, f"struct({', '.join(columns)}) AS m")
+    return named.groupBy("dt", "name").agg(F.max_by("m", "rank").alias("m")).select("dt", "name", "m.*")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     No broadcast hint: the static threshold and AQE broadcast a side when its measured size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge, with skewed partitions split.
     """
-    renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
-    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.expr(" AND ".join(f"{k} <=> _right_{k}" for k in keys))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])

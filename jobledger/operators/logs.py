@@ -6,7 +6,7 @@ order and ``line_no`` orders the lines of a chunk, so one huge log is worked on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.functions.parsing import matched
@@ -19,109 +19,97 @@ INPUT_LINE = r"(?i)^\s*input\s*:\s*(.+)"
 SUBMITTED_LINE = r"(?i)^Job\s+(\d+)\s+has\s+been\s+submitted\s+with\s+SLURM\s+jobid\s+(\d+)\s+\(log:\s+(.+)\)\.\z"
 RUN_ID_MARK = "SLURM run ID: "
 LOG_FOLDER = r"^(.*)/\.snakemake/log/[^/]+\z"
+UNCLEAN_PATH = r"//|/\.{1,2}(/|\z)|/\z"
+
+# What the lines above have in common at their start: one cheap test before the exact ones.
+TELLING_LINE = r"(?i)^(?:\[|rule\s|\s*input\s*:|job\s+\d+\s+has\s)"
 
 CHUNK_LINES = 65536
 
 
 def add_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     """Chunks for lines that are numbered per file."""
-    return lines.withColumn("chunk", F.floor(F.col("line_no") / size))
+    return lines.selectExpr("*", f"line_no div {size} AS chunk")
 
 
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+def _trimmed(text: str) -> str:
+    return f"regexp_replace({text}, r'^\\s+|\\s+\\z', '')"
 
 
 def marked_lines(lines: DataFrame) -> DataFrame:
     """Keeps the lines that start a record or say something about it, with what they say."""
-    value = F.col("value")
-    marked = lines.select(
+    return lines.where(f"value RLIKE r'{TELLING_LINE}'").selectExpr(
         "file",
         "chunk",
         "line_no",
-        value.startswith(RECORD_START).cast("int").alias("starts"),
-        matched(value, RULE_LINE, 1).alias("rule_name"),
-        matched(value, INPUT_LINE, 1).alias("input_text"),
-        matched(value, SUBMITTED_LINE, 1).alias("job_id"),
-        matched(value, SUBMITTED_LINE, 2).alias("slurm_jobid"),
+        f"CAST(startswith(value, '{RECORD_START}') AS int) AS starts",
+        f"{matched('value', RULE_LINE, 1)} AS rule_name",
+        f"{matched('value', INPUT_LINE, 1)} AS input_text",
+        f"{matched('value', SUBMITTED_LINE, 1)} AS job_id",
+        f"{matched('value', SUBMITTED_LINE, 2)} AS slurm_jobid",
     )
-    return marked.where("starts = 1 or rule_name is not null or input_text is not null or job_id is not null")
 
 
 def number_records(marked: DataFrame) -> DataFrame:
     """Adds ``record_id``: how many record starts the file has up to the line. Lines before the first are dropped.
 
     Starts are counted per chunk, added up over the chunks of the file, and only then counted line by line inside
-    each chunk, so no task ever sees more than one chunk of a file.
+    each chunk, so no task ever has to hold more than one chunk of a file.
     """
-    by_chunk = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        marked.groupBy("file", "chunk")
-        .agg(F.sum("starts").alias("starts_in_chunk"))
-        .select("file", "chunk", F.coalesce(F.sum("starts_in_chunk").over(by_chunk), F.lit(0)).alias("starts_before"))
-    )
-    by_line = Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        join_on(marked, earlier, ["file", "chunk"])
-        .withColumn("record_id", F.col("starts_before") + F.sum("starts").over(by_line))
-        .where("record_id > 0")
+    chunks = marked.groupBy("file", "chunk").agg(F.sum("starts").alias("starts"))
+    earlier = chunks.selectExpr(
+        "file",
+        "chunk",
+        """coalesce(sum(starts) OVER (PARTITION BY file ORDER BY chunk
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS starts_before""",
     )
+    up_to_line = "sum(starts) OVER (PARTITION BY file, chunk ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
+    numbered = join_on(marked, earlier, ["file", "chunk"]).selectExpr("*", f"starts_before + {up_to_line} AS record_id")
+    return numbered.where("record_id > 0")
 
 
 def log_records(lines: DataFrame) -> DataFrame:
     """One row per record that names a job: ``slurm_jobid, job_id, rule_name, inputs`` (last mention wins)."""
     numbered = number_records(marked_lines(lines))
-    place = F.struct("chunk", "line_no")
-
-    def last(column, known):
-        return F.max_by(column, F.when(F.col(known).isNotNull(), place)).alias(column)
-
+    last = [
+        F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN struct(chunk, line_no) END) AS {c}")
+        for c in ("slurm_jobid", "job_id", "rule_name", "input_text")
+    ]
     return (
         numbered.groupBy("file", "record_id")
-        .agg(
-            last("slurm_jobid", "job_id"),
-            last("job_id", "job_id"),
-            last("rule_name", "rule_name"),
-            last("input_text", "input_text"),
-        )
-        .where("job_id is not null")
-        .select(
+        .agg(*last)
+        .where("job_id IS NOT NULL")
+        .selectExpr(
             "file",
             "record_id",
             "slurm_jobid",
             "job_id",
-            F.coalesce("rule_name", F.lit("")).alias("rule_name"),
-            F.coalesce(F.transform(F.split(_trimmed(F.col("input_text")), ","), _trimmed), F.array().cast("array<string>")).alias("inputs"),
+            "coalesce(rule_name, '') AS rule_name",
+            f"coalesce(transform(split({_trimmed('input_text')}, ','), p -> {_trimmed('p')}), array()) AS inputs",
         )
     )
 
 
-def project_folder(file: Column) -> Column:
+def project_folder(file: str) -> str:
     """The folder a log's relative paths start from, or null when the log lies elsewhere."""
     return matched(file, LOG_FOLDER, 1)
 
 
-def clean_path(path: Column) -> Column:
+def clean_path(path: str) -> str:
     """Lexical normalisation: empty and ``.`` steps go, ``..`` removes the step before. Links are not followed."""
-    steps = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda done, step: F.when(step.isin("", "."), done)
-        .when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.concat(done, F.array(step))),
-    )
-    return F.when(path.rlike(r"//|/\.{1,2}(/|\z)|/\z"), F.concat(F.lit("/"), F.array_join(steps, "/"))).otherwise(path)
+    steps = f"""aggregate(split({path}, '/'), CAST(array() AS array<string>), (done, step) -> CASE
+        WHEN step IN ('', '.') THEN done
+        WHEN step = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
+        ELSE concat(done, array(step)) END)"""
+    return f"CASE WHEN {path} RLIKE r'{UNCLEAN_PATH}' THEN concat('/', array_join({steps}, '/')) ELSE {path} END"
 
 
 def resolve_inputs(records: DataFrame, base_folder: str | None = None) -> DataFrame:
     """Input paths made absolute against the project folder (or ``base_folder`` for logs outside a project)."""
-    folder = F.coalesce(project_folder(F.col("file")), F.lit(base_folder))
-
-    def absolute(path):
-        joined = F.when(path.startswith("/") | folder.isNull(), path).otherwise(F.concat_ws("/", folder, path))
-        return clean_path(joined)
-
-    return records.withColumn("inputs", F.transform("inputs", absolute))
+    based = records.withColumn("_folder", F.coalesce(F.expr(project_folder("file")), F.lit(base_folder)))
+    absolute = "CASE WHEN startswith(p, '/') OR _folder IS NULL THEN p ELSE concat_ws('/', _folder, p) END"
+    joined = based.withColumn("inputs", F.expr(f"transform(inputs, p -> {absolute})"))
+    return joined.withColumn("inputs", F.expr(f"transform(inputs, p -> {clean_path('p')})")).drop("_folder")
 
 
 def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | None = None) -> DataFrame:
@@ -131,25 +119,22 @@ def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | No
     on its first path only, so the exploded rows stay small. A file used by most jobs makes one hot path: that side
     of the join is split by AQE's skew handling.
     """
-    records = resolve_inputs(log_records(lines), base_folder)
-    exploded = records.select(
-        "file", "record_id", "slurm_jobid", "job_id", "rule_name", F.array_join("inputs", ",").alias("inputs"),
-        F.posexplode_outer("inputs").alias("place", "path"),
-    )
-    first = F.coalesce(F.col("place") == 0, F.lit(True))
     carried = ["slurm_jobid", "job_id", "rule_name", "inputs"]
-    slim = exploded.select("file", "record_id", "path", *[F.when(first, F.col(c)).alias(c) for c in carried])
+    records = resolve_inputs(log_records(lines), base_folder)
+    exploded = records.selectExpr(
+        "file", "record_id", *carried[:3], "array_join(inputs, ',') AS inputs", "posexplode_outer(inputs) AS (place, path)"
+    ).selectExpr("file", "record_id", "path", *[f"CASE WHEN coalesce(place, 0) = 0 THEN {c} END AS {c}" for c in carried])
     lengths = manifest.groupBy("path").agg(F.max("length").alias("length"))
     return (
-        slim.join(lengths, "path", "left")
+        exploded.join(lengths, "path", "left")
         .groupBy("file", "record_id")
-        .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("input_size_bytes"), *[F.max(c).alias(c) for c in carried])
+        .agg(F.expr("coalesce(sum(length), 0L) AS input_size_bytes"), *[F.max(c).alias(c) for c in carried])
         .select("slurm_jobid", "job_id", "rule_name", "input_size_bytes", "inputs")
     )
 
 
 def run_ids(lines: DataFrame) -> DataFrame:
     """Per log the run id of its first line that names one."""
-    named = lines.where(F.col("value").contains(RUN_ID_MARK))
-    first = named.groupBy("file").agg(F.min_by("value", F.struct("chunk", "line_no")).alias("value"))
-    return first.select("file", F.substring(_trimmed(F.col("value")), len(RUN_ID_MARK) + 1, 2**31 - 1).alias("run_id"))
+    named = lines.where(f"contains(value, '{RUN_ID_MARK}')")
+    first = named.groupBy("file").agg(F.expr("min_by(value, struct(chunk, line_no)) AS value"))
+    return first.selectExpr("file", f"substring({_trimmed('value')}, {len(RUN_ID_MARK) + 1}) AS run_id")

@@ -13,88 +13,85 @@ from jobledger.schema import ACCOUNTING_SCHEMA, JOB_REPORT_COLUMNS, JOB_REPORT_D
 ORDER = "_order"
 
 
+def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in expressions.items()})
+
+
 def add_job_kind(df: DataFrame) -> DataFrame:
     """Adds ``JobRoot`` and ``JobInfoType``."""
-    return df.withColumns(
-        {"JobRoot": parsing.job_root(F.col("JobID")), "JobInfoType": parsing.job_kind(F.col("JobID"))}
-    )
+    return with_expressions(df, {"JobRoot": parsing.job_root("JobID"), "JobInfoType": parsing.job_kind("JobID")})
 
 
-def add_size_unit(df: DataFrame, name: str) -> DataFrame:
-    """Splits a size: the digits replace ``name``, the unit goes to ``{name}_unit``."""
-    text = F.col(name)
-    return df.withColumns({name: parsing.size_digits(text), f"{name}_unit": parsing.size_unit(text)})
+def add_size_unit(df: DataFrame, *names: str) -> DataFrame:
+    """Splits sizes: the digits replace the column, the unit goes to ``{name}_unit``."""
+    units = {f"{name}_unit": parsing.size_unit(name) for name in names}
+    return with_expressions(df, {**units, **{name: parsing.size_digits(name) for name in names}})
 
 
-def size_to_bytes(df: DataFrame, name: str) -> DataFrame:
+def size_to_bytes(df: DataFrame, *names: str) -> DataFrame:
     """Turns the digits and unit of :func:`add_size_unit` into bytes and drops the unit."""
-    unit = f"{name}_unit"
-    return df.withColumn(name, parsing.unit_bytes(F.col(name), F.col(unit))).drop(unit)
+    sizes = {name: parsing.unit_bytes(name, f"{name}_unit") for name in names}
+    return with_expressions(df, sizes).drop(*[f"{name}_unit" for name in names])
 
 
-def bytes_to_gigabytes(df: DataFrame, name: str, keep_original: bool = False) -> DataFrame:
-    return df.withColumn(f"{name}_G" if keep_original else name, parsing.gigabytes(F.col(name)))
+def bytes_to_gigabytes(df: DataFrame, *names: str, keep_original: bool = False) -> DataFrame:
+    return with_expressions(df, {f"{n}_G" if keep_original else n: parsing.gigabytes(n) for n in names})
 
 
 def add_cpu_seconds(df: DataFrame) -> DataFrame:
-    return df.withColumn("TotalCPU_seconds", parsing.cpu_seconds(F.col("TotalCPU")))
+    return with_expressions(df, {"TotalCPU_seconds": parsing.cpu_seconds("TotalCPU")})
 
 
 def add_rule_name(df: DataFrame) -> DataFrame:
     """Adds ``rule_name`` and ``wildcards`` parsed from ``Comment``."""
-    return df.withColumns(
-        {"rule_name": parsing.rule_name(F.col("Comment")), "wildcards": parsing.wildcards(F.col("Comment"))}
-    )
+    return with_expressions(df, {"rule_name": parsing.rule_name("Comment"), "wildcards": parsing.wildcards("Comment")})
 
 
-def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order=None) -> DataFrame:
+def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
     """One row per job over *all* columns: numbers take the maximum, texts the first non-null in dump order.
 
-    The order is taken from the data (``order``, by default kind of row, step number, job id) so that the
-    answer does not depend on how Spark split the input. Columns nobody reads afterwards are pruned, together
+    The order is taken from the data (``order`` is SQL text, by default kind of row, step number, job id) so that
+    the answer does not depend on how Spark split the input. Columns nobody reads afterwards are pruned, together
     with their aggregates. Rows of a job combine map-side, so a huge job (or all rows without a job number)
     reaches the shuffle as one row per task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if order is None:
-        order = parsing.dump_order(F.col("JobID"))
-    ordered = df.withColumn(ORDER, order)
     aggregates = []
     for field in df.schema.fields:
+        name = f"`{field.name}`"
         if field.name in keys:
             continue
-        column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (LongType, DoubleType)):
-            aggregates.append(F.max(column).alias(field.name))
+            aggregates.append(F.expr(f"max({name})").alias(field.name))
         elif isinstance(field.dataType, StringType):
-            aggregates.append(F.min_by(column, F.when(column.isNotNull(), F.col(ORDER))).alias(field.name))
+            first = f"min_by({name}, CASE WHEN {name} IS NOT NULL THEN {ORDER} END)"
+            aggregates.append(F.expr(first).alias(field.name))
         else:
-            raise TypeError(f"column {field.name} has type {field.dataType.simpleString()}, expected a bigint, double or string")
-    return ordered.groupBy(*keys).agg(*aggregates)
+            raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
+    order = order or parsing.dump_order(parsing.job_kind("JobID"), "JobID")
+    return df.withColumn(ORDER, F.expr(order)).groupBy(*keys).agg(*aggregates)
 
 
 def add_memory_efficiency(df: DataFrame) -> DataFrame:
-    return df.withColumn("MemEfficiencyRatio", ieee_divide(F.col("MaxRSS"), F.col("ReqMem"))).withColumn(
-        "MemEfficiencyPercent", F.col("MemEfficiencyRatio") * 100
-    )
+    ratio = ieee_divide("MaxRSS", "ReqMem")
+    return with_expressions(df, {"MemEfficiencyRatio": ratio, "MemEfficiencyPercent": f"({ratio}) * 100"})
 
 
 def add_cpu_efficiency(df: DataFrame) -> DataFrame:
-    ratio = ieee_divide(F.col("TotalCPU_seconds"), F.col("CPUTimeRAW"))
-    return df.withColumn("CPUEfficiencyPercent", F.nanvl(ratio, F.lit(0.0)) * 100)
+    """Adds ``CPUEfficiencyPercent``; 0 of 0 seconds is 0."""
+    ratio = ieee_divide("TotalCPU_seconds", "CPUTimeRAW")
+    return with_expressions(df, {"CPUEfficiencyPercent": f"nanvl({ratio}, 0D) * 100"})
 
 
-def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order=None) -> DataFrame:
+def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
     """What share of the requested memory and CPU time each job used."""
-    rows = df.transform(add_job_kind)
-    for name in ("MaxRSS", "ReqMem"):
-        rows = (
-            rows.transform(add_size_unit, name)
-            .transform(size_to_bytes, name)
-            .transform(bytes_to_gigabytes, name, keep_original=True)
-        )
+    sizes = ("MaxRSS", "ReqMem")
     return (
-        rows.transform(aggregate_per_job, keys, order)
+        df.transform(add_job_kind)
+        .transform(add_size_unit, *sizes)
+        .transform(size_to_bytes, *sizes)
+        .transform(bytes_to_gigabytes, *sizes, keep_original=True)
+        .transform(aggregate_per_job, keys, order or parsing.dump_order("JobInfoType", "JobID"))
         .transform(add_memory_efficiency)
         .transform(add_cpu_seconds)
         .transform(add_cpu_efficiency)
@@ -104,11 +101,8 @@ def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order=None)
 def conform(df: DataFrame) -> DataFrame:
     """The rows with all accounting columns in dump order; missing ones are null of the right type."""
     present = set(df.columns)
-    return df.select(
-        *[
-            F.col(f.name).cast(f.dataType).alias(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in ACCOUNTING_SCHEMA.fields
-        ]
+    return df.selectExpr(
+        *[f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in ACCOUNTING_SCHEMA]
     )
 
 

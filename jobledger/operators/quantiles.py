@@ -1,123 +1,111 @@
 """Exact grouped quantiles without bringing a group to one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is fine for small groups, but
-here one group may hold a third of all jobs (the global line of the daily report always holds them all). So the
-values are first counted (group, value) -> n, which spreads a hot group over all tasks, and the wanted ranks are
-then located in two histogram steps:
+here one group may hold a third of all jobs (the cluster line of the daily report always holds them all). So:
 
-1. buckets of about 0.1 % relative width, whose number does not depend on the data volume;
-2. the buckets that hold a wanted rank, cut into 4096 equal parts.
+1. values are counted, (group, value) -> n, which spreads a hot group over all tasks;
+2. the counts are added up in buckets of 0.0015 % relative width, whose number depends on the spread of the values
+   but not on how many there are, and running totals over the buckets tell which ones hold the wanted ranks;
+3. only the values in those buckets (a single whole number up to 65 536, some neighbours above) are put in order.
 
-Only the distinct values of the parts that hold a wanted rank are ordered. The result is exact: the histograms
-only decide which values are looked at, ranks are counted over all of them.
+The result is exact: buckets only decide which values are looked at, ranks are counted over all of them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.operators.joining import join_on
 
-PARTS = 4096
+STEPS = 65536
 
 
-def frequencies(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """(keys, ``value``, ``n``) for the non-null values."""
-    return df.select(*keys, value.cast("double").alias("value")).where("value is not null").groupBy(*keys, "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, ``value``, ``n``) for the non-null values of a column."""
+    values = df.selectExpr(*keys, f"CAST({value} AS double) AS value").where("value IS NOT NULL")
+    return values.groupBy(*keys, "value").count().withColumnRenamed("count", "n")
 
 
-def _bucket(value: Column) -> Column:
-    # log1p and floor never decrease, so buckets keep the order of the values; NaN sorts last as in Spark itself.
-    size = F.floor(F.log1p(F.abs(value)) * 1000)
-    infinite = F.abs(value) == float("inf")
-    return (
-        F.when(F.isnan(value), F.lit(2**40))
-        .when(infinite, F.when(value > 0, F.lit(2**39)).otherwise(F.lit(-(2**39))))
-        .when(value < 0, -size)
-        .otherwise(size)
-    )
+def unpivoted_frequencies(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """:func:`frequencies` of several columns at once, told apart by ``measure``."""
+    pairs = ", ".join(f"'{m}', CAST({m} AS double)" for m in measures)
+    values = df.selectExpr(*keys, f"stack({len(measures)}, {pairs}) AS (measure, value)").where("value IS NOT NULL")
+    return values.groupBy(*keys, "measure", "value").count().withColumnRenamed("count", "n")
 
 
-def _part(value: Column, low: Column, high: Column) -> Column:
-    return F.when(low == high, F.lit(0).cast("long")).otherwise(F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * PARTS))
+# log and floor never decrease, so buckets keep the order of the values; NaN sorts last as in Spark itself.
+# 745 brings the logarithm of the smallest double above 0.
+BUCKET = f"""
+    CASE WHEN value = 0 THEN 0L
+         WHEN isnan(value) THEN {2**40}L
+         WHEN abs(value) = double('Infinity') THEN CAST(sign(value) AS bigint) * {2**39}L
+         ELSE CAST(sign(value) AS bigint) * (floor((ln(abs(value)) + 745) * {STEPS}) + 1) END
+"""
 
 
-def _position(count: Column, probability: float, method: str) -> Column:
-    """Zero-based, fractional rank of a quantile."""
-    last = (count - 1).cast("double")
+def _position(probability: float, method: str) -> str:
+    """Zero-based, fractional rank of a quantile among ``total`` values."""
     if method == "linear":
-        return last * probability
+        return f"({probability}D * (total - 1))"
     if method == "hazen":
-        return F.least(F.greatest(count * probability - 0.5, F.lit(0.0)), last)
+        return f"least(greatest({probability}D * total - 0.5D, 0D), total - 1D)"
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _holds_rank(position: Column) -> Column:
-    """Whether the rows counted by (before, n) contain a rank the position interpolates between."""
+def _holds(rank: str) -> str:
+    """Whether the values counted by (``before``, ``n``) have the rank."""
+    return f"(before <= {rank} AND {rank} < before + n)"
 
-    def inside(rank):
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
 
-    return inside(F.floor(position)) | inside(F.ceil(position))
-
-
-def _counted_before(keys: list[str], order: str) -> Column:
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("n").over(window), F.lit(0))
+def _counted_before(keys: list[str], order: str) -> str:
+    return f"""coalesce(sum(n) OVER (PARTITION BY {", ".join(keys)} ORDER BY {order}
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"""
 
 
 def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: dict[str, float], method: str = "linear") -> DataFrame:
     """One row per group: the keys, ``count`` and one column per entry of ``probabilities``.
 
-    ``linear`` interpolates at rank ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based.
+    ``freq`` has the keys, ``value`` and ``n``; a value may come in several rows. ``linear`` interpolates at rank
+    ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based.
     """
-    positions = {name: _position(F.col("total"), p, method) for name, p in probabilities.items()}
-    wanted = reduce(lambda a, b: a | b, [_holds_rank(p) for p in positions.values()])
+    positions = {name: _position(p, method) for name, p in probabilities.items()}
+    wanted = " OR ".join(f"{_holds(f'floor({p})')} OR {_holds(f'ceil({p})')}" for p in positions.values())
+    group = ", ".join(keys)
 
-    values = freq.withColumn("bucket", _bucket(F.col("value")))
+    values = freq.selectExpr(*keys, "value", "n", f"{BUCKET} AS bucket")
+    # ``skipped`` counts what lies before a wanted bucket and in no other wanted one, so that the totals below,
+    # which run over the values of all wanted buckets, need only this added.
     buckets = (
         values.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-        .withColumn("before", _counted_before(keys, "bucket"))
+        .agg({"n": "sum"})
+        .withColumnRenamed("sum(n)", "n")
+        .selectExpr(
+            "*",
+            f"{_counted_before(keys, 'bucket')} AS before",
+            f"sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total",
+        )
         .where(wanted)
-        .select(*keys, "bucket", "low", "high", "total", "before")
-    )
-    values = join_on(values, buckets.withColumnRenamed("before", "bucket_before"), [*keys, "bucket"]).withColumn(
-        "part", _part(F.col("value"), F.col("low"), F.col("high"))
+        .selectExpr(*keys, "bucket", "total", f"before - {_counted_before(keys, 'bucket')} AS skipped")
     )
-    parts = (
-        values.groupBy(*keys, "bucket", "part")
-        .agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("bucket_before").alias("bucket_before"))
-        .withColumn("before", F.col("bucket_before") + _counted_before([*keys, "bucket"], "part"))
+    ranked = (
+        join_on(values, buckets, [*keys, "bucket"])
+        .selectExpr(*keys, "value", "n", "total", f"skipped + {_counted_before(keys, 'value')} AS before")
         .where(wanted)
-        .select(*keys, "bucket", "part", F.col("before").alias("part_before"))
     )
-    values = (
-        join_on(values, parts, [*keys, "bucket", "part"])
-        .withColumn("before", F.col("part_before") + _counted_before([*keys, "bucket", "part"], "value"))
-        .where(wanted)
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
-
-    picked = []
-    for name, position in positions.items():
-        picked += [at(F.floor(position)).alias(f"{name}_low"), at(F.ceil(position)).alias(f"{name}_high")]
-    ends = values.groupBy(*keys).agg(F.max("total").alias("total"), *picked)
-
-    def interpolated(name: str) -> Column:
-        low, high, position = F.col(f"{name}_low"), F.col(f"{name}_high"), positions[name]
-        return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
-
-    return ends.select(*keys, F.col("total").alias("count"), *[interpolated(name).alias(name) for name in positions])
+    ends = [
+        f"max(value) FILTER (WHERE {_holds(f'{end}({position})')}) AS {name}_{end}"
+        for name, position in positions.items()
+        for end in ("floor", "ceil")
+    ]
+    interpolated = [
+        f"""CASE WHEN {name}_floor = {name}_ceil THEN {name}_floor
+            ELSE {name}_floor + ({name}_ceil - {name}_floor) * ({position} - floor({position})) END AS {name}"""
+        for name, position in positions.items()
+    ]
+    picked = ranked.groupBy(*keys).agg(*[F.expr(e) for e in ["max(total) AS total", *ends]])
+    return picked.selectExpr(*keys, "total AS count", *interpolated)
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], method: str = "linear") -> DataFrame:
-    return quantiles_of_frequencies(frequencies(df, keys, F.col(value)), keys, probabilities, method)
+    return quantiles_of_frequencies(frequencies(df, keys, value), keys, probabilities, method)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobledger.functions.arithmetic import max_number, min_number
 from jobledger.functions.display import band_colour, table_number
 from jobledger.operators.joining import join_on
-from jobledger.operators.quantiles import quantiles_of_frequencies
+from jobledger.operators.quantiles import quantiles_of_frequencies, unpivoted_frequencies
 from jobledger.schema import BANDED_HEADINGS, RULE_HEADING, RULE_MEASURES, RULE_TABLES, SIZED_RULE_MEASURES
 
 KEY = "rule_name"
@@ -16,17 +16,6 @@ STATISTICS = ["mean", "median", "std", "min", "max"]
 FIRST_TEXTS = ["QOS", "Account", "NodeList"]
 
 
-def measure_frequencies(runs: DataFrame, measures: list[str]) -> DataFrame:
-    """(rule, measure, value, n): one counted row per distinct value."""
-    pairs = [e for m in measures for e in (F.lit(m), F.col(m).cast("double"))]
-    return (
-        runs.select(KEY, F.stack(F.lit(len(measures)), *pairs).alias("measure", "value"))
-        .where("value is not null")
-        .groupBy(KEY, "measure", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def _text_statistics(runs: DataFrame) -> DataFrame:
     """Smallest and largest ``Elapsed`` text and the first non-null text of some columns, in job order.
 
@@ -34,47 +23,39 @@ def _text_statistics(runs: DataFrame) -> DataFrame:
     the distinct texts per rule by hash aggregation (a number is all that is kept per text).
     """
     columns = ["Elapsed", *FIRST_TEXTS]
-    pairs = [e for c in columns for e in (F.lit(c), F.col(c))]
-    distinct = (
-        runs.select(KEY, F.col("JobRoot").try_cast("long").alias("job"), F.stack(F.lit(len(columns)), *pairs).alias("field", "text"))
-        .where("text is not null")
-        .groupBy(KEY, "field", "text")
-        .agg(F.min("job").alias("job"))
-    )
-
-    def text_of(field):
-        return F.when(F.col("field") == field, F.col("text"))
-
+    pairs = ", ".join(f"'{c}', {c}" for c in columns)
+    texts = runs.selectExpr(KEY, "try_cast(JobRoot AS bigint) AS job", f"stack({len(columns)}, {pairs}) AS (field, text)")
+    distinct = texts.where("text IS NOT NULL").groupBy(KEY, "field", "text").agg(F.min("job").alias("job"))
     # Job numbers order the rows; rows without one come last, equal ones by text.
-    order = F.struct(F.coalesce("job", F.lit(2**63 - 1)), F.col("text"))
-    firsts = [F.min_by("text", F.when(F.col("field") == c, order)).alias(c) for c in FIRST_TEXTS]
+    order = f"struct(coalesce(job, {2**63 - 1}L), text)"
     return distinct.groupBy(KEY).agg(
-        F.min(text_of("Elapsed")).alias("Elapsed_min"), F.max(text_of("Elapsed")).alias("Elapsed_max"), *firsts
+        F.expr("min(text) FILTER (WHERE field = 'Elapsed') AS Elapsed_min"),
+        F.expr("max(text) FILTER (WHERE field = 'Elapsed') AS Elapsed_max"),
+        *[F.expr(f"min_by(text, {order}) FILTER (WHERE field = '{c}') AS {c}") for c in FIRST_TEXTS],
     )
 
 
+def _moments(measure: str) -> list[str]:
+    whole = measure == "ElapsedRaw"
+    return [
+        f"avg({measure}) AS {measure}_mean",
+        f"stddev_samp({measure}) AS {measure}_std",
+        f"{f'min({measure})' if whole else min_number(measure)} AS {measure}_min",
+        f"{f'max({measure})' if whole else max_number(measure)} AS {measure}_max",
+    ]
+
+
 def rule_statistics(runs: DataFrame, sized: bool = False) -> DataFrame:
     """Mean, median, deviation, minimum and maximum of each measure per rule.
 
     ``runs`` is read three times (moments, medians, texts): pass a persisted or stored frame.
     """
     measures = RULE_MEASURES + (SIZED_RULE_MEASURES if sized else [])
-    moments = runs.groupBy(KEY).agg(
-        *[
-            statistic
-            for m in measures
-            for statistic in (
-                F.avg(m).alias(f"{m}_mean"),
-                F.stddev_samp(m).alias(f"{m}_std"),
-                (F.min(m) if m == "ElapsedRaw" else min_number(F.col(m))).alias(f"{m}_min"),
-                (F.max(m) if m == "ElapsedRaw" else max_number(F.col(m))).alias(f"{m}_max"),
-            )
-        ]
-    )
+    moments = runs.groupBy(KEY).agg(*[F.expr(e) for m in measures for e in _moments(m)])
     medians = (
-        quantiles_of_frequencies(measure_frequencies(runs, measures), [KEY, "measure"], {"median": 0.5})
+        quantiles_of_frequencies(unpivoted_frequencies(runs, [KEY], measures), [KEY, "measure"], {"median": 0.5})
         .groupBy(KEY)
-        .agg(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median") for m in measures])
+        .agg(*[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in measures])
     )
     joined = join_on(join_on(moments, medians, [KEY], "left"), _text_statistics(runs), [KEY], "left")
     return joined.select(
@@ -89,9 +70,9 @@ def distinct_rules(runs: DataFrame) -> DataFrame:
 
 def report_table(statistics: DataFrame, measure: str) -> DataFrame:
     """One report table: the rule and five statistics under their report headings, sorted by rule."""
-    headings = zip(STATISTICS, RULE_TABLES[measure])
-    return statistics.orderBy(KEY).select(
-        F.col(KEY).alias(RULE_HEADING), *[F.col(f"{measure}_{s}").alias(h) for s, h in headings]
+    headings = dict(zip(STATISTICS, RULE_TABLES[measure]))
+    return statistics.orderBy(KEY).selectExpr(
+        f"{KEY} AS `{RULE_HEADING}`", *[f"{measure}_{s} AS `{h}`" for s, h in headings.items()]
     )
 
 
@@ -99,8 +80,7 @@ def shown_table(table: DataFrame) -> DataFrame:
     """A report table as displayed: rounded, with a ``… (couleur)`` column beside each coloured heading."""
     cells = []
     for name in table.columns:
-        column = F.col(f"`{name}`")
-        cells.append(column if name == RULE_HEADING else table_number(column).alias(name))
+        cells.append(f"`{name}`" if name == RULE_HEADING else f"{table_number(f'`{name}`')} AS `{name}`")
         if name in BANDED_HEADINGS:
-            cells.append(band_colour(column).alias(f"{name} (couleur)"))
-    return table.select(*cells)
+            cells.append(f"{band_colour(f'`{name}`')} AS `{name} (couleur)`")
+    return table.selectExpr(*cells)

@@ -4,54 +4,56 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from jobledger.functions.parsing import seconds_between, timestamp
+from jobledger.operators.per_job import with_expressions
+
+SUBMIT, START, END = timestamp("Submit"), timestamp("Start"), timestamp("End")
 
 
 def as_date(day: str | dt.date) -> dt.date:
     return day if isinstance(day, dt.date) else dt.datetime.strptime(day, "%Y-%m-%d").date()
 
 
+def date_literal(day: str | dt.date) -> str:
+    return f"DATE'{as_date(day).isoformat()}'"
+
+
 def add_wait_time(df: DataFrame) -> DataFrame:
-    wait = seconds_between(timestamp(F.col("Submit")), timestamp(F.col("Start")))
-    return df.withColumns({"wait_time_seconds": wait, "wait_time_hours": wait / 3600})
+    wait = seconds_between(SUBMIT, START)
+    return with_expressions(df, {"wait_time_seconds": wait, "wait_time_hours": f"{wait} / 3600"})
 
 
 def add_job_duration(df: DataFrame) -> DataFrame:
-    return df.withColumn("job_duration_seconds", seconds_between(timestamp(F.col("Start")), timestamp(F.col("End"))))
+    return with_expressions(df, {"job_duration_seconds": seconds_between(START, END)})
 
 
-def hours_on_day(start: Column, end: Column, day: Column) -> Column:
+def hours_on_day(start: str, end: str, day: str) -> str:
     """Hours between two zone-less timestamps that fall on ``day`` (a date); 0 when either is missing."""
-    midnight = day.cast("timestamp_ntz")
-    next_midnight = F.date_add(day, 1).cast("timestamp_ntz")
-    starts_today, ends_today = F.to_date(start) == day, F.to_date(end) == day
-    starts_before, ends_after = start < midnight, end >= next_midnight
-
-    def hours(a, b):
-        return seconds_between(a, b) / 3600
-
-    return (
-        F.when(starts_today & ends_today, hours(start, end))
-        .when(starts_before & ends_today, hours(midnight, end))
-        .when(starts_today & ends_after, hours(start, next_midnight))
-        .when(starts_before & ends_after, F.lit(24.0))
-        .otherwise(F.lit(0.0))
-    )
+    midnight = f"CAST({day} AS timestamp_ntz)"
+    next_midnight = f"CAST(date_add({day}, 1) AS timestamp_ntz)"
+    starts_today, ends_today = f"to_date({start}) = {day}", f"to_date({end}) = {day}"
+    starts_before, ends_after = f"{start} < {midnight}", f"{end} >= {next_midnight}"
+    return f"""CASE
+        WHEN {starts_today} AND {ends_today} THEN {seconds_between(start, end)} / 3600
+        WHEN {starts_before} AND {ends_today} THEN {seconds_between(midnight, end)} / 3600
+        WHEN {starts_today} AND {ends_after} THEN {seconds_between(start, next_midnight)} / 3600
+        WHEN {starts_before} AND {ends_after} THEN 24D
+        ELSE 0D END"""
 
 
 def add_daily_duration(df: DataFrame, day: str | dt.date) -> DataFrame:
     """Adds ``daily_duration_hours`` for one day and the day itself as ``date``."""
-    date = F.lit(as_date(day))
-    hours = hours_on_day(timestamp(F.col("Start")), timestamp(F.col("End")), date)
-    return df.withColumns({"daily_duration_hours": hours, "date": date})
+    date = date_literal(day)
+    times = with_expressions(df, {"_start": START, "_end": END})
+    hours = hours_on_day("_start", "_end", date)
+    return with_expressions(times, {"daily_duration_hours": hours, "date": date}).drop("_start", "_end")
 
 
 def daily_durations(df: DataFrame) -> DataFrame:
     """One row per job and day it ran on, for all days at once: ``date`` and ``daily_duration_hours``."""
-    start, end = timestamp(F.col("Start")), timestamp(F.col("End"))
-    first, last = F.to_date(start), F.to_date(end)
-    days = F.when(first <= last, F.sequence(first, last))
-    return df.withColumn("date", F.explode(days)).withColumn("daily_duration_hours", hours_on_day(start, end, F.col("date")))
+    times = with_expressions(df, {"_start": START, "_end": END})
+    first, last = "to_date(_start)", "to_date(_end)"
+    days = times.selectExpr("*", f"explode(CASE WHEN {first} <= {last} THEN sequence({first}, {last}) END) AS date")
+    return with_expressions(days, {"daily_duration_hours": hours_on_day("_start", "_end", "date")}).drop("_start", "_end")

@@ -28,15 +28,17 @@ def ingest(
     day: str | dt.date,
     column_count: int = len(ACCOUNTING_COLUMNS),
     separator: str = SEPARATOR,
+    names: list[str] | None = None,
 ) -> IngestResult:
     """Writes the whole lines of a dump as the partition of ``day`` and tells how many lines were dropped.
 
     One pass over the text and no shuffle: lines are counted by the job that writes them. The dump stays as it is.
+    ``names`` gives the columns of a dump without a header line.
     """
-    names = header_names(spark, dump, separator)
+    names = names or header_names(spark, dump, separator)
     if len(names) != column_count:
         raise ValueError(f"the header of {dump} has {len(names)} columns, expected {column_count}")
-    whole = is_whole(F.col("value"), column_count, separator)
+    whole = F.expr(is_whole(column_count, separator))
     seen = Observation()
     lines = read_lines(spark, dump).observe(
         seen, F.count(F.lit(1)).alias("lines"), F.count_if(~whole).alias("dropped")
