@@ -275,7 +275,7 @@ def input_size_join(spark, sf_dir):
 
 def _table(measure: str) -> Query:
     def run(spark, sf_dir):
-        table = _report(spark, sf_dir, sized=measure in SIZED_RULE_MEASURES).tables[measure]
+        table = _report(spark, sf_dir, sized=measure in SIZED_RULE_MEASURES).table(measure)
         first, *rest = table.columns
         return rounded(table.selectExpr(f"`{first}`", *[f"CAST(`{c}` AS double) AS `{c}`" for c in rest]))
 
@@ -288,7 +288,7 @@ QUERIES["relative_memory_table"], QUERIES["relative_runtime_table"] = map(_table
 
 @query
 def shown_cpu_table(spark, sf_dir):
-    return shown_table(_report(spark, sf_dir).tables["CPUEfficiencyPercent"])
+    return shown_table(_report(spark, sf_dir).table("CPUEfficiencyPercent"))
 
 
 @query
@@ -413,7 +413,7 @@ def streamed_dump(spark, sf_dir):
 @query
 def database_day(spark, sf_dir):
     database = scratch_path(spark, "database")
-    store.write_days(star_tables.accounting_by_day(spark, sf_dir), database)
+    store.write_days(star_tables.accounting_by_day(spark, sf_dir), database, many_days=True)
     return store.read_day(spark, database, DAY).select("JobID", "ElapsedRaw", "MaxRSS")
 
 

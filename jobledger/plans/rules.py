@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +34,30 @@ def rule_runs(
 
 @dataclass
 class RuleReport:
-    """Everything the per-rule report shows. All frames are lazy; ``close`` frees the shared job rows."""
+    """Everything the per-rule report shows, planned when asked for. ``close`` frees the shared rows."""
 
     runs: DataFrame
+    measured: DataFrame
     statistics: DataFrame
-    tables: dict[str, DataFrame]
-    rules: DataFrame
-    boxes: dict[str, DataFrame]
-    points: dict[str, DataFrame]
-    shared: list[DataFrame] = field(default_factory=list)
+    measures: list[str]
+    box_method: str
+
+    def table(self, measure: str) -> DataFrame:
+        """Rule and statistics under the report headings, sorted by rule."""
+        return report_table(self.statistics, measure)
+
+    def rules(self) -> DataFrame:
+        return distinct_rules(self.measured)
+
+    def boxes(self, measure: str) -> DataFrame:
+        return box_statistics(self.measured, ["rule_name"], measure, self.box_method)
+
+    def points(self, measure: str) -> DataFrame:
+        return box_points(self.measured, ["rule_name"], measure, self.box_method)
 
     def close(self) -> None:
-        for frame in self.shared:
-            frame.unpersist()
+        self.measured.unpersist()
+        self.statistics.unpersist()
 
 
 def _narrow(runs: DataFrame, measures: list[str]) -> DataFrame:
@@ -68,17 +79,9 @@ def rule_efficiency(
     if output:
         write_table(runs, output)
         runs = rows.sparkSession.read.parquet(output)
-    narrow = _narrow(runs, measures)
-    statistics = rule_statistics(narrow, sized=sizes is not None).persist(StorageLevel.MEMORY_AND_DISK)
-    return RuleReport(
-        runs=runs,
-        statistics=statistics,
-        tables={m: report_table(statistics, m) for m in measures},
-        rules=distinct_rules(narrow),
-        boxes={m: box_statistics(narrow, ["rule_name"], m, box_method) for m in measures},
-        points={m: box_points(narrow, ["rule_name"], m, box_method) for m in measures},
-        shared=[narrow, statistics],
-    )
+    measured = _narrow(runs, measures)
+    statistics = rule_statistics(measured, sized=sizes is not None).persist(StorageLevel.MEMORY_AND_DISK)
+    return RuleReport(runs, measured, statistics, measures, box_method)
 
 
 def post_run_report(

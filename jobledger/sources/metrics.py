@@ -15,7 +15,7 @@ from jobledger.sources.store import day_of_path, read_days, write_days
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Stores metrics by day; a rerun replaces its days only."""
-    write_days(metrics, path)
+    write_days(metrics, path, many_days=True)
 
 
 def read_metrics(spark: SparkSession, path: str, first: str | dt.date, last: str | dt.date) -> DataFrame:

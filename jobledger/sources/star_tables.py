@@ -47,9 +47,9 @@ SELECT "JobID", row_ord, CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS
 FROM step
 """
 
-# The day whose dump a job's rows come in.
+# The day whose dump a job's rows come in: there is one dump per month, so calendars have gaps.
 JOB_DAYS = """
-SELECT CAST(o_orderkey AS STRING) job, CAST(o_orderdate AS DATE) dt FROM orders
+SELECT CAST(o_orderkey AS STRING) job, CAST(date_trunc('month', o_orderdate) AS DATE) dt FROM orders
 """
 
 INPUT_SIZES = """

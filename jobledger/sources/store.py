@@ -22,9 +22,14 @@ def day_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r".*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
 
 
-def write_days(df: DataFrame, path: str) -> None:
-    """Writes rows partitioned by ``dt``; days that are present are replaced, other days stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+def write_days(df: DataFrame, path: str, many_days: bool = False) -> None:
+    """Writes rows partitioned by ``dt``; days that are present are replaced, other days stay.
+
+    Rows of one dump are written where they are. With ``many_days`` rows are first brought together by day, or every
+    task would write a small file for every day; AQE splits large days and joins small ones.
+    """
+    rows = df.hint("rebalance", DAY) if many_days else df
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

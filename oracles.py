@@ -5,7 +5,7 @@ from __future__ import annotations
 from jobledger.schema import ACCOUNTING_SCHEMA, DEFAULT_CAPACITY, JOB_REPORT_COLUMNS, RULE_HEADING, RULE_TABLES
 from jobledger.sources.star_tables import ACCOUNTING, DUMP_LINES, INPUT_SIZES, JOB_DAYS, LOG_LINES, MANIFEST
 
-REPORT_DAY = "1997-05-28"
+REPORT_DAY = "1997-05-01"
 RANGE = ("1994-12-20", "2001-08-31")
 
 CTES = {
@@ -71,9 +71,10 @@ CTES["records"] = """
         coalesce(arg_max(rule_name, "line_no") FILTER (WHERE rule_name IS NOT NULL), '') rule_name, arg_max(input_text, "line_no") FILTER (WHERE input_text IS NOT NULL) input_text
     FROM numbered WHERE record_id > 0 GROUP BY "file", record_id HAVING count(job_id) > 0"""
 CTES["record_paths"] = """
-    SELECT *, split_part("file", '/.snakemake/', 1) || '/' || trim(p) path FROM (SELECT *, unnest(string_split(input_text, ',')) p FROM records)"""
+    SELECT *, split_part("file", '/.snakemake/', 1) || '/' || trim(p) path
+    FROM (SELECT *, unnest(string_split(input_text, ',')) p, unnest(range(len(string_split(input_text, ',')))) place FROM records)"""
 CTES["log_sizes"] = """
-    SELECT slurm_jobid, job_id, rule_name, CAST(coalesce(sum(m."length"), 0) AS BIGINT) input_size_bytes, string_agg(r.path, ',' ORDER BY r.path) "inputs"
+    SELECT slurm_jobid, job_id, rule_name, CAST(coalesce(sum(m."length"), 0) AS BIGINT) input_size_bytes, string_agg(r.path, ',' ORDER BY place) "inputs"
     FROM record_paths r LEFT JOIN manifest m ON m."path" = r.path GROUP BY "file", record_id, slurm_jobid, job_id, rule_name"""
 CTES["log_run_ids"] = """
     SELECT "file", substr(trim(arg_min("value", "line_no")), 15) run_id FROM log_lines WHERE contains("value", 'SLURM run ID: ') GROUP BY "file" """
