@@ -347,7 +347,7 @@ def box_points_events(spark, sf_dir):
 @query
 def log_records_of_lines(spark, sf_dir):
     records = log_records(_lines(spark, sf_dir))
-    return records.selectExpr("file", "record_id", "slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
+    return records.selectExpr("file", "first_line", "slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
 
 
 QUERIES["log_records"] = QUERIES.pop("log_records_of_lines")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 # The shapes of the accounting fields.
 JOB_ROOT = r"^(\d+)"
-JOB_SUFFIX = r"^\d+(\..+)"
 STEP_SUFFIX = r"^\.\d+\z"
-SIZE = r"\d+[KMGT]"
+OTHER_SUFFIX = r"^\.."
+SIZE = r"(\d+)([KMGT])"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\z"
 CPU_DAYS = r"^\d+-\d+:\d+:\d+\z"
 CPU_HOURS = r"^\d+:\d+:\d+\z"
@@ -30,11 +30,13 @@ def job_root(job_id: str) -> str:
     return matched(job_id, JOB_ROOT, 1)
 
 
-def job_kind(job_id: str) -> str:
-    """What a row of the dump describes, told by the suffix of its job id."""
-    suffix = matched(job_id, JOB_SUFFIX, 1)
-    return f"""CASE WHEN {suffix} IS NULL THEN 'allocation' WHEN {suffix} = '.batch' THEN 'batch'
-        WHEN {suffix} = '.extern' THEN 'extern' WHEN {suffix} RLIKE r'{STEP_SUFFIX}' THEN 'step' ELSE 'unknown' END"""
+def job_kind(job_id: str, root: str | None = None) -> str:
+    """What a row of the dump describes, told by what follows the job number; ``root`` is a column that has it."""
+    root = root or job_root(job_id)
+    suffix = f"substring({job_id}, length({root}) + 1)"
+    return f"""CASE WHEN {root} IS NULL OR {suffix} = '' THEN 'allocation' WHEN {suffix} = '.batch' THEN 'batch'
+        WHEN {suffix} = '.extern' THEN 'extern' WHEN {suffix} RLIKE r'{STEP_SUFFIX}' THEN 'step'
+        WHEN {suffix} RLIKE r'{OTHER_SUFFIX}' THEN 'unknown' ELSE 'allocation' END"""
 
 
 def dump_order(kind: str, job_id: str, *leading: str) -> str:
@@ -42,29 +44,29 @@ def dump_order(kind: str, job_id: str, *leading: str) -> str:
 
     ``leading`` columns (such as the day of the dump) come first.
     """
-    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
     step = f"try_cast(substring_index({job_id}, '.', -1) AS bigint)"
-    keys = [*leading, f"array_position(array({kinds}), {kind})", f"CASE WHEN {kind} = 'step' THEN {step} END", job_id]
+    keys = [*leading, f"CASE {kind} {ranks} END", f"CASE WHEN {kind} = 'step' THEN {step} END", job_id]
     return "struct(" + ", ".join(f"{key} AS k{i}" for i, key in enumerate(keys)) + ")"
 
 
 def size_digits(text: str) -> str:
-    token = matched(text, SIZE, 0)
-    return f"left({token}, length({token}) - 1)"
+    return matched(text, SIZE, 1)
 
 
 def size_unit(text: str) -> str:
-    return f"right({matched(text, SIZE, 0)}, 1)"
+    return matched(text, SIZE, 2)
 
 
 def unit_bytes(digits: str, unit: str) -> str:
     factors = " ".join(f"WHEN '{name}' THEN {size}L" for name, size in UNIT_BYTES.items())
-    return f"CAST({digits} AS bigint) * CASE {unit} {factors} END"
+    return f"try_cast({digits} AS bigint) * CASE {unit} {factors} END"
 
 
 def size_bytes(text: str) -> str:
     """``12K``/``3M``/``2G`` in bytes; anything else is null."""
-    return unit_bytes(size_digits(text), size_unit(text))
+    # Empty text (no match) is neither a number nor a unit, so the two matches need no test of their own.
+    return unit_bytes(f"regexp_extract({text}, r'{SIZE}', 1)", f"regexp_extract({text}, r'{SIZE}', 2)")
 
 
 def gigabytes(size: str) -> str:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.functions.parsing import matched
-from jobledger.operators.joining import join_on
 
 # The line shapes of a workflow log.
 RECORD_START = "["
@@ -50,43 +49,51 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def number_records(marked: DataFrame) -> DataFrame:
-    """Adds ``record_id``: how many record starts the file has up to the line. Lines before the first are dropped.
+def _latest(column: str, known: str) -> str:
+    """The last known value of a column together with its place in the file."""
+    return f"max(struct(chunk, line_no, {column} AS text)) FILTER (WHERE {known} IS NOT NULL) AS {column}"
 
-    Starts are counted per chunk, added up over the chunks of the file, and only then counted line by line inside
-    each chunk, so no task ever has to hold more than one chunk of a file.
-    """
-    chunks = marked.groupBy("file", "chunk").agg(F.sum("starts").alias("starts"))
-    earlier = chunks.selectExpr(
-        "file",
-        "chunk",
-        """coalesce(sum(starts) OVER (PARTITION BY file ORDER BY chunk
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS starts_before""",
-    )
-    up_to_line = "sum(starts) OVER (PARTITION BY file, chunk ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
-    numbered = join_on(marked, earlier, ["file", "chunk"]).selectExpr("*", f"starts_before + {up_to_line} AS record_id")
-    return numbered.where("record_id > 0")
+
+FIELDS = ["slurm_jobid", "job_id", "rule_name", "input_text"]
 
 
 def log_records(lines: DataFrame) -> DataFrame:
-    """One row per record that names a job: ``slurm_jobid, job_id, rule_name, inputs`` (last mention wins)."""
-    numbered = number_records(marked_lines(lines))
-    last = [
-        F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN struct(chunk, line_no) END) AS {c}")
-        for c in ("slurm_jobid", "job_id", "rule_name", "input_text")
-    ]
-    return (
-        numbered.groupBy("file", "record_id")
-        .agg(*last)
+    """One row per record that names a job: ``first_line, slurm_jobid, job_id, rule_name, inputs`` (last mention wins).
+
+    A record runs from a line that starts one to the next such line; lines before the first belong to none. Lines
+    are grouped into records chunk by chunk, so no task ever has to hold more than one chunk of a file. Only what
+    may go across a chunk border, the open beginning and the last record of each chunk, is then looked at file by
+    file: two rows per chunk.
+    """
+    in_chunk = "PARTITION BY file, chunk ORDER BY line_no ROWS"
+    marked = marked_lines(lines).selectExpr(
+        "*",
+        f"last(CASE WHEN starts = 1 THEN line_no END, true) OVER ({in_chunk} UNBOUNDED PRECEDING) AS first_line",
+        f"max(CASE WHEN starts = 1 THEN line_no END) OVER ({in_chunk} BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_start",
+    )
+    pieces = marked.groupBy("file", "chunk", "first_line").agg(
+        F.max("last_start").alias("last_start"), *[F.expr(_latest(c, c)) for c in FIELDS]
+    )
+    # Records inside a chunk are windows of their own; those at a border share one per file.
+    border = "CASE WHEN first_line IS NULL OR first_line = last_start THEN -1 ELSE chunk END"
+    owner = f"""last(CASE WHEN first_line IS NOT NULL THEN struct(chunk, first_line) END, true) OVER (
+        PARTITION BY file, {border} ORDER BY chunk, first_line ROWS UNBOUNDED PRECEDING) AS owner"""
+    records = (
+        pieces.selectExpr("file", owner, *FIELDS)
+        .where("owner IS NOT NULL")
+        .groupBy("file", "owner")
+        .agg(*[F.max(c).alias(c) for c in FIELDS])
         .where("job_id IS NOT NULL")
-        .selectExpr(
-            "file",
-            "record_id",
-            "slurm_jobid",
-            "job_id",
-            "coalesce(rule_name, '') AS rule_name",
-            f"coalesce(transform(split({_trimmed('input_text')}, ','), p -> {_trimmed('p')}), array()) AS inputs",
-        )
+    )
+    paths = f"transform(split({_trimmed('input_text.text')}, ','), p -> {_trimmed('p')})"
+    return records.selectExpr(
+        "file",
+        "owner.chunk AS chunk",
+        "owner.first_line AS first_line",
+        "slurm_jobid.text AS slurm_jobid",
+        "job_id.text AS job_id",
+        "coalesce(rule_name.text, '') AS rule_name",
+        f"coalesce({paths}, array()) AS inputs",
     )
 
 
@@ -119,15 +126,15 @@ def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | No
     on its first path only, so the exploded rows stay small. A file used by most jobs makes one hot path: that side
     of the join is split by AQE's skew handling.
     """
-    carried = ["slurm_jobid", "job_id", "rule_name", "inputs"]
+    record, carried = ["file", "chunk", "first_line"], ["slurm_jobid", "job_id", "rule_name", "inputs"]
     records = resolve_inputs(log_records(lines), base_folder)
     exploded = records.selectExpr(
-        "file", "record_id", *carried[:3], "array_join(inputs, ',') AS inputs", "posexplode_outer(inputs) AS (place, path)"
-    ).selectExpr("file", "record_id", "path", *[f"CASE WHEN coalesce(place, 0) = 0 THEN {c} END AS {c}" for c in carried])
+        *record, *carried[:3], "array_join(inputs, ',') AS inputs", "posexplode_outer(inputs) AS (place, path)"
+    ).selectExpr(*record, "path", *[f"CASE WHEN coalesce(place, 0) = 0 THEN {c} END AS {c}" for c in carried])
     lengths = manifest.groupBy("path").agg(F.max("length").alias("length"))
     return (
         exploded.join(lengths, "path", "left")
-        .groupBy("file", "record_id")
+        .groupBy(*record)
         .agg(F.expr("coalesce(sum(length), 0L) AS input_size_bytes"), *[F.max(c).alias(c) for c in carried])
         .select("slurm_jobid", "job_id", "rule_name", "input_size_bytes", "inputs")
     )

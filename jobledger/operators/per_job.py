@@ -10,7 +10,7 @@ from jobledger.functions import parsing
 from jobledger.functions.arithmetic import ieee_divide
 from jobledger.schema import ACCOUNTING_SCHEMA, JOB_REPORT_COLUMNS, JOB_REPORT_DERIVED
 
-ORDER = "_order"
+KIND, ORDER = "_kind", "_order"
 
 
 def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
@@ -19,7 +19,8 @@ def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
 
 def add_job_kind(df: DataFrame) -> DataFrame:
     """Adds ``JobRoot`` and ``JobInfoType``."""
-    return with_expressions(df, {"JobRoot": parsing.job_root("JobID"), "JobInfoType": parsing.job_kind("JobID")})
+    rooted = with_expressions(df, {"JobRoot": parsing.job_root("JobID")})
+    return with_expressions(rooted, {"JobInfoType": parsing.job_kind("JobID", "JobRoot")})
 
 
 def add_size_unit(df: DataFrame, *names: str) -> DataFrame:
@@ -68,8 +69,10 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
             aggregates.append(F.expr(first).alias(field.name))
         else:
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
-    order = order or parsing.dump_order(parsing.job_kind("JobID"), "JobID")
-    return df.withColumn(ORDER, F.expr(order)).groupBy(*keys).agg(*aggregates)
+    if order is None:
+        df = with_expressions(df, {KIND: parsing.job_kind("JobID")})
+        order = parsing.dump_order(KIND, "JobID")
+    return with_expressions(df, {ORDER: order}).groupBy(*keys).agg(*aggregates)
 
 
 def add_memory_efficiency(df: DataFrame) -> DataFrame:
@@ -85,17 +88,12 @@ def add_cpu_efficiency(df: DataFrame) -> DataFrame:
 
 def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
     """What share of the requested memory and CPU time each job used."""
-    sizes = ("MaxRSS", "ReqMem")
-    return (
-        df.transform(add_job_kind)
-        .transform(add_size_unit, *sizes)
-        .transform(size_to_bytes, *sizes)
-        .transform(bytes_to_gigabytes, *sizes, keep_original=True)
-        .transform(aggregate_per_job, keys, order or parsing.dump_order("JobInfoType", "JobID"))
-        .transform(add_memory_efficiency)
-        .transform(add_cpu_seconds)
-        .transform(add_cpu_efficiency)
-    )
+    kinds = add_job_kind(df)
+    # The three size steps above at once.
+    sizes = {name: parsing.size_bytes(name) for name in ("MaxRSS", "ReqMem")}
+    rows = bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
+    jobs = aggregate_per_job(rows, keys, order or parsing.dump_order("JobInfoType", "JobID"))
+    return jobs.transform(add_memory_efficiency).transform(add_cpu_seconds).transform(add_cpu_efficiency)
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ CTES["numbered"] = """
         nullif(regexp_extract("value", '^Job\\s+[0-9]+\\s+has been submitted with SLURM jobid ([0-9]+) \\(log: .+\\)\\.$', 1), '') slurm_jobid
     FROM log_lines"""
 CTES["records"] = """
-    SELECT "file", record_id, arg_max(slurm_jobid, "line_no") FILTER (WHERE job_id IS NOT NULL) slurm_jobid, arg_max(job_id, "line_no") FILTER (WHERE job_id IS NOT NULL) job_id,
+    SELECT "file", record_id, min("line_no") first_line, arg_max(slurm_jobid, "line_no") FILTER (WHERE job_id IS NOT NULL) slurm_jobid, arg_max(job_id, "line_no") FILTER (WHERE job_id IS NOT NULL) job_id,
         coalesce(arg_max(rule_name, "line_no") FILTER (WHERE rule_name IS NOT NULL), '') rule_name, arg_max(input_text, "line_no") FILTER (WHERE input_text IS NOT NULL) input_text
     FROM numbered WHERE record_id > 0 GROUP BY "file", record_id HAVING count(job_id) > 0"""
 CTES["record_paths"] = """
@@ -321,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "box_statistics_events": _box_statistics([], "events", "event_type", "value", "linear"),
         "box_points": _box_points(["runs"], "runs", "rule_name", '"MemEfficiencyPercent"', "hazen"),
         "box_points_events": _box_points([], "events", "event_type", "value", "hazen"),
-        "log_records": _with(["records"], 'SELECT "file", record_id, slurm_jobid, job_id, rule_name, replace(input_text, \', \', \',\') inputs FROM records'),
+        "log_records": _with(["records"], 'SELECT "file", first_line, slurm_jobid, job_id, rule_name, replace(input_text, \', \', \',\') inputs FROM records'),
         "log_input_sizes": _with(["log_sizes"], "SELECT * FROM log_sizes"),
         "log_run_ids": _with(["log_run_ids"], "SELECT * FROM log_run_ids"),
         "input_sizes_csv": _with(["log_sizes"], "SELECT slurm_jobid, job_id, nullif(rule_name, '') rule_name, input_size_bytes, \"inputs\" FROM log_sizes"),
