@@ -122,18 +122,17 @@ def resolve_inputs(records: DataFrame, base_folder: str | None = None) -> DataFr
 def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | None = None) -> DataFrame:
     """The input-size table: per record the total length of its input files that exist in ``manifest``.
 
-    ``manifest`` is (``path``, ``length``). Paths of all records are joined at once; the record's own fields travel
-    on its first path only, so the exploded rows stay small. A file used by most jobs makes one hot path: that side
-    of the join is split by AQE's skew handling.
+    ``manifest`` is (``path``, ``length``) with each path once. Paths of all records are joined at once; the record's
+    own fields travel on its first path only, so the exploded rows stay small. A file used by most jobs makes one hot
+    path: AQE splits its join partition, which it can because both sides come straight from their shuffle.
     """
     record, carried = ["file", "chunk", "first_line"], ["slurm_jobid", "job_id", "rule_name", "inputs"]
     records = resolve_inputs(log_records(lines), base_folder)
     exploded = records.selectExpr(
         *record, *carried[:3], "array_join(inputs, ',') AS inputs", "posexplode_outer(inputs) AS (place, path)"
     ).selectExpr(*record, "path", *[f"CASE WHEN coalesce(place, 0) = 0 THEN {c} END AS {c}" for c in carried])
-    lengths = manifest.groupBy("path").agg(F.max("length").alias("length"))
     return (
-        exploded.join(lengths, "path", "left")
+        exploded.join(manifest, "path", "left")
         .groupBy(*record)
         .agg(F.expr("coalesce(sum(length), 0L) AS input_size_bytes"), *[F.max(c).alias(c) for c in carried])
         .select("slurm_jobid", "job_id", "rule_name", "input_size_bytes", "inputs")
