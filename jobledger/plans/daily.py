@@ -21,7 +21,10 @@ def _facts(jobs: DataFrame) -> DataFrame:
 
 
 def daily_metrics(rows: DataFrame, day: str | dt.date, capacity: dict | None = None) -> DataFrame:
-    """The metrics of one day from the accounting rows of its dump, per QOS and for the cluster."""
+    """The metrics of one day from the accounting rows of its dump, per QOS and for the cluster.
+
+    The facts stay cached for further actions on the result until ``spark.catalog.clearCache()``.
+    """
     return metrics_of_facts(_facts(for_day(job_efficiency(rows), day)), capacity)
 
 
@@ -37,8 +40,11 @@ def daily_report(
     spark: SparkSession, database: str, day: str | dt.date, metrics_path: str, json_path: str | None = None, capacity: dict | None = None
 ) -> DataFrame:
     """Reads a day of the database, computes its metrics and stores them; a rerun replaces the day."""
-    metrics = daily_metrics(read_day(spark, database, day).drop("dt"), day, capacity)
-    write_metrics(metrics, metrics_path)
+    facts = _facts(for_day(job_efficiency(read_day(spark, database, day).drop("dt")), day))
+    try:
+        write_metrics(metrics_of_facts(facts, capacity), metrics_path)
+    finally:
+        facts.unpersist()
     stored = read_metrics(spark, metrics_path, day, day)
     if json_path:
         write_metrics_json(stored, json_path)
