@@ -25,6 +25,7 @@ from jobledger.plans import daily, ingest, jobs, rules
 from jobledger.schema import DAILY_METRICS, RULE_MEASURES, SIZED_RULE_MEASURES
 from jobledger.session import scratch_path
 from jobledger.sources import dumps, metrics, star_tables, store
+from jobledger.sources.workflow_logs import read_log_lines
 from jobledger.streaming.ingest import ingest_new_dumps
 
 DAY = oracles.REPORT_DAY
@@ -417,6 +418,31 @@ def database_day(spark, sf_dir):
     return store.read_day(spark, database, DAY).select("JobID", "ElapsedRaw", "MaxRSS")
 
 
+@query
+def delimited_scan(spark, sf_dir):
+    path = scratch_path(spark, "delimited")
+    rows = per_job.conform(star_tables.accounting(spark, sf_dir))
+    rows.write.option("sep", "|").option("header", True).option("quote", "").csv(path)
+    return dumps.read_delimited(spark, path).select(*oracles.ROW_COLUMNS)
+
+
+@query
+def stored_rule_statistics(spark, sf_dir):
+    report = rules.rule_efficiency(
+        star_tables.accounting(spark, sf_dir), sizes=star_tables.input_sizes(spark, sf_dir), output=scratch_path(spark, "runs")
+    )
+    return _statistics(report)
+
+
+@query
+def log_files(spark, sf_dir):
+    path = scratch_path(spark, "logs")
+    ordered = star_tables.log_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line_no")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    found = log_records(read_log_lines(spark, path))
+    return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """What share of the requested memory and CPU time did each job use?"""
     return job_efficiency(spark, "/root/testdata/sf0.001")

@@ -34,5 +34,7 @@ def typed_fields(lines: DataFrame, names: list[str], separator: str = SEPARATOR)
     fields = [
         f"CAST(nullif(_parts[{i}], '') AS {column_type(name).simpleString()}) AS `{name}`" for i, name in enumerate(names)
     ]
+    # An escaped single character is split without a regular expression.
+    pattern = f"\\{separator}" if len(separator) == 1 else f"\\Q{separator}\\E"
     rows = lines.where(F.col("value") != separator.join(names))
-    return rows.selectExpr(*kept, f"split(value, r'\\Q{separator}\\E', -1) AS _parts").selectExpr(*kept, *fields)
+    return rows.selectExpr(*kept, f"split(value, r'{pattern}', -1) AS _parts").selectExpr(*kept, *fields)

@@ -214,6 +214,7 @@ def _hours(day: str) -> str:
         WHEN start_ts < {day} AND end_ts >= {day} + INTERVAL 1 DAY THEN 24.0 ELSE 0.0 END"""
 
 
+ROW_COLUMNS = [c for c in TEXTS if c != "JobInfoType"] + ["ElapsedRaw", "AllocCPUS", "CPUTimeRAW", "MaxRSS", "ReqMem"]
 SHORT = '"JobRoot", "JobID"'
 EFFICIENCY = f"""SELECT {SHORT}, "User", "State", "QOS", {_r('"ReqMem_G"', 'req_gb')}, {_r('"MaxRSS_G"', 'rss_gb')}, {_r('"MemEfficiencyPercent"', 'mem_percent')},
     "TotalCPU_seconds" cpu_seconds, {_r('"CPUEfficiencyPercent"', 'cpu_percent')} FROM jobs"""
@@ -330,5 +331,8 @@ def oracle_sql() -> dict[str, str]:
         "sanitizer_counts": _with(["dump"], f"SELECT count(*) total, count_if({WHOLE}) kept, count_if(NOT {WHOLE}) dropped FROM dump"),
         "ingested_dump": _with(["dump"], f"SELECT {DUMP_FIELDS}, '{REPORT_DAY}' dt FROM dump WHERE {WHOLE}"),
         "streamed_dump": _with(["dump"], f"SELECT {DUMP_FIELDS}, '{REPORT_DAY}' dt FROM dump WHERE {WHOLE}"),
+        "delimited_scan": _with(["acct"], f"""SELECT {", ".join(f'"{c}"' for c in ROW_COLUMNS)} FROM acct"""),
+        "stored_rule_statistics": _with(["sized_runs"], _statistics("sized_runs", list(RULE_TABLES))),
+        "log_files": _with(["records"], "SELECT slurm_jobid, job_id, rule_name, replace(input_text, ', ', ',') inputs FROM records"),
         "database_day": _with(["acct", "days"], f"""SELECT "JobID", "ElapsedRaw", "MaxRSS" FROM acct JOIN days ON job = split_part("JobID", '.', 1) WHERE dt = {DAY}"""),
     }
