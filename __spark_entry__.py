@@ -20,7 +20,7 @@ from jobledger.functions import display
 from jobledger.operators import filters, lines, per_job, timecols
 from jobledger.operators.boxplot import box_points, box_statistics
 from jobledger.operators.logs import add_chunks, log_input_sizes, log_records, run_ids
-from jobledger.operators.rules import distinct_rules, report_table, rule_statistics, shown_table
+from jobledger.operators.rules import distinct_rules, shown_table
 from jobledger.plans import daily, ingest, jobs, rules
 from jobledger.schema import DAILY_METRICS, RULE_MEASURES, SIZED_RULE_MEASURES
 from jobledger.session import scratch_path
@@ -34,9 +34,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def rounded(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
@@ -73,13 +76,13 @@ def _metrics(df):
 # Parsing
 
 
-@query
+@query("job_kind")
 def job_kind(spark, sf_dir):
     rows = per_job.add_job_kind(star_tables.accounting(spark, sf_dir))
     return rows.select("JobID", "JobRoot", "JobInfoType")
 
 
-@query
+@query("size_units")
 def size_units(spark, sf_dir):
     rows = per_job.add_size_unit(star_tables.accounting(spark, sf_dir), "MaxRSS", "ReqMem")
     return rows.selectExpr(
@@ -87,7 +90,7 @@ def size_units(spark, sf_dir):
     )
 
 
-@query
+@query("size_bytes")
 def size_bytes(spark, sf_dir):
     names = ("MaxRSS", "ReqMem")
     rows = per_job.size_to_bytes(per_job.add_size_unit(star_tables.accounting(spark, sf_dir), *names), *names)
@@ -97,13 +100,13 @@ def size_bytes(spark, sf_dir):
     )
 
 
-@query
+@query("total_cpu_seconds")
 def total_cpu_seconds(spark, sf_dir):
     rows = per_job.add_cpu_seconds(star_tables.accounting(spark, sf_dir))
     return rows.selectExpr("JobID", "TotalCPU", "TotalCPU_seconds AS cpu_seconds")
 
 
-@query
+@query("rule_name_parse")
 def rule_name_parse(spark, sf_dir):
     return per_job.add_rule_name(star_tables.accounting(spark, sf_dir)).select("JobID", "rule_name", "wildcards")
 
@@ -111,15 +114,12 @@ def rule_name_parse(spark, sf_dir):
 # Jobs
 
 
-@query
+@query("per_job")
 def per_job_rows(spark, sf_dir):
     return _efficiency(spark, sf_dir).select("JobRoot", *oracles.TEXTS, *oracles.NUMBERS)
 
 
-QUERIES["per_job"] = QUERIES.pop("per_job_rows")
-
-
-@query
+@query("job_efficiency")
 def job_efficiency(spark, sf_dir):
     return rounded(
         _efficiency(spark, sf_dir).selectExpr(
@@ -129,29 +129,29 @@ def job_efficiency(spark, sf_dir):
     )
 
 
-@query
+@query("job_report")
 def job_report(spark, sf_dir):
     return rounded(jobs.efficiency_per_job(star_tables.accounting(spark, sf_dir)))
 
 
-@query
+@query("wait_times")
 def wait_times(spark, sf_dir):
     times = timecols.add_wait_time(_efficiency(spark, sf_dir))
     return rounded(times.select("JobRoot", "JobID", "wait_time_seconds", "wait_time_hours"))
 
 
-@query
+@query("job_durations")
 def job_durations(spark, sf_dir):
     return timecols.add_job_duration(_efficiency(spark, sf_dir)).select("JobRoot", "JobID", "job_duration_seconds")
 
 
-@query
+@query("daily_duration")
 def daily_duration(spark, sf_dir):
     hours = timecols.add_daily_duration(_efficiency(spark, sf_dir), DAY)
     return rounded(hours.select("JobRoot", "JobID", "daily_duration_hours", "date"))
 
 
-@query
+@query("daily_duration_all_days")
 def daily_duration_all_days(spark, sf_dir):
     days = timecols.daily_durations(_efficiency(spark, sf_dir))
     return rounded(days.groupBy("date").agg(F.expr("count(1) AS jobs"), F.expr("sum(daily_duration_hours) AS hours")))
@@ -160,27 +160,27 @@ def daily_duration_all_days(spark, sf_dir):
 # Daily metrics
 
 
-@query
+@query("daily_metrics")
 def daily_metrics(spark, sf_dir):
     return _metrics(daily.daily_metrics(star_tables.accounting(spark, sf_dir), DAY))
 
 
-@query
+@query("daily_metrics_qos")
 def daily_metrics_qos(spark, sf_dir):
     return daily_metrics(spark, sf_dir).where("scope = 'qos'")
 
 
-@query
+@query("daily_metrics_global")
 def daily_metrics_global(spark, sf_dir):
     return daily_metrics(spark, sf_dir).where("scope = 'global'")
 
 
-@query
+@query("daily_metrics_all_days")
 def daily_metrics_all_days(spark, sf_dir):
     return _metrics(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir)))
 
 
-@query
+@query("metrics_json_range")
 def metrics_json_range(spark, sf_dir):
     path = scratch_path(spark, "metrics-json")
     metrics.write_metrics_json(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir)), path)
@@ -195,12 +195,12 @@ def _calendar(spark, sf_dir):
     return daily.metric_calendar(found, *RANGE)
 
 
-@query
+@query("metric_calendar")
 def metric_calendar(spark, sf_dir):
     return rounded(_calendar(spark, sf_dir)[0])
 
 
-@query
+@query("calendar_summary")
 def calendar_summary(spark, sf_dir):
     legend = _calendar(spark, sf_dir)[1]
     shown = [f"{display.legend_number(n)} AS {n}" for n in ("min_value", "max_value")]
@@ -210,18 +210,18 @@ def calendar_summary(spark, sf_dir):
 # Selection of jobs
 
 
-@query
+@query("job_name_filter")
 def job_name_filter(spark, sf_dir):
     return filters.name_contains_any(_efficiency(spark, sf_dir), ["n-3", "run-7"]).select("JobRoot", "JobID", "JobName")
 
 
-@query
+@query("job_name_exact")
 def job_name_exact(spark, sf_dir):
     rows = filters.name_is_any(star_tables.accounting(spark, sf_dir), ["run-1", "run-2"])
     return rows.select("JobID", "JobName", "State")
 
 
-@query
+@query("run_id_jobs")
 def run_id_jobs(spark, sf_dir):
     names = run_ids(_lines(spark, sf_dir)).select("run_id")
     return filters.name_in(_efficiency(spark, sf_dir), names).select("JobRoot", "JobID", "JobName")
@@ -230,20 +230,17 @@ def run_id_jobs(spark, sf_dir):
 # Rules
 
 
-@query
+@query("rule_runs")
 def rule_runs(spark, sf_dir):
     runs = rules.rule_runs(star_tables.accounting(spark, sf_dir))
     return rounded(runs.selectExpr("JobRoot", "JobID", "rule_name", "wildcards", "MemEfficiencyPercent AS mem_percent"))
 
 
-@query
+@query("distinct_rules")
 def distinct_rules_of_runs(spark, sf_dir):
     return distinct_rules(rules.rule_runs(star_tables.accounting(spark, sf_dir)))
 
 
-QUERIES["distinct_rules"] = QUERIES.pop("distinct_rules_of_runs")
-
-
 def _statistics(report):
     # Whole-number minima and maxima are compared as fractions, like the other statistics.
     names = {f"ElapsedRaw_{s}" for s in ("min", "max")}
@@ -251,20 +248,17 @@ def _statistics(report):
     return rounded(table.selectExpr(*[f"CAST({n} AS double) AS {n}" if n in names else n for n in table.columns]))
 
 
-@query
+@query("rule_statistics")
 def rule_statistics_of_runs(spark, sf_dir):
     return _statistics(_report(spark, sf_dir))
 
 
-QUERIES["rule_statistics"] = QUERIES.pop("rule_statistics_of_runs")
-
-
-@query
+@query("rule_statistics_sized")
 def rule_statistics_sized(spark, sf_dir):
     return _statistics(_report(spark, sf_dir, sized=True))
 
 
-@query
+@query("input_size_join")
 def input_size_join(spark, sf_dir):
     runs = rules.rule_runs(star_tables.accounting(spark, sf_dir), sizes=star_tables.input_sizes(spark, sf_dir))
     return rounded(
@@ -287,12 +281,12 @@ QUERIES["memory_table"], QUERIES["cpu_table"], QUERIES["runtime_table"] = map(_t
 QUERIES["relative_memory_table"], QUERIES["relative_runtime_table"] = map(_table, SIZED_RULE_MEASURES)
 
 
-@query
+@query("shown_cpu_table")
 def shown_cpu_table(spark, sf_dir):
     return shown_table(_report(spark, sf_dir).table("CPUEfficiencyPercent"))
 
 
-@query
+@query("efficiency_bands")
 def efficiency_bands(spark, sf_dir):
     colours = [
         f"{display.band_colour(f'{m}EfficiencyPercent')} AS {m.lower()}_colour" for m in ("Mem", "CPU")
@@ -300,7 +294,7 @@ def efficiency_bands(spark, sf_dir):
     return _efficiency(spark, sf_dir).selectExpr("JobRoot", "JobID", *colours)
 
 
-@query
+@query("duration_labels")
 def duration_labels(spark, sf_dir):
     times = timecols.add_job_duration(_efficiency(spark, sf_dir))
     label, shown = display.duration_label("job_duration_seconds"), display.two_decimals("job_duration_seconds")
@@ -321,22 +315,19 @@ QUERIES["box_statistics_linear"] = _boxes("ElapsedRaw", "linear")
 QUERIES["box_statistics_sized"] = _boxes("UsedRAMPerMo", "hazen", sized=True)
 
 
-@query
+@query("box_statistics_events")
 def box_statistics_events(spark, sf_dir):
     events = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
     return rounded(box_statistics(events, ["event_type"], "value", "linear"))
 
 
-@query
+@query("box_points")
 def box_points_of_runs(spark, sf_dir):
     runs = rules.rule_runs(star_tables.accounting(spark, sf_dir))
     return rounded(box_points(runs, ["rule_name"], "MemEfficiencyPercent"))
 
 
-QUERIES["box_points"] = QUERIES.pop("box_points_of_runs")
-
-
-@query
+@query("box_points_events")
 def box_points_events(spark, sf_dir):
     events = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
     return rounded(box_points(events, ["event_type"], "value"))
@@ -345,35 +336,30 @@ def box_points_events(spark, sf_dir):
 # Workflow logs
 
 
-@query
+@query("log_records")
 def log_records_of_lines(spark, sf_dir):
     records = log_records(_lines(spark, sf_dir))
     return records.selectExpr("file", "first_line", "slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
 
 
-QUERIES["log_records"] = QUERIES.pop("log_records_of_lines")
-
-
+@query("log_input_sizes")
 def _log_sizes(spark, sf_dir):
     return log_input_sizes(_lines(spark, sf_dir), star_tables.manifest(spark, sf_dir))
 
 
-QUERIES["log_input_sizes"] = _log_sizes
-
-
-@query
+@query("log_run_ids")
 def log_run_ids(spark, sf_dir):
     return run_ids(_lines(spark, sf_dir))
 
 
-@query
+@query("input_sizes_csv")
 def input_sizes_csv(spark, sf_dir):
     path = scratch_path(spark, "input-sizes")
     dumps.write_input_sizes(_log_sizes(spark, sf_dir), path)
     return dumps.read_input_sizes(spark, path)
 
 
-@query
+@query("post_run_statistics")
 def post_run_statistics(spark, sf_dir):
     report = rules.report_of_lines(
         _lines(spark, sf_dir), star_tables.accounting(spark, sf_dir), star_tables.manifest(spark, sf_dir)
@@ -384,17 +370,17 @@ def post_run_statistics(spark, sf_dir):
 # Ingest and storage
 
 
-@query
+@query("sanitized_lines")
 def sanitized_lines(spark, sf_dir):
     return lines.whole_lines(star_tables.dump_lines(spark, sf_dir), column_count=4)
 
 
-@query
+@query("sanitizer_counts")
 def sanitizer_counts(spark, sf_dir):
     return lines.line_counts(star_tables.dump_lines(spark, sf_dir), column_count=4)
 
 
-@query
+@query("ingested_dump")
 def ingested_dump(spark, sf_dir):
     folder, database = scratch_path(spark, "dump"), scratch_path(spark, "database")
     star_tables.dump_lines(spark, sf_dir).write.text(folder)
@@ -402,7 +388,7 @@ def ingested_dump(spark, sf_dir):
     return rounded(store.read_day(spark, database, DAY))
 
 
-@query
+@query("streamed_dump")
 def streamed_dump(spark, sf_dir):
     folder = os.path.join(scratch_path(spark, "drop"), DAY)
     database, checkpoint = scratch_path(spark, "database"), scratch_path(spark, "progress")
@@ -411,14 +397,14 @@ def streamed_dump(spark, sf_dir):
     return rounded(store.read_days(spark, database))
 
 
-@query
+@query("database_day")
 def database_day(spark, sf_dir):
     database = scratch_path(spark, "database")
     store.write_days(star_tables.accounting_by_day(spark, sf_dir), database, many_days=True)
     return store.read_day(spark, database, DAY).select("JobID", "ElapsedRaw", "MaxRSS")
 
 
-@query
+@query("delimited_scan")
 def delimited_scan(spark, sf_dir):
     path = scratch_path(spark, "delimited")
     rows = per_job.conform(star_tables.accounting(spark, sf_dir))
@@ -426,7 +412,7 @@ def delimited_scan(spark, sf_dir):
     return dumps.read_delimited(spark, path).select(*oracles.ROW_COLUMNS)
 
 
-@query
+@query("stored_rule_statistics")
 def stored_rule_statistics(spark, sf_dir):
     report = rules.rule_efficiency(
         star_tables.accounting(spark, sf_dir), sizes=star_tables.input_sizes(spark, sf_dir), output=scratch_path(spark, "runs")
@@ -434,7 +420,7 @@ def stored_rule_statistics(spark, sf_dir):
     return _statistics(report)
 
 
-@query
+@query("log_files")
 def log_files(spark, sf_dir):
     path = scratch_path(spark, "logs")
     ordered = star_tables.log_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line_no")
