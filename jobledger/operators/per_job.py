@@ -11,6 +11,7 @@ from jobledger.functions.arithmetic import ieee_divide
 from jobledger.schema import ACCOUNTING_SCHEMA, JOB_REPORT_COLUMNS, JOB_REPORT_DERIVED
 
 KIND, ORDER = "_kind", "_order"
+DAY = "dt"
 
 
 def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
@@ -48,19 +49,24 @@ def add_rule_name(df: DataFrame) -> DataFrame:
     return with_expressions(df, {"rule_name": parsing.rule_name("Comment"), "wildcards": parsing.wildcards("Comment")})
 
 
+def _leading(df: DataFrame, keys: list[str]) -> list[str]:
+    """A job in the dumps of several days takes its texts from the first, unless days are kept apart."""
+    return [DAY] if DAY in df.columns and DAY not in keys else []
+
+
 def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
     """One row per job over *all* columns: numbers take the maximum, texts the first non-null in dump order.
 
-    The order is taken from the data (``order`` is SQL text, by default kind of row, step number, job id) so that
-    the answer does not depend on how Spark split the input. Columns nobody reads afterwards are pruned, together
-    with their aggregates. Rows of a job combine map-side, so a huge job (or all rows without a job number)
-    reaches the shuffle as one row per task.
+    The order is taken from the data (``order`` is SQL text, by default day of the dump if rows have one, kind of
+    row, step number, job id) so that the answer does not depend on how Spark split the input. Columns nobody reads
+    afterwards are pruned, together with their aggregates. Rows of a job combine map-side, so a huge job (or all rows
+    without a job number) reaches the shuffle as one row per task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     aggregates = []
     for field in df.schema.fields:
         name = f"`{field.name}`"
-        if field.name in keys:
+        if field.name in (*keys, DAY):
             continue
         if isinstance(field.dataType, (LongType, DoubleType)):
             aggregates.append(F.expr(f"max({name})").alias(field.name))
@@ -71,7 +77,7 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
     if order is None:
         df = with_expressions(df, {KIND: parsing.job_kind("JobID")})
-        order = parsing.dump_order(KIND, "JobID")
+        order = parsing.dump_order(KIND, "JobID", *_leading(df, keys))
     return with_expressions(df, {ORDER: order}).groupBy(*keys).agg(*aggregates)
 
 
@@ -92,14 +98,16 @@ def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str
     # The three size steps above at once.
     sizes = {name: parsing.size_bytes(name) for name in ("MaxRSS", "ReqMem")}
     rows = bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
-    jobs = aggregate_per_job(rows, keys, order or parsing.dump_order("JobInfoType", "JobID"))
+    order = order or parsing.dump_order("JobInfoType", "JobID", *_leading(df, [keys] if isinstance(keys, str) else keys))
+    jobs = aggregate_per_job(rows, keys, order)
     return jobs.transform(add_memory_efficiency).transform(add_cpu_seconds).transform(add_cpu_efficiency)
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """The rows with all accounting columns in dump order; missing ones are null of the right type."""
+    """The rows with their day, if any, and all accounting columns in dump order; missing ones are null."""
     present = set(df.columns)
     return df.selectExpr(
+        *[c for c in df.columns if c == DAY],
         *[f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in ACCOUNTING_SCHEMA]
     )
 

@@ -40,7 +40,7 @@ def daily_report(
     spark: SparkSession, database: str, day: str | dt.date, metrics_path: str, json_path: str | None = None, capacity: dict | None = None
 ) -> DataFrame:
     """Reads a day of the database, computes its metrics and stores them; a rerun replaces the day."""
-    facts = _facts(for_day(job_efficiency(read_day(spark, database, day).drop("dt")), day))
+    facts = _facts(for_day(job_efficiency(read_day(spark, database, day)), day))
     try:
         write_metrics(metrics_of_facts(facts, capacity), metrics_path)
     finally:

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobledger.operators import per_job
 from jobledger.plans.jobs import efficiency_per_job
@@ -60,18 +61,17 @@ def test_efficiency(accounting):
     assert jobs["4"]["MemEfficiencyPercent"] is None and jobs["4"]["CPUEfficiencyPercent"] is None
 
 
-def test_job_in_two_days(spark, accounting):
-    from pyspark.sql import functions as F
+def test_job_in_two_days(accounting):
+    def dump(day, **values):
+        return accounting({"JobID": "1", **values}).withColumn("dt", F.lit(dt.date(2026, 1, day)))
 
-    first = accounting({"JobID": "1", "State": "RUNNING", "ElapsedRaw": 10}).withColumn("dt", F.lit("2026-01-01"))
-    second = accounting({"JobID": "1", "State": "COMPLETED", "ElapsedRaw": 20}).withColumn("dt", F.lit("2026-01-02"))
-    both = first.unionByName(second)
+    both = dump(2, State="COMPLETED", ElapsedRaw=20, Account="a").unionByName(dump(1, State="RUNNING", ElapsedRaw=10))
     by_day = per_job.job_efficiency(both, keys=["dt", "JobRoot"]).orderBy("dt").collect()
     assert [(r["State"], r["ElapsedRaw"]) for r in by_day] == [("RUNNING", 10), ("COMPLETED", 20)]
-    from jobledger.functions.parsing import dump_order
-
-    merged = per_job.job_efficiency(both, order=dump_order("JobInfoType", "JobID", "dt")).collect()
-    assert [(r["State"], r["ElapsedRaw"]) for r in merged] == [("RUNNING", 20)]
+    for merge in (per_job.job_efficiency, lambda df: per_job.aggregate_per_job(per_job.add_job_kind(df))):
+        merged = merge(both)
+        assert "dt" not in merged.columns
+        assert [(r["State"], r["ElapsedRaw"], r["Account"]) for r in merged.collect()] == [("RUNNING", 20, "a")]
 
 
 def test_stepwise_sizes_equal_the_combined_form(accounting):
@@ -83,8 +83,6 @@ def test_stepwise_sizes_equal_the_combined_form(accounting):
 
 
 def test_other_types_are_refused(accounting):
-    from pyspark.sql import functions as F
-
     with pytest.raises(TypeError, match="day"):
         per_job.aggregate_per_job(per_job.add_job_kind(accounting({"JobID": "1"})).withColumn("day", F.lit(dt.date(2026, 1, 1))))
 

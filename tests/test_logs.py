@@ -141,7 +141,7 @@ def test_splitting_a_file_gives_the_same_records(spark, tmp_path):
         assert lines.select("chunk").distinct().count() > 10
         got = sorted((r["slurm_jobid"], r["rule_name"], tuple(r["inputs"])) for r in log_records(lines).collect())
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted((r["slurm_jobid"], r["rule_name"], tuple(r["inputs"])) for r in brute(text))
 
 
