@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,29 +38,29 @@ def read_days(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_day(spark: SparkSession, path: str, day: str | dt.date) -> DataFrame:
-    """The rows of one day: the file ``YYYY-MM-DD.parquet`` if the database has one, else the partition of the day."""
+    """The rows of one day: its partition, or the file ``YYYY-MM-DD.parquet`` of a database that has one file per day.
+
+    Either way only the files of that day are read.
+    """
     date = as_date(day)
-    try:
-        rows = spark.read.parquet(f"{path}/{date.isoformat()}.parquet").withColumn(DAY, F.lit(date))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = _partition(spark, path, date)
+    rows = _parquet(spark, path)
+    if DAY in rows.columns:
+        rows = rows.where(F.col(DAY) == F.lit(date))
+    else:
+        rows = rows.where(F.col("_metadata.file_name") == f"{date.isoformat()}.parquet").withColumn(DAY, F.lit(date))
     if rows.isEmpty():
         raise MissingDay(f"no accounting rows for {day} in {path}")
     return rows
 
 
-def _partition(spark: SparkSession, path: str, date: dt.date) -> DataFrame:
-    rows = read_days(spark, path)
-    if DAY not in rows.columns:
-        raise MissingDay(f"{path} has no file for {date} and is not partitioned by day")
-    return rows.where(F.col(DAY) == F.lit(date))
+def _parquet(spark: SparkSession, *paths: str) -> DataFrame:
+    # A database may hold other files beside its Parquet files, such as metrics documents.
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet files, folders or wildcards as one frame; files named by their day get it as ``dt``."""
-    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
+    rows = _parquet(spark, *paths)
     if DAY in rows.columns:
         return rows
     return rows.select("*", day_of_path(F.col("_metadata.file_path")).alias(DAY))

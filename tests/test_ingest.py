@@ -98,11 +98,14 @@ def test_files_named_by_day(spark, accounting, tmp_path):
 
 
 def test_a_day_of_flat_files(spark, accounting, tmp_path):
-    accounting({"JobID": "1"}).toPandas().to_parquet(tmp_path / "2026-02-24.parquet")
-    rows = store.read_day(spark, str(tmp_path), DAY).collect()
-    assert [(r["JobID"], r["dt"]) for r in rows] == [("1", dt.date(2026, 2, 24))]
+    for name, job in (("2026-02-24", "1"), ("2026-02-25", "2")):
+        accounting({"JobID": job}).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    (tmp_path / "2026-02-24.json").write_text("{}")
+    rows = store.read_day(spark, str(tmp_path), DAY)
+    assert [(r["JobID"], r["dt"]) for r in rows.collect()] == [("1", dt.date(2026, 2, 24))]
+    assert rows.rdd.getNumPartitions() == 1
     with pytest.raises(store.MissingDay):
-        store.read_day(spark, str(tmp_path), "2026-02-25")
+        store.read_day(spark, str(tmp_path), "2026-02-26")
 
 
 def test_jobs_by_name_over_all_days(spark, accounting, tmp_path):
