@@ -6,6 +6,7 @@ Spark derives from all of ``orders`` and ``lineitem`` (see ``jobledger/sources/s
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -434,9 +435,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return job_efficiency(spark, "/root/testdata/sf0.001")
 
 
+# The operators for training text are an optional part: without their folder everything above still works.
+LLM_SQL: dict[str, str] = {}
+if importlib.util.find_spec("jobledger.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from jobledger.llm import queries as llm_queries
+    from jobledger.llm import sql as llm_sql
+
+    QUERIES.update(llm_queries.queries())
+    QUERIES["pipeline"] = corpus_pipeline.run
+    LLM_SQL.update(llm_sql.oracle_sql())
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | LLM_SQL

