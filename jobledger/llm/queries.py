@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import simhash_ball, substring_dedup
+from jobledger.llm import language_ppm, simhash_ball, substring_dedup, toxicity_nb
 from jobledger.llm.common import table
 
 
@@ -26,5 +26,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_nb.train(docs, table(spark, sf_dir, "labels"), sample_rows=3000, folds=5, left_out=0)
+    return toxicity_nb.score(docs, model).select(
+        "doc_id",
+        (toxicity_nb.remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = language_ppm.train(docs, sample_rows=1500, folds=4, left_out=2)
+    return language_ppm.predict(docs.select("doc_id", "text"), trees).select(
+        "doc_id", (toxicity_nb.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
