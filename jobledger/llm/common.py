@@ -23,7 +23,7 @@ from jobledger.session import scratch_path
 
 LAST_ID = (1 << 63) - 1
 # A frame of at most this many bytes on disk may be sent to all executors.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 # The six ASCII separators between words, as code points 0x20 and 0x09 to 0x0D; bytes.split() splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -109,7 +109,7 @@ def slices(contents: list[bytes], size: int) -> Iterator[tuple[int, int]]:
 class WordHashes(dict):
     """XXH64 of words, remembered; forgotten as a whole when there are too many."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
