@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import language_ppm, simhash_ball, substring_dedup, toxicity_nb
-from jobledger.llm.common import table
+from jobledger.llm import curriculum_mix, decontaminate, histogram_shards, language_ppm, simhash_ball, substring_dedup, toxicity_nb
+from jobledger.llm.common import settle, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,40 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", curriculum_mix.word_count().alias("size"))
+    mixed = curriculum_mix.mix(docs, F.col("size"), weights=(3, 1, 2), share=1.5, most_repeats=2)
+    first = F.try_element_at(F.transform("passes", lambda x: x["position"]), F.lit(1)).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
+
+
+def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    content = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id",
+        histogram_shards.text_then_id().alias("key"),
+        (F.octet_length(content) + 1).cast("long").alias("size"),
+        F.crc32(content.cast("binary")).alias("text_crc32"),
+    )
+    sharded = histogram_shards.shard_by_bytes(settle(rows, "sizes"), shards=16, tolerance=0.001)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_ball.near_duplicates(docs, shingle=4, distance=4)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobledger.llm.common import doc_key, over_batches, settle, slices, starts_of, texts
+from jobledger.llm.common import attach, doc_key, over_batches, settle, slices, starts_of, text_tag, texts
 from jobledger.llm.components import star_edges
 
 SEED = 42
@@ -201,17 +201,31 @@ def ball_links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``key``, ``fingerprint`` and ``component`` (smallest key it is linked to).
+    """One row per row of ``docs``: ``doc_id``, ``key``, ``tag``, ``fingerprint``, ``root`` of its group and ``component``.
+
+    ``component`` is the smallest key that the row is linked to, itself included.
 
     Rows with equal ids, null ids and texts without words follow the conventions of the folder; texts without words all
     have fingerprint 0 and are linked like any other.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id).alias("key"), F.col(text).alias("text"))
-    rows = settle(fingerprints(rows, shingle).select("doc_id", "key", "fingerprint"), "fingerprints")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(doc_id).alias("key"), text_tag(text).alias("tag"), F.col(text).alias("text"))
+    rows = settle(fingerprints(rows, shingle).drop("text"), "fingerprints")
     prints = settle(rows.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct-fingerprints")
     stars = star_edges(ball_links(prints, distance))
     rooted = prints.join(stars.withColumnsRenamed({"u": "fingerprint", "v": "root"}), "fingerprint", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(least, "root").select("fingerprint", "component")
-    return rows.join(labels, "fingerprint").select("doc_id", "key", "fingerprint", "component")
+    labels = rooted.join(least, "root").select("fingerprint", "root", "component")
+    return rows.join(labels, "fingerprint").select("doc_id", "key", "tag", "fingerprint", "root", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: the smallest id; of rows that repeat as a whole, one."""
+    found = settle(near_duplicates(docs, shingle, distance, doc_id, text), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct("key", "tag")).alias("first")).select("first.key", "first.tag")
+    first = first.withColumnsRenamed({"key": "__key", "tag": "__tag"}).withColumn("__stays", F.lit(True))
+    keyed = docs.withColumns({"__key": doc_key(doc_id), "__tag": text_tag(text)})
+    kept = attach(keyed, first, "representatives", ["__key", "__tag"]).where("__stays")
+    if not found.groupBy("key", "tag").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key", "__tag"])
+    return kept.select(*[f"`{c}`" for c in docs.columns])
