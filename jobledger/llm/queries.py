@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import curriculum_mix, decontaminate, histogram_shards, language_ppm, simhash_ball, substring_dedup, toxicity_nb
+from jobledger.llm import (
+    curriculum_mix,
+    decontaminate,
+    histogram_shards,
+    language_ppm,
+    line_runs,
+    quality_outliers,
+    secret_ownership,
+    simhash_ball,
+    substring_dedup,
+    toxicity_nb,
+)
 from jobledger.llm.common import settle, table
 
 
@@ -18,6 +29,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_outliers.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
+    )
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", curriculum_mix.word_count().alias("size"))
     mixed = curriculum_mix.mix(docs, F.col("size"), weights=(3, 1, 2), share=1.5, most_repeats=2)
@@ -25,6 +43,13 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.drop_shared_lines(docs, least_chars=40, least_docs=5).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = F.coalesce(F.col("text"), F.lit(""))
@@ -38,6 +63,18 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_ownership.find_secrets(docs, most_owners=1, most_repositories=10)
+    count = [secret_ownership.n_of_kind(F.col("base"), k).alias(f"n_{n}") for k, n in enumerate(("assign", "access", "hex"))]
+    return found.select(
+        "doc_id",
+        *count,
+        F.sha2(secret_ownership.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_ownership.listed(F.sort_array(F.concat("base", "live"))).alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), window=10)
