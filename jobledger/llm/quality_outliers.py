@@ -24,13 +24,13 @@ D = len(FEATURES)
 # Places of a lower triangle's elements in an array.
 PLACE = {(i, j): i * (i + 1) // 2 + j for i in range(D) for j in range(i + 1)}
 # Smallest standard deviation of each feature: statistics that nearly all texts of a group share exactly.
-FLOORS = (0.3, 0.25, 0.4, 0.1, 0.1)
+FLOORS = (0.5, 0.3, 0.3, 0.25, 0.25)
 SHARE = 0.75
 STEPS = 4
 LEAST_ROWS = 100
 # Quantiles of chi-square with five degrees of freedom at 0.5 and 0.975.
 CHI_MEDIAN, CHI_INNER = 4.351, 12.833
-CUTOFF = 60.0
+CUTOFF = 40.0
 BINS_PER_DOUBLING = 16
 
 
