@@ -13,7 +13,6 @@ of ids make the holder the largest document of all.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +53,12 @@ class LineRuns:
         """``lines``: ``h1, h2, key``; a document must be in one batch only."""
         # Documents first: a line that very many documents have is spread over them until it is counted.
         counted = lines.select(*HASH, "key").distinct().groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("key").alias("holder"))
-        run = counted
-        if self.runs():
-            counted = settle(counted.repartition(self.buckets, *HASH), "line-batch")
-            known = reduce(DataFrame.union, [r.select(*HASH) for r in self.runs()])
-            fresh = reduce(lambda rows, r: rows.join(r.hint("merge"), HASH, "left_anti"), self.runs(), counted)
-            seen = counted.join(known.distinct(), HASH, "left_semi").withColumn("holder", F.lit(None).cast("long"))
-            run = fresh.union(seen)
+        # Anti-join as a left join, so that known and new keys come out of one pass over the runs.
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            counted = counted.join(run.select(*HASH, F.lit(True).alias(f"in_{i}")).hint("merge"), HASH, "left")
+            known = known | F.col(f"in_{i}").isNotNull()
+        run = counted.select(*HASH, "n_docs", F.when(~known, F.col("holder")).alias("holder"))
         self.levels[0].append(self._write(run))
         for i, level in enumerate(self.levels):
             if len(level) >= FAN_IN:
@@ -71,8 +69,13 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = reduce(DataFrame.union, runs)
-        return every.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        """Merge joins of sorted runs."""
+        out = runs[0]
+        for run in runs[1:]:
+            other = run.select(*HASH, F.col("n_docs").alias("n_more"), F.col("holder").alias("other")).hint("merge")
+            n_docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
+            out = out.join(other, HASH, "full").select(*HASH, n_docs.alias("n_docs"), F.greatest("holder", "other").alias("holder"))
+        return out
 
     def state(self) -> DataFrame:
         """One row per key: ``h1, h2, n_docs, holder``."""
