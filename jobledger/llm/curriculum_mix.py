@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from jobledger.llm.common import WORD
 
-ROWS_PER_BUCKET = 4000
+# Buckets are the number of rows to this power: 50 000 rows give 660, 30 billion give two million.
+BUCKET_POWER = 0.6
 # Weights at the knots t = 0, 1/2 and 1, for sources in order, repeating: early, even, late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
@@ -88,7 +89,7 @@ def mix(
     rows = docs.withColumns({"size": size, "__place": place, "__tie": text_tie, "__named": named})
     # The totals need neither texts nor order.
     n = docs.count()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
+    buckets = max(1, round(n**BUCKET_POWER))
     bucket = (F.conv(F.substring("__place", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
     rows = rows.withColumn("__bucket", bucket)
     totals = rows.groupBy("__named", "__bucket").agg(F.sum("size").alias("__sum"), F.first("source").alias("source"))

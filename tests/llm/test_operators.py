@@ -127,8 +127,9 @@ def test_mix_does_not_depend_on_buckets(docs, monkeypatch):
     _, frame = docs
     pick = lambda: ordered(r[:2] + (repr(r[2]),) for r in curriculum_mix.mix(frame, curriculum_mix.word_count()).select("doc_id", "taken", "passes").collect())
     before = pick()
-    monkeypatch.setattr(curriculum_mix, "ROWS_PER_BUCKET", 3)
-    assert pick() == before
+    for power in (0.0, 0.9):
+        monkeypatch.setattr(curriculum_mix, "BUCKET_POWER", power)
+        assert pick() == before
 
 
 def test_training_order_is_sorted(docs):
