@@ -130,10 +130,13 @@ def train(docs: DataFrame, sample_rows: int = 1500, folds: int = 4, left_out: in
     """Learns from texts with a language whose fold is not ``left_out``; about ``sample_rows`` texts for each language."""
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(remainder("doc_id", folds) != left_out)
     # One row per language; the share that is read gives each language the same expected number of texts.
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("__n"))
-    languages = sorted(r["lang"] for r in sizes.collect())
+    sizes = dict(usable.groupBy("lang").count().collect())
+    languages = sorted(sizes)
+    if not languages:
+        return grow([], [])
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, sample_rows / sizes[lang])])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.select("doc_id", "lang", "text").join(sizes, "lang").where(place < sample_rows / F.col("__n"))
+    sample = usable.where(place < share[F.col("lang")])
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches):
