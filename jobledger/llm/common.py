@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 from jobledger.session import scratch_path
 
 LAST_ID = (1 << 63) - 1
-# A frame of at most this many bytes on disk may be sent to all executors.
-BROADCAST_BYTES = 4 << 20
 # The six ASCII separators between words, as code points 0x20 and 0x09 to 0x0D; bytes.split() splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,19 +35,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     The files go when the session ends: a result that is not computed yet may still need them.
     """
-    return stored(df, label)[0]
-
-
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As ``settle``, with the number of bytes written."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path), files.getContentSummary(folder).getLength()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def doc_key(name: str = "doc_id") -> Column:
@@ -62,15 +53,12 @@ def text_tag(name: str = "text") -> Column:
     return F.hash(F.coalesce(F.col(name), F.lit("")))
 
 
-def attach(docs: DataFrame, notes: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def attach(docs: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
     """Left-joins a table with at most one row per key.
 
-    The notes are written first. Only if the written table is small is it sent to all executors, so that texts need no
-    shuffle; otherwise this is a sort-merge join, whose large partitions adaptive execution splits.
+    No hint: texts and notes meet by a sort-merge join, whose large partitions adaptive execution splits, unless Spark
+    measures the notes to be under its own threshold for sending them to all executors.
     """
-    notes, size = stored(notes, label)
-    if size <= BROADCAST_BYTES:
-        notes = F.broadcast(notes)
     return docs.join(notes, keys, "left")
 
 

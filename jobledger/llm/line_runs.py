@@ -123,7 +123,7 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 40, least_docs: int =
     shared = runs.state().where(F.col("n_docs") >= least_docs)
     gone = lines.join(shared, HASH).where("key <> holder").groupBy("key", "tag").agg(F.collect_set("line").alias("__gone"))
     keyed = docs.withColumns({"__key": doc_key(doc_id), "__tag": text_tag(text)})
-    noted = attach(keyed, gone.withColumnsRenamed({"key": "__key", "tag": "__tag"}), "dropped-lines", ["__key", "__tag"])
+    noted = attach(keyed, gone.withColumnsRenamed({"key": "__key", "tag": "__tag"}), ["__key", "__tag"])
     at, marks = noted.columns.index(text), noted.columns.index("__gone")
 
     def compute(batch):

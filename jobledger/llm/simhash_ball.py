@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id: str =
     first = found.groupBy("root").agg(F.min(F.struct("key", "tag")).alias("first")).select("first.key", "first.tag")
     first = first.withColumnsRenamed({"key": "__key", "tag": "__tag"}).withColumn("__stays", F.lit(True))
     keyed = docs.withColumns({"__key": doc_key(doc_id), "__tag": text_tag(text)})
-    kept = attach(keyed, first, "representatives", ["__key", "__tag"]).where("__stays")
+    kept = attach(keyed, first, ["__key", "__tag"]).where("__stays")
     if not found.groupBy("key", "tag").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__key", "__tag"])
     return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -40,8 +40,8 @@ from jobledger.llm.common import (
     window_minima,
 )
 
-SLICE_BYTES = 4 << 20
-BUCKETS_PER_PARTITION = 16
+SLICE_BYTES = 6 << 20
+BUCKETS_PER_PARTITION = 8
 SAMPLE_ROWS = 4000
 COMMON_WORDS = 4096
 LATE = 1 << 63
@@ -97,7 +97,7 @@ def _route(docs: DataFrame, width: int, common: frozenset[bytes], heavy: np.ndar
     """One row per slice of texts and bucket."""
 
     def run(batches):
-        order_of, squeeze = WordOrder(common), zstandard.ZstdCompressor(level=1)
+        order_of, squeeze = WordOrder(common), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             contents = texts(batch.column(2))
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
     """
     spans = repeated_spans(docs, width, doc_id, text)
     keyed = docs.withColumns({"__key": doc_key(doc_id), "__tag": text_tag(text)})
-    noted = attach(keyed, spans.withColumnsRenamed({"key": "__key", "tag": "__tag", "spans": "__spans"}), "passage-spans", ["__key", "__tag"])
+    noted = attach(keyed, spans.withColumnsRenamed({"key": "__key", "tag": "__tag", "spans": "__spans"}), ["__key", "__tag"])
     at, marks = noted.columns.index(text), noted.columns.index("__spans")
 
     def compute(batch):
