@@ -1,10 +1,10 @@
 """Lines that many documents share: levelled sorted runs of line hashes.
 
-The state is a set of runs, as in a log-structured merge tree: tables of (hash, number of documents, holder), hash-bucketed
-and sorted, so that joins with a batch read them in order without a shuffle. A batch of lines is counted, merge-anti-joined
-with all runs, and added as a run of its own: keys that no run has get a holder, the batch's largest document; known keys
-only add to the count. When a level has ``FAN_IN`` runs, they are merged into one run of the next level, so there are
-about ``FAN_IN`` times log(batches) runs and each key is rewritten once per level.
+The state is a set of runs, as in a log-structured merge tree: stored tables of (hash, number of documents, holder), sorted
+by hash. A batch of lines is counted, merge-anti-joined with all runs, and added as a run of its own: keys that no run has
+get a holder, the batch's largest document; known keys only add to the count. When a level has ``FAN_IN`` runs, they are
+merged into one run of the next level, so there are about ``FAN_IN`` times log(batches) runs and each key is rewritten once
+per level. Runs hold no texts: 40 bytes per different long line.
 
 A hash is 128 bits of XXH3, so different lines are told apart at any realistic size. Batches that come in falling order
 of ids make the holder the largest document of all.
@@ -12,45 +12,38 @@ of ids make the holder the largest document of all.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobledger.llm.common import attach, doc_key, over_batches, settle, text_tag, texts
-from jobledger.session import scratch_path
 
 FAN_IN = 3
 BATCHES = 6
+# A run has a file for so many lines of its batch.
+ROWS_PER_FILE = 2_000_000
 HASH = ["h1", "h2"]
 
 
 class LineRuns:
-    """The state: ``levels[i]`` is a list of runs, the newest last."""
+    """The state: ``levels[i]`` is a list of runs, the newest last, each with its number of files."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = [[]]
+    def __init__(self) -> None:
+        self.levels: list[list[tuple[DataFrame, int]]] = [[]]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for run, _ in level]
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        path = scratch_path(self.spark, "line-run")
-        dealt = rows.repartition(self.buckets, *HASH)
-        dealt.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).format("parquet").saveAsTable(name)
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-        return self.spark.table(name)
+    @staticmethod
+    def _write(rows: DataFrame, files: int) -> DataFrame:
+        return settle(rows.coalesce(files).sortWithinPartitions(*HASH), "line-run")
 
     def add(self, lines: DataFrame) -> None:
         """``lines``: ``h1, h2, key``; a document must be in one batch only."""
+        files = max(1, -(-lines.count() // ROWS_PER_FILE))
         # Documents first: a line that very many documents have is spread over them until it is counted.
         counted = lines.select(*HASH, "key").distinct().groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("key").alias("holder"))
         # Anti-join as a left join, so that known and new keys come out of one pass over the runs.
@@ -59,12 +52,13 @@ class LineRuns:
             counted = counted.join(run.select(*HASH, F.lit(True).alias(f"in_{i}")).hint("merge"), HASH, "left")
             known = known | F.col(f"in_{i}").isNotNull()
         run = counted.select(*HASH, "n_docs", F.when(~known, F.col("holder")).alias("holder"))
-        self.levels[0].append(self._write(run))
+        self.levels[0].append((self._write(run, files), files))
         for i, level in enumerate(self.levels):
             if len(level) >= FAN_IN:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(self._merged(level)))
+                files = sum(n for _, n in level)
+                self.levels[i + 1].append((self._write(self._merged([run for run, _ in level]), files), files))
                 self.levels[i] = []
 
     @staticmethod
@@ -117,7 +111,7 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 40, least_docs: int =
     width = (high - low) // batches + 1 if low is not None else 1
     number = F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((F.lit(high or 0) - F.least("key", F.lit(high or 0))) / F.lit(width)))).cast("int")
     lines = settle(long_lines(docs, least_chars, doc_id, text).withColumn("batch", number), "lines")
-    runs = LineRuns(docs.sparkSession)
+    runs = LineRuns()
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i))
     shared = runs.state().where(F.col("n_docs") >= least_docs)

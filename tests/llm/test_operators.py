@@ -147,7 +147,7 @@ def test_lines(docs):
 
 
 def test_runs_are_merged_by_level(spark):
-    runs = line_runs.LineRuns(spark)
+    runs = line_runs.LineRuns()
     for i in range(7):
         runs.add(spark.createDataFrame([(k % 5, k % 3, 100 - i * 10 - k) for k in range(10)], "h1 long, h2 long, key long"))
     assert [len(level) for level in runs.levels] == [1, 2]
