@@ -8,11 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.operators.lines import is_whole, typed_fields
-from jobledger.operators.timecols import as_date
+from jobledger.operators.lines import is_whole
 from jobledger.schema import ACCOUNTING_COLUMNS, SEPARATOR
-from jobledger.sources.dumps import header_names, read_lines
-from jobledger.sources.store import write_days
+from jobledger.sources.dumps import headers, lines_with_file, named_fields
+from jobledger.sources.store import dump_name, write_dump
 
 
 @dataclass(frozen=True)
@@ -30,19 +29,19 @@ def ingest(
     separator: str = SEPARATOR,
     names: list[str] | None = None,
 ) -> IngestResult:
-    """Writes the whole lines of a dump as the partition of ``day`` and tells how many lines were dropped.
+    """Writes the whole lines of a dump as the partition of ``day`` and the dump's name; tells how many lines were dropped.
 
-    One pass over the text and no shuffle: lines are counted by the job that writes them. The dump stays as it is.
-    ``names`` gives the columns of a dump without a header line.
+    One pass over the text and no shuffle: lines are counted by the job that writes them. The dump stays as it is. A
+    rerun replaces what the dump gave before, also if no line is left. Columns are matched by each file's header;
+    ``names`` gives the columns of a dump without header lines.
     """
-    names = names or header_names(spark, dump, separator)
-    if len(names) != column_count:
-        raise ValueError(f"the header of {dump} has {len(names)} columns, expected {column_count}")
+    lines = lines_with_file(spark, dump)
+    found = {separator.join(names): []} if names else headers(spark, lines.inputFiles(), column_count, separator)
+    if names and len(names) != column_count:
+        raise ValueError(f"{len(names)} names for {column_count} columns")
     whole = F.expr(is_whole(column_count, separator))
     seen = Observation()
-    lines = read_lines(spark, dump).observe(
-        seen, F.count(F.lit(1)).alias("lines"), F.count_if(~whole).alias("dropped")
-    )
-    rows = typed_fields(lines.where(whole), names, separator)
-    write_days(rows.withColumn("dt", F.lit(as_date(day))), database)
+    counted = lines.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(~whole).alias("dropped"))
+    rows = named_fields(counted.where(whole), found, separator)
+    write_dump(rows, database, day, spark.range(1).select(dump_name(F.lit(dump.rstrip("/")))).first()[0])
     return IngestResult(seen.get["lines"], seen.get["dropped"])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobledger.operators.lines import typed_fields, whole_lines
 from jobledger.schema import ACCOUNTING_SCHEMA, INPUT_SIZE_SCHEMA, SEPARATOR
+from jobledger.sources.store import FAITHFUL
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -22,12 +27,47 @@ def header_names(spark: SparkSession, path: str, separator: str = SEPARATOR) ->
     return first["value"].split(separator)
 
 
+def headers(spark: SparkSession, files: list[str], names: list[str] | int, separator: str = SEPARATOR) -> dict[str, list[str]]:
+    """Files by their first line, which must hold ``names`` (or that many names, the same in all files) in any order."""
+    found: dict[str, list[str]] = {}
+    for file in files:
+        header = header_names(spark, file, separator)
+        if isinstance(names, int):
+            if len(header) != names:
+                raise ValueError(f"the header of {file} has {len(header)} columns, expected {names}")
+            names = header
+        if sorted(header) != sorted(names):
+            raise ValueError(f"the header of {file} has other columns: {sorted(set(header) ^ set(names))}")
+        found.setdefault(separator.join(header), []).append(file)
+    return found
+
+
+# Local files are written with one slash or three.
+LOCAL = r"^file:/+"
+
+
+def _named(file: Column) -> Column:
+    return F.regexp_replace(file, LOCAL, "file:/")
+
+
+def named_fields(lines: DataFrame, by_header: dict[str, list[str]], separator: str = SEPARATOR) -> DataFrame:
+    """Typed rows of whole lines that have their ``file``, each read with its own file's header. One layout is the rule."""
+    parts = []
+    for header, files in by_header.items():
+        own = lines if len(by_header) == 1 else lines.where(_named(F.col("file")).isin([re.sub(LOCAL, "file:/", f) for f in files]))
+        parts.append(typed_fields(own.drop("file"), header.split(separator), separator))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def lines_with_file(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return read_lines(spark, paths).select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def read_dump(spark: SparkSession, path: str, column_count: int = len(ACCOUNTING_SCHEMA), separator: str = SEPARATOR) -> DataFrame:
-    """Typed rows of a dump without its broken lines. Columns are matched by header name, in any order."""
-    names = header_names(spark, path, separator)
-    if len(names) != column_count:
-        raise ValueError(f"the header of {path} has {len(names)} columns, expected {column_count}")
-    return typed_fields(whole_lines(read_lines(spark, path), column_count, separator), names, separator)
+    """Typed rows of a dump (a file, or a folder of them) without broken lines. Each file's columns are matched by its header."""
+    lines = lines_with_file(spark, path)
+    found = headers(spark, lines.inputFiles(), column_count, separator)
+    return named_fields(whole_lines(lines, column_count, separator), found, separator)
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: StructType = ACCOUNTING_SCHEMA, separator: str = SEPARATOR) -> DataFrame:
@@ -44,9 +84,11 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: StructTyp
 
 
 def read_input_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.schema(INPUT_SIZE_SCHEMA).option("sep", SEPARATOR).option("header", True).csv(path)
+    """Quotes in a quoted field are doubled, texts keep their spaces; nothing is null, a pair of quotes is the empty text."""
+    # Empty fields count as this null value, which no file holds; so quoted empty texts stay what they are.
+    return spark.read.schema(INPUT_SIZE_SCHEMA).options(sep=SEPARATOR, header=True, nullValue="\0", **FAITHFUL).csv(path)
 
 
 def write_input_sizes(sizes: DataFrame, path: str) -> None:
     """The input-size table of all logs as delimited files with a header."""
-    sizes.select(*INPUT_SIZE_SCHEMA.names).write.mode("overwrite").option("sep", SEPARATOR).option("header", True).csv(path)
+    sizes.select(*INPUT_SIZE_SCHEMA.names).write.mode("overwrite").options(sep=SEPARATOR, header=True, **FAITHFUL).csv(path)

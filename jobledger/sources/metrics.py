@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from jobledger.operators.daily import merged_scopes
 from jobledger.operators.timecols import as_date
 from jobledger.schema import DAILY_METRICS
-from jobledger.sources.store import day_of_path, read_days, write_days
+from jobledger.sources.store import day_of_path, read_days, write_day, write_days
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Stores metrics by day; a rerun replaces its days only."""
-    write_days(metrics, path, many_days=True)
+def write_metrics(metrics: DataFrame, path: str, day: str | dt.date | None = None) -> None:
+    """Stores metrics by day; a rerun replaces its days only. A single ``day`` is replaced even if it has no metrics."""
+    write_days(metrics, path, many_days=True) if day is None else write_day(metrics, path, day)
 
 
 def read_metrics(spark: SparkSession, path: str, first: str | dt.date, last: str | dt.date) -> DataFrame:
@@ -31,8 +31,10 @@ def day_documents(metrics: DataFrame) -> DataFrame:
     return merged_scopes(metrics).groupBy("dt").agg(document.alias("value"))
 
 
-def write_metrics_json(metrics: DataFrame, path: str) -> None:
+def write_metrics_json(metrics: DataFrame, path: str, day: str | dt.date | None = None) -> None:
     days = day_documents(metrics)
+    if day is not None:
+        return write_day(days, path, day, text=True)
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").text(path)
 
 

@@ -1,4 +1,8 @@
-"""The accounting database and the job tables: Parquet, one partition or file per day."""
+"""The accounting database and the job tables: Parquet, partitioned by day and, for accounting rows, by dump.
+
+Batch and streamed ingest write the same layout with the batch writer, ``dt=YYYY-MM-DD/dump=NAME``; a rerun of a dump
+replaces its own folder and nothing else, also when no row is left.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,10 @@ from pyspark.sql import functions as F
 from jobledger.operators.filters import name_is_any
 from jobledger.operators.timecols import as_date
 
+# Delimited files as most tools write them; Spark's own defaults trim texts and escape quotes with backslashes.
+FAITHFUL = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 DAY = "dt"
+DUMP = "dump"
 
 
 class MissingDay(LookupError):
@@ -32,9 +39,39 @@ def write_days(df: DataFrame, path: str, many_days: bool = False) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
 
 
+def write_rows(df: DataFrame, path: str, dump: str = "rows") -> None:
+    """Accounting rows of many days as one dump; that dump's days that are present are replaced."""
+    rows = df.withColumn(DUMP, F.lit(dump)).hint("rebalance", DAY)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, DUMP).parquet(path)
+
+
+def write_day(df: DataFrame, path: str, day: str | dt.date, text: bool = False) -> None:
+    """Rows of one day; the day is replaced even if there are none."""
+    rows = df.drop(DAY).write.mode("overwrite")
+    folder = f"{path}/{DAY}={as_date(day).isoformat()}"
+    rows.text(folder) if text else rows.parquet(folder)
+
+
+def write_dump(df: DataFrame, path: str, day: str | dt.date, dump: str) -> None:
+    """Rows of one dump of one day, written where they are; the dump is replaced even if there are none."""
+    df.write.mode("overwrite").parquet(f"{path}/{DAY}={as_date(day).isoformat()}/{DUMP}={dump}")
+
+
+def write_dumps(df: DataFrame, path: str, empty: list[tuple[dt.date, str]]) -> None:
+    """Rows of several dumps (``dt`` and ``dump``); of the ``empty`` ones nothing is left."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, DUMP).parquet(path)
+    for day, dump in empty:
+        write_dump(df.drop(DAY, DUMP).limit(0), path, day, dump)
+
+
+def dump_name(path: Column) -> Column:
+    """File name without its ending; it may hold letters, digits, dots, dashes and underscores."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", ""), r"[^A-Za-z0-9._-]", "_")
+
+
 def read_days(spark: SparkSession, path: str) -> DataFrame:
     """The whole database; filters on ``dt`` prune partitions."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(DUMP)
 
 
 def read_day(spark: SparkSession, path: str, day: str | dt.date) -> DataFrame:
@@ -43,7 +80,7 @@ def read_day(spark: SparkSession, path: str, day: str | dt.date) -> DataFrame:
     Either way only the files of that day are read.
     """
     date = as_date(day)
-    rows = _parquet(spark, path)
+    rows = _parquet(spark, path).drop(DUMP)
     if DAY in rows.columns:
         rows = rows.where(F.col(DAY) == F.lit(date))
     else:
@@ -59,8 +96,8 @@ def _parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet files, folders or wildcards as one frame; files named by their day get it as ``dt``."""
-    rows = _parquet(spark, *paths)
+    """Parquet files, folders or wildcards as one frame; the day in a file's path becomes ``dt`` if rows have none."""
+    rows = spark.read.options(pathGlobFilter="*.parquet", recursiveFileLookup=True).parquet(*paths)
     if DAY in rows.columns:
         return rows
     return rows.select("*", day_of_path(F.col("_metadata.file_path")).alias(DAY))
@@ -77,7 +114,8 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header and doubled quotes; spaces at the ends of texts stay, and empty texts differ from nulls."""
+    df.write.mode("overwrite").options(header=True, **FAITHFUL).csv(path)
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "JobRoot") -> None:

@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobledger.operators.lines import typed_fields, whole_lines
+from jobledger.operators.lines import is_whole
 from jobledger.schema import ACCOUNTING_COLUMNS, SEPARATOR
-from jobledger.sources.store import day_of_path
+from jobledger.sources.dumps import headers, named_fields
+from jobledger.sources.store import day_of_path, dump_name, write_dumps
 
 
 def dump_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Lines of the dumps in ``folder`` with the day named in the file name."""
+    """Lines of the dumps in ``folder`` with their file, the day named in its path, and the dump's name."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
-    return lines.select("value", day_of_path(F.col("_metadata.file_path")).alias("dt"))
+    file = F.col("_metadata.file_path")
+    return lines.select("value", file.alias("file"), day_of_path(file).alias("dt"), dump_name(file).alias("dump"))
 
 
-def stream_rows(lines: DataFrame, names: list[str] | None = None, separator: str = SEPARATOR) -> DataFrame:
-    """The transforms of the batch ingest. Jobs are not rolled up here: later days may add rows to a job."""
-    names = names or ACCOUNTING_COLUMNS
-    return typed_fields(whole_lines(lines, len(names), separator), names, separator)
+def store_lines(lines: DataFrame, database: str, columns: list[str], with_header: bool, separator: str = SEPARATOR) -> None:
+    """The transforms of the batch ingest on the lines of some files. Jobs are not rolled up: later days may add rows."""
+    whole = F.expr(is_whole(len(columns), separator))
+    # One row per file of the batch, of which there are at most as many as a trigger takes.
+    files = lines.groupBy("file", "dt", "dump").agg(F.count_if(whole).alias("whole")).collect()
+    if undated := [r["file"] for r in files if r["dt"] is None]:
+        raise ValueError(f"no day in the path of {undated[:3]}")
+    names = sorted(r["file"] for r in files)
+    found = headers(lines.sparkSession, names, columns, separator) if with_header else {separator.join(columns): names}
+    empty = [(r["dt"], r["dump"]) for r in files if r["whole"] <= with_header]
+    if found:
+        write_dumps(named_fields(lines.where(whole), found, separator), database, empty)
 
 
 def ingest_new_dumps(
@@ -30,17 +40,18 @@ def ingest_new_dumps(
     checkpoint: str,
     names: list[str] | None = None,
     separator: str = SEPARATOR,
+    columns: list[str] = ACCOUNTING_COLUMNS,
 ) -> StreamingQuery:
-    """Appends every dump that has not been ingested yet to the database, then stops.
+    """Adds every dump that has not been ingested yet to the database, then stops.
 
-    The checkpoint remembers the ingested files, so the daily job can simply be started again after a failure.
+    The checkpoint remembers the ingested files, so the daily job can simply be started again after a failure; a batch
+    that is run again replaces what it had written. Each file's columns are matched by its header, which must hold
+    ``columns``; ``names`` gives the columns of dumps without header lines. A dump without a day in its path fails.
     """
     return (
-        stream_rows(dump_stream(spark, folder), names, separator)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("dt")
+        dump_stream(spark, folder)
+        .writeStream.foreachBatch(lambda lines, _: store_lines(lines, database, names or columns, names is None, separator))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(database)
+        .start()
     )

@@ -132,3 +132,95 @@ def test_stream_ingests_each_dump_once(spark, tmp_path):
     assert run() == first
     (drop / "2026-02-25.csv").write_text("\n".join([HEADER, LINES[0]]) + "\n")
     assert run() == sorted(first + [("1", "2026-02-25")])
+
+
+def stored(spark, database):
+    return sorted((r["JobID"], str(r["dt"])) for r in store.read_days(spark, database).collect())
+
+
+@pytest.mark.parametrize("first", ["batch", "stream"])
+def test_batch_and_stream_share_a_database(spark, tmp_path, first):
+    drop, database, progress = tmp_path / "drop", str(tmp_path / "db"), str(tmp_path / "progress")
+    drop.mkdir()
+    (drop / "2026-02-25.csv").write_text("\n".join([HEADER, line(JobID="s")]) + "\n")
+    for day, job in (("2026-02-24", "b1"), ("2026-02-26", "b2")):
+        (tmp_path / f"{day}.csv").write_text("\n".join([HEADER, line(JobID=job)]) + "\n")
+
+    def stream():
+        ingest_new_dumps(spark, str(drop), database, progress).awaitTermination()
+
+    if first == "stream":
+        stream()
+    ingest(spark, str(tmp_path / "2026-02-24.csv"), database, "2026-02-24")
+    if first == "batch":
+        stream()
+    ingest(spark, str(tmp_path / "2026-02-26.csv"), database, "2026-02-26")
+    assert stored(spark, database) == [("b1", "2026-02-24"), ("b2", "2026-02-26"), ("s", "2026-02-25")]
+    # Another dump of a streamed day stays beside it; the streamed dump itself is replaced by its batch rerun.
+    (tmp_path / "more.csv").write_text("\n".join([HEADER, line(JobID="s2")]) + "\n")
+    ingest(spark, str(tmp_path / "more.csv"), database, "2026-02-25")
+    (drop / "2026-02-25.csv").write_text("\n".join([HEADER, line(JobID="s3")]) + "\n")
+    ingest(spark, str(drop / "2026-02-25.csv"), database, "2026-02-25")
+    assert stored(spark, database) == [("b1", "2026-02-24"), ("b2", "2026-02-26"), ("s2", "2026-02-25"), ("s3", "2026-02-25")]
+
+
+def test_an_empty_rerun_clears_its_dump(spark, dump, tmp_path):
+    database = str(tmp_path / "db")
+    ingest(spark, dump, database, DAY)
+    ingest(spark, dump, database, "2026-02-25")
+    with open(dump, "w") as file:
+        file.write(HEADER + "\nbroken|line\n")
+    assert ingest(spark, dump, database, DAY).dropped == 1
+    assert {d for _, d in stored(spark, database)} == {"2026-02-25"}
+    with pytest.raises(store.MissingDay):
+        store.read_day(spark, database, DAY)
+
+
+def test_an_empty_streamed_dump_clears_what_a_batch_left(spark, dump, tmp_path):
+    drop, database = tmp_path / "drop", str(tmp_path / "db")
+    drop.mkdir()
+    ingest(spark, dump, database, DAY)
+    (drop / f"{DAY}.csv").write_text(HEADER + "\nbroken|line\n")
+    ingest_new_dumps(spark, str(drop), database, str(tmp_path / "progress")).awaitTermination()
+    assert stored(spark, database) == []
+
+
+def test_each_file_is_read_with_its_own_header(spark, tmp_path):
+    drop = tmp_path / DAY
+    drop.mkdir()
+    (drop / "a.csv").write_text(HEADER + "\n" + line(JobID="1", QOS="q", State="s") + "\n")
+    swapped = ACCOUNTING_COLUMNS[::-1]
+    (drop / "b.csv").write_text("|".join(swapped) + "\n" + "|".join({"JobID": "2", "QOS": "q", "State": "s"}.get(n, "") for n in swapped) + "\n")
+    want = [("1", "q", "s"), ("2", "q", "s")]
+    pick = lambda rows: sorted(map(tuple, rows.select("JobID", "QOS", "State").collect()))
+    assert pick(dumps.read_dump(spark, str(drop))) == want
+    ingest(spark, str(drop), str(tmp_path / "batch"), DAY)
+    assert pick(store.read_days(spark, str(tmp_path / "batch"))) == want
+    ingest_new_dumps(spark, str(drop), str(tmp_path / "stream"), str(tmp_path / "progress")).awaitTermination()
+    assert pick(store.read_days(spark, str(tmp_path / "stream"))) == want
+
+
+def test_unknown_headers_and_undated_dumps_fail(spark, tmp_path):
+    for name, header, message in (("undated.csv", HEADER, "no day"), (f"{DAY}.csv", HEADER.replace("QOS", "Quality"), "other columns")):
+        drop = tmp_path / name.replace(".", "_").replace(DAY, "other")
+        drop.mkdir()
+        (drop / name).write_text(header + "\n" + line(JobID="1") + "\n")
+        with pytest.raises(Exception, match=message):
+            ingest_new_dumps(spark, str(drop), str(tmp_path / "db"), str(tmp_path / f"p-{drop.name}")).awaitTermination()
+
+
+def test_delimited_sizes_keep_spaces_quotes_and_empty_texts(spark, tmp_path):
+    from jobledger.schema import INPUT_SIZE_SCHEMA
+
+    rows = [("1", " padded ", "", 5, '/w/q"x|y'), ("2", None, None, None, " /w/a ")]
+    frame = spark.createDataFrame(rows, INPUT_SIZE_SCHEMA)
+    dumps.write_input_sizes(frame, str(tmp_path / "sizes"))
+    assert sorted(map(tuple, dumps.read_input_sizes(spark, str(tmp_path / "sizes")).collect())) == rows
+    (tmp_path / "other.csv").write_text('slurm_jobid|job_id|rule_name|input_size_bytes|inputs\n7|8||9|"/w/q""x|y"\n')
+    assert [tuple(r) for r in dumps.read_input_sizes(spark, str(tmp_path / "other.csv")).collect()] == [("7", "8", None, 9, '/w/q"x|y')]
+
+
+def test_per_job_export_keeps_spaces(spark, tmp_path):
+    store.write_csv(spark.createDataFrame([(" padded ", 'a "b"', None)], "a string, b string, c string").coalesce(1), str(tmp_path / "csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
+    assert text == 'a,b,c\n padded ,"a ""b""",\n'
