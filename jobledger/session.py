@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -37,10 +38,16 @@ def build_session(app_name: str = "jobledger", shuffle_partitions: int | None =
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder the cluster shares through ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a temporary folder of its own.
+    Only a session in one process (local tests) may do without that setting and gets a temporary folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        shared = tempfile.mkdtemp(prefix="jobledger-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _local_folder()
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="jobledger-")

@@ -95,15 +95,11 @@ QUOTED_NAMES = (
 ).split()
 
 
-TABLES = {
-    "orders": ("o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
-    "lineitem": ("l_orderkey", ["l_linenumber", "l_quantity"]),
-}
+TABLES = ("orders", "lineitem")
 
 
 def rows(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     """The mapping over the tables in ``sf_dir``, as a lazy frame."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     # The two spellings the engines do not share: quoted names and rows from a list of numbers.
     text = re.sub(r"unnest\(range\(0,(\d+)\)\)", lambda m: f"explode(sequence(0,{int(m[1]) - 1}))", mapping)
     for name in QUOTED_NAMES:
@@ -112,17 +108,10 @@ def rows(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     for name in TABLES:
         if f"FROM {name}" in text:
             text = text.replace(f"FROM {name}", "FROM {" + name + "}")
-            tables[name] = _table(spark, os.path.join(sf_dir, f"{name}.parquet"), *TABLES[name])
+            tables[name] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spark.sql(text, **tables)
 
 
-def _table(spark: SparkSession, path: str, key: str, columns: list[str]) -> DataFrame:
-    """The needed columns of a table. A file of one row group cannot be split: its rows are spread by key."""
-    table = spark.read.parquet(path).select(key, *columns)
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
-
-
 def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, ACCOUNTING).drop("row_ord")
     return df.withColumns({n: df[n].cast("long") for n in ("ElapsedRaw", "AllocCPUS", "CPUTimeRAW")})
