@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 # The shapes of the accounting fields.
 JOB_ROOT = r"^(\d+)"
 STEP_SUFFIX = r"^\.\d+\z"
 OTHER_SUFFIX = r"^\.."
+ARRAY_TASK = r"^\d+_(\d+)"
+STEP_PART = r"^\d+(?:_\d+)?\.(.+)"
 SIZE = r"(\d+)([KMGT])"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\z"
 CPU_DAYS = r"^\d+-\d+:\d+:\d+\z"
@@ -18,8 +22,6 @@ RULE_ALONE = r"^rule_(.+)\z"
 UNIT_BYTES = {"K": 2**10, "M": 2**20, "G": 2**30}
 GIGABYTE = 2**30
 
-KINDS = ["allocation", "batch", "extern", "step", "unknown"]
-
 
 def matched(text: str, pattern: str, group: int) -> str:
     """The regex group, or null (not an empty string) when there is no match."""
@@ -39,15 +41,20 @@ def job_kind(job_id: str, root: str | None = None) -> str:
         WHEN {suffix} RLIKE r'{OTHER_SUFFIX}' THEN 'unknown' ELSE 'allocation' END"""
 
 
-def dump_order(kind: str, job_id: str, *leading: str) -> str:
-    """Sort key that puts the rows of a job in dump order: allocation, batch, extern, steps by number.
+def dump_order(job_id: str, day: str | None = None) -> str:
+    """Sort key that puts the rows of a job in dump order, as two numbers: every text column keeps a copy of it.
 
-    ``leading`` columns (such as the day of the dump) come first.
+    First the day of the dump (if given) and the number of the array task; then, within a task or job, allocation, batch,
+    extern, steps by number, and anything else by a hash of the job id.
     """
-    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
-    step = f"try_cast(substring_index({job_id}, '.', -1) AS bigint)"
-    keys = [*leading, f"CASE {kind} {ranks} END", f"CASE WHEN {kind} = 'step' THEN {step} END", job_id]
-    return "struct(" + ", ".join(f"{key} AS k{i}" for i, key in enumerate(keys)) + ")"
+    part = f"regexp_extract({job_id}, r'{STEP_PART}', 1)"
+    task = f"coalesce(try_cast(regexp_extract({job_id}, r'{ARRAY_TASK}', 1) AS int) + 1L, 0L)"
+    first = task if day is None else f"shiftleft(CAST(unix_date({day}) AS bigint), 32) + {task}"
+    other = f"shiftrightunsigned(xxhash64({job_id}), 8)"
+    rank = f"""CASE WHEN {job_root(job_id)} IS NULL THEN 4 WHEN {part} = '' THEN 0 WHEN {part} = 'batch' THEN 1
+        WHEN {part} = 'extern' THEN 2 WHEN try_cast({part} AS int) >= 0 THEN 3 ELSE 4 END"""
+    within = f"CASE {rank} WHEN 3 THEN CAST({part} AS bigint) WHEN 4 THEN {other} ELSE 0L END"
+    return f"struct({first} AS k0, shiftleft(CAST({rank} AS bigint), 57) + coalesce({within}, 0L) AS k1)"
 
 
 def size_digits(text: str) -> str:
@@ -60,7 +67,7 @@ def size_unit(text: str) -> str:
 
 def unit_bytes(digits: str, unit: str) -> str:
     factors = " ".join(f"WHEN '{name}' THEN {size}L" for name, size in UNIT_BYTES.items())
-    return f"try_cast({digits} AS bigint) * CASE {unit} {factors} END"
+    return f"try_multiply(try_cast({digits} AS bigint), CASE {unit} {factors} END)"
 
 
 def size_bytes(text: str) -> str:
@@ -74,10 +81,14 @@ def gigabytes(size: str) -> str:
 
 
 def cpu_seconds(text: str) -> str:
-    """``D-HH:MM:SS``, ``HH:MM:SS`` or ``MM:SS.frac`` in whole seconds, 0 for any other text and for null."""
+    """``D-HH:MM:SS``, ``HH:MM:SS`` or ``MM:SS.frac`` in whole seconds, 0 for any other text and for null.
+
+    A number of seconds beyond 64 bits is null, like a size beyond them.
+    """
 
     def total(*seconds: int) -> str:
-        return " + ".join(f"{size}L * try_cast(get(split({text}, '[-:.]'), {i}) AS bigint)" for i, size in enumerate(seconds))
+        parts = [f"try_multiply({size}L, try_cast(get(split({text}, '[-:.]'), {i}) AS bigint))" for i, size in enumerate(seconds)]
+        return functools.reduce(lambda a, b: f"try_add({a}, {b})", parts)
 
     return f"""CASE WHEN {text} RLIKE r'{CPU_DAYS}' THEN {total(86400, 3600, 60, 1)}
         WHEN {text} RLIKE r'{CPU_HOURS}' THEN {total(3600, 60, 1)}

@@ -10,7 +10,7 @@ from jobledger.functions import parsing
 from jobledger.functions.arithmetic import ieee_divide
 from jobledger.schema import ACCOUNTING_SCHEMA, JOB_REPORT_COLUMNS, JOB_REPORT_DERIVED
 
-KIND, ORDER = "_kind", "_order"
+ORDER = "_order"
 DAY = "dt"
 
 
@@ -49,16 +49,17 @@ def add_rule_name(df: DataFrame) -> DataFrame:
     return with_expressions(df, {"rule_name": parsing.rule_name("Comment"), "wildcards": parsing.wildcards("Comment")})
 
 
-def _leading(df: DataFrame, keys: list[str]) -> list[str]:
+def _order(df: DataFrame, keys: list[str] | str) -> str:
     """A job in the dumps of several days takes its texts from the first, unless days are kept apart."""
-    return [DAY] if DAY in df.columns and DAY not in keys else []
+    keys = [keys] if isinstance(keys, str) else keys
+    return parsing.dump_order("JobID", DAY if DAY in df.columns and DAY not in keys else None)
 
 
 def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
     """One row per job over *all* columns: numbers take the maximum, texts the first non-null in dump order.
 
-    The order is taken from the data (``order`` is SQL text, by default day of the dump if rows have one, kind of
-    row, step number, job id) so that the answer does not depend on how Spark split the input. Columns nobody reads
+    The order is taken from the data (``order`` is SQL text, by default day of the dump if rows have one, array
+    task, kind of row, step number) so that the answer does not depend on how Spark split the input. Columns nobody reads
     afterwards are pruned, together with their aggregates. Rows of a job combine map-side, so a huge job (or all rows
     without a job number) reaches the shuffle as one row per task.
     """
@@ -75,10 +76,7 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
             aggregates.append(F.expr(first).alias(field.name))
         else:
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
-    if order is None:
-        df = with_expressions(df, {KIND: parsing.job_kind("JobID")})
-        order = parsing.dump_order(KIND, "JobID", *_leading(df, keys))
-    return with_expressions(df, {ORDER: order}).groupBy(*keys).agg(*aggregates)
+    return with_expressions(df, {ORDER: order or _order(df, keys)}).groupBy(*keys).agg(*aggregates)
 
 
 def add_memory_efficiency(df: DataFrame) -> DataFrame:
@@ -98,7 +96,6 @@ def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str
     # The three size steps above at once.
     sizes = {name: parsing.size_bytes(name) for name in ("MaxRSS", "ReqMem")}
     rows = bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
-    order = order or parsing.dump_order("JobInfoType", "JobID", *_leading(df, [keys] if isinstance(keys, str) else keys))
     jobs = aggregate_per_job(rows, keys, order)
     return jobs.transform(add_memory_efficiency).transform(add_cpu_seconds).transform(add_cpu_efficiency)
 

@@ -38,7 +38,7 @@ def test_first_texts_follow_dump_order(accounting):
         one = jobs["1"]
         assert (one["JobID"], one["State"], one["Account"], one["NodeList"], one["Elapsed"]) == ("1", "batch state", "two", "n2", "last")
         assert one["JobInfoType"] == "allocation" and one["ElapsedRaw"] == 5 and one["QOS"] is None
-        assert jobs["2"]["State"] == "eleven"
+        assert jobs["2"]["State"] == "seven"
 
 
 def test_efficiency(accounting):

@@ -85,3 +85,9 @@ def test_duration_labels(spark):
         "1h 2m 3s", "2m 3s", "3s", "0s", "N/A", "1h 0m 0s", "25h 0m 0s",
     ]
     assert column(spark, [1.005, None, 2.0], display.two_decimals("v"), "double")[1:] == ["0.00", "2.00"]
+
+
+def test_numbers_beyond_64_bits_are_null(spark):
+    rows = spark.createDataFrame([("99999999999G", "99999999999999999999-01:00:00"), ("1K", "9999999999999999-01:00:00"), (None, None)], "a string, b string")
+    found = rows.selectExpr(parsing.size_bytes("a"), parsing.cpu_seconds("b")).collect()
+    assert [tuple(r) for r in found] == [(None, None), (1024, None), (None, 0)]
