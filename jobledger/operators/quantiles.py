@@ -6,7 +6,9 @@ here one group may hold a third of all jobs (the cluster line of the daily repor
 1. values are counted, (group, value) -> n, which spreads a hot group over all tasks;
 2. the counts are added up in buckets of 0.024 % relative width, about 9 400 per factor of ten between the smallest
    and the largest value however many there are, and running totals over the buckets tell which hold the wanted ranks;
-3. only the distinct values in those buckets (one whole number up to 4 096, a few neighbours above) are put in order.
+3. values may crowd in a bucket (percents near 100), so each wanted bucket is cut again, into 4 096 parts of equal
+   width between its own smallest and largest value, and totals over the parts tell which hold the ranks;
+4. only the distinct values in those parts are put in order.
 
 The result is exact: buckets only decide which values are looked at, ranks are counted over all of them.
 """
@@ -43,6 +45,9 @@ BUCKET = f"""
          ELSE CAST(sign(value) AS bigint) * (floor((ln(abs(value)) + 745) * {STEPS}) + 1) END
 """
 
+# Place of a value between the ends of its bucket.
+PART = f"CASE WHEN high > low THEN least(floor((value - low) / (high - low) * {STEPS}), {STEPS - 1}) ELSE 0L END"
+
 
 def _position(probability: float, method: str) -> str:
     """Zero-based, fractional rank of a quantile among ``total`` values."""
@@ -78,19 +83,27 @@ def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: di
     # which run over the values of all wanted buckets, need only this added.
     buckets = (
         values.groupBy(*keys, "bucket")
-        .agg({"n": "sum"})
-        .withColumnRenamed("sum(n)", "n")
+        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .selectExpr(
             "*",
             f"{_counted_before(keys, 'bucket')} AS before",
             f"sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total",
         )
         .where(wanted)
-        .selectExpr(*keys, "bucket", "total", f"before - {_counted_before(keys, 'bucket')} AS skipped")
+        .selectExpr(*keys, "bucket", "low", "high", "total", f"before - {_counted_before(keys, 'bucket')} AS skipped")
+    )
+    inside = join_on(values, buckets, [*keys, "bucket"]).selectExpr(*keys, "value", "n", "bucket", f"{PART} AS part", "total", "skipped")
+    order = "bucket, part"
+    parts = (
+        inside.groupBy(*keys, "bucket", "part", "total", "skipped")
+        .agg(F.sum("n").alias("n"))
+        .selectExpr(*keys, "bucket", "part", "n", "total", f"skipped + {_counted_before(keys, order)} AS before")
+        .where(wanted)
+        .selectExpr(*keys, "bucket", "part", f"before - {_counted_before(keys, order)} AS skipped_more")
     )
     ranked = (
-        join_on(values, buckets, [*keys, "bucket"])
-        .selectExpr(*keys, "value", "n", "total", f"skipped + {_counted_before(keys, 'value')} AS before")
+        join_on(inside, parts, [*keys, "bucket", "part"])
+        .selectExpr(*keys, "value", "n", "total", f"skipped_more + {_counted_before(keys, 'value')} AS before")
         .where(wanted)
     )
     ends = [
