@@ -23,10 +23,11 @@ from jobledger.operators.boxplot import box_points, box_statistics
 from jobledger.operators.logs import add_chunks, log_input_sizes, log_records, run_ids
 from jobledger.operators.rules import distinct_rules, shown_table
 from jobledger.plans import daily, ingest, jobs, rules
-from jobledger.schema import DAILY_METRICS, RULE_MEASURES, SIZED_RULE_MEASURES
+from jobledger.plans.held import Held
+from jobledger.schema import CALENDAR_METRICS, DAILY_METRICS, RULE_MEASURES, SIZED_RULE_MEASURES
 from jobledger.session import scratch_path
 from jobledger.sources import dumps, metrics, star_tables, store
-from jobledger.sources.workflow_logs import read_log_lines
+from jobledger.sources.workflow_logs import file_manifest, plain_folder, read_log_lines
 from jobledger.streaming.ingest import ingest_new_dumps
 
 DAY = oracles.REPORT_DAY
@@ -65,9 +66,17 @@ def _lines(spark, sf_dir):
     return add_chunks(star_tables.log_lines(spark, sf_dir))
 
 
-def _report(spark, sf_dir, sized=False):
+def _report(spark, sf_dir, sized=False, **options):
     sizes = star_tables.input_sizes(spark, sf_dir) if sized else None
-    return rules.rule_efficiency(star_tables.accounting(spark, sf_dir), sizes=sizes)
+    return rules.rule_efficiency(star_tables.accounting(spark, sf_dir), sizes=sizes, **options)
+
+
+def _finished(df, held):
+    """The result as a stored table (a row per rule, or per day and class), so that what it was made from can be let go."""
+    with held:
+        path = scratch_path(df.sparkSession, "result")
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _metrics(df):
@@ -163,7 +172,8 @@ def daily_duration_all_days(spark, sf_dir):
 
 @query("daily_metrics")
 def daily_metrics(spark, sf_dir):
-    return _metrics(daily.daily_metrics(star_tables.accounting(spark, sf_dir), DAY))
+    held = Held()
+    return _finished(_metrics(daily.daily_metrics(star_tables.accounting(spark, sf_dir), DAY, held=held)), held)
 
 
 @query("daily_metrics_qos")
@@ -178,13 +188,15 @@ def daily_metrics_global(spark, sf_dir):
 
 @query("daily_metrics_all_days")
 def daily_metrics_all_days(spark, sf_dir):
-    return _metrics(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir)))
+    held = Held()
+    return _finished(_metrics(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir), held=held)), held)
 
 
 @query("metrics_json_range")
 def metrics_json_range(spark, sf_dir):
     path = scratch_path(spark, "metrics-json")
-    metrics.write_metrics_json(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir)), path)
+    with Held() as held:
+        metrics.write_metrics_json(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir), held=held), path)
     whole = [n for n in DAILY_METRICS if n.startswith("jobs_") or n.endswith(("_min", "_max")) or n == "cpu_seconds"]
     stored = metrics.read_metrics_json(spark, path, *RANGE)
     numbers = [f"CAST({n} AS bigint) AS {n}" if n in whole else n for n in DAILY_METRICS]
@@ -192,7 +204,7 @@ def metrics_json_range(spark, sf_dir):
 
 
 def _calendar(spark, sf_dir):
-    found = daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir))
+    found = daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir), *RANGE, names=CALENDAR_METRICS)
     return daily.metric_calendar(found, *RANGE)
 
 
@@ -201,6 +213,25 @@ def metric_calendar(spark, sf_dir):
     return rounded(_calendar(spark, sf_dir)[0])
 
 
+@query("stored_calendar")
+def stored_calendar(spark, sf_dir):
+    """The calendar of metrics that were stored day by day before."""
+    path = scratch_path(spark, "metrics")
+    with Held() as held:
+        metrics.write_metrics(daily.daily_metrics_range(star_tables.accounting_by_day(spark, sf_dir), held=held), path)
+    return rounded(daily.metric_calendar(metrics.read_metrics(spark, path, *RANGE), *RANGE)[0])
+
+
+@query("stored_daily_report")
+def stored_daily_report(spark, sf_dir):
+    """A day of the database to stored metrics, twice: the second run replaces the first."""
+    database, path = scratch_path(spark, "database"), scratch_path(spark, "metrics")
+    store.write_rows(star_tables.accounting_by_day(spark, sf_dir), database)
+    for _ in range(2):
+        stored = daily.daily_report(spark, database, DAY, path, json_path=scratch_path(spark, "metrics-json"))
+    return _metrics(stored)
+
+
 @query("calendar_summary")
 def calendar_summary(spark, sf_dir):
     legend = _calendar(spark, sf_dir)[1]
@@ -213,7 +244,9 @@ def calendar_summary(spark, sf_dir):
 
 @query("job_name_filter")
 def job_name_filter(spark, sf_dir):
-    return filters.name_contains_any(_efficiency(spark, sf_dir), ["n-3", "run-7"]).select("JobRoot", "JobID", "JobName")
+    parts = ["n-3", "run-7"]
+    rows = filters.rows_of_jobs_named(star_tables.accounting(spark, sf_dir), parts)
+    return filters.name_contains_any(per_job.job_efficiency(rows), parts).select("JobRoot", "JobID", "JobName")
 
 
 @query("job_name_exact")
@@ -225,7 +258,8 @@ def job_name_exact(spark, sf_dir):
 @query("run_id_jobs")
 def run_id_jobs(spark, sf_dir):
     names = run_ids(_lines(spark, sf_dir)).select("run_id")
-    return filters.name_in(_efficiency(spark, sf_dir), names).select("JobRoot", "JobID", "JobName")
+    rows = filters.rows_of_jobs_named(star_tables.accounting(spark, sf_dir), names)
+    return filters.name_in(per_job.job_efficiency(rows), names).select("JobRoot", "JobID", "JobName")
 
 
 # Rules
@@ -246,7 +280,8 @@ def _statistics(report):
     # Whole-number minima and maxima are compared as fractions, like the other statistics.
     names = {f"ElapsedRaw_{s}" for s in ("min", "max")}
     table = report.statistics
-    return rounded(table.selectExpr(*[f"CAST({n} AS double) AS {n}" if n in names else n for n in table.columns]))
+    shown = rounded(table.selectExpr(*[f"CAST({n} AS double) AS {n}" if n in names else n for n in table.columns]))
+    return _finished(shown, report.held)
 
 
 @query("rule_statistics")
@@ -271,9 +306,10 @@ def input_size_join(spark, sf_dir):
 
 def _table(measure: str) -> Query:
     def run(spark, sf_dir):
-        table = _report(spark, sf_dir, sized=measure in SIZED_RULE_MEASURES).table(measure)
+        report = _report(spark, sf_dir, sized=measure in SIZED_RULE_MEASURES, measures=[measure], texts=False)
+        table = report.table(measure)
         first, *rest = table.columns
-        return rounded(table.selectExpr(f"`{first}`", *[f"CAST(`{c}` AS double) AS `{c}`" for c in rest]))
+        return _finished(rounded(table.selectExpr(f"`{first}`", *[f"CAST(`{c}` AS double) AS `{c}`" for c in rest])), report.held)
 
     return run
 
@@ -284,7 +320,8 @@ QUERIES["relative_memory_table"], QUERIES["relative_runtime_table"] = map(_table
 
 @query("shown_cpu_table")
 def shown_cpu_table(spark, sf_dir):
-    return shown_table(_report(spark, sf_dir).table("CPUEfficiencyPercent"))
+    report = _report(spark, sf_dir, measures=["CPUEfficiencyPercent"], texts=False)
+    return _finished(shown_table(report.table("CPUEfficiencyPercent")), report.held)
 
 
 @query("efficiency_bands")
@@ -398,10 +435,38 @@ def streamed_dump(spark, sf_dir):
     return rounded(store.read_days(spark, database))
 
 
+@query("batch_and_stream")
+def batch_and_stream(spark, sf_dir):
+    """One half of the lines by batch, the other as a stream, into one database."""
+    lines_, database = star_tables.dump_lines(spark, sf_dir), scratch_path(spark, "database")
+    half, drop = scratch_path(spark, "dump"), os.path.join(scratch_path(spark, "drop"), oracles.NEXT_DAY)
+    lines_.where("pmod(length(value), 2) = 0").write.text(half)
+    lines_.where("pmod(length(value), 2) = 1").write.text(drop)
+    ingest.ingest(spark, half, database, DAY, column_count=4, names=star_tables.DUMP_COLUMNS)
+    ingest_new_dumps(spark, drop, database, scratch_path(spark, "progress"), names=star_tables.DUMP_COLUMNS).awaitTermination()
+    return rounded(store.read_days(spark, database))
+
+
+@query("database_files")
+def database_files(spark, sf_dir):
+    database = scratch_path(spark, "database")
+    store.write_rows(star_tables.accounting_by_day(spark, sf_dir), database)
+    found = store.read_files(spark, f"{database}/dt=1997-*/*/*.parquet", f"{database}/dt=1998-01-01")
+    return rounded(found.select("JobID", "State", "dt"))
+
+
+@query("job_export")
+def job_export(spark, sf_dir):
+    parquet, csv = scratch_path(spark, "jobs"), scratch_path(spark, "jobs-csv")
+    jobs.efficiency_per_job(star_tables.accounting(spark, sf_dir), parquet=parquet, csv=csv)
+    exported = spark.read.parquet(parquet)
+    return rounded(spark.read.schema(exported.schema).options(header=True, **store.FAITHFUL).csv(csv))
+
+
 @query("database_day")
 def database_day(spark, sf_dir):
     database = scratch_path(spark, "database")
-    store.write_days(star_tables.accounting_by_day(spark, sf_dir), database, many_days=True)
+    store.write_rows(star_tables.accounting_by_day(spark, sf_dir), database)
     return store.read_day(spark, database, DAY).select("JobID", "ElapsedRaw", "MaxRSS")
 
 
@@ -430,6 +495,32 @@ def log_files(spark, sf_dir):
     return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
 
 
+def _write_logs(spark, sf_dir):
+    """The logs as files below a folder per project, in the order of their lines."""
+    root = scratch_path(spark, "projects")
+    found = star_tables.log_lines(spark, sf_dir)
+    for project in oracles.PROJECTS:
+        own = found.where(F.col("file") == f"/w/{project}/.snakemake/log/run.log")
+        own.repartition(1).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
+    return root
+
+
+@query("file_sizes")
+def file_sizes(spark, sf_dir):
+    root = _write_logs(spark, sf_dir)
+    found = file_manifest(spark, [f"{root}/{p}/.snakemake/log" for p in oracles.PROJECTS]).where("path LIKE '%.txt'")
+    project = F.regexp_extract("path", r"/(p\d+)/\.snakemake/", 1)
+    return found.groupBy(project.alias("project")).agg(F.sum("length").alias("length"))
+
+
+@query("post_run_files")
+def post_run_files(spark, sf_dir):
+    root = _write_logs(spark, sf_dir)
+    sizes = star_tables.manifest(spark, sf_dir).withColumn("path", F.replace("path", F.lit("/w/"), F.lit(f"{plain_folder(root)}/")))
+    logs = [f"{root}/{p}/.snakemake/log" for p in oracles.PROJECTS]
+    return _statistics(rules.post_run_report(spark, logs, star_tables.accounting(spark, sf_dir), sizes))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """What share of the requested memory and CPU time did each job use?"""
     return job_efficiency(spark, "/root/testdata/sf0.001")

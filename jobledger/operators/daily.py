@@ -59,10 +59,14 @@ def _medians(facts: DataFrame) -> DataFrame:
     )
 
 
-def metrics_of_facts(facts: DataFrame, capacity: dict | None = None) -> DataFrame:
-    """All metrics for all days in ``facts``: (``dt``, ``scope``, ``QOS``, 19 metrics, ``jobs_ended_on_day``).
+def needs_medians(names: list[str] | None) -> bool:
+    return names is None or any(n.endswith("_median") for n in names)
 
-    ``facts`` is read twice (totals and medians), so pass a persisted or stored frame. Totals are aggregated per QOS
+
+def metrics_of_facts(facts: DataFrame, capacity: dict | None = None, names: list[str] | None = None) -> DataFrame:
+    """All metrics for all days in ``facts``: (``dt``, ``scope``, ``QOS``, 19 metrics, ``jobs_ended_on_day``), or ``names`` of them.
+
+    For medians ``facts`` is read twice, so pass a persisted or stored frame. Totals are aggregated per QOS
     and the cluster line is added up from those, so no job row is expanded before the first aggregation.
 
     ``jobs_ended`` counts jobs that *started* on the day, like ``jobs_started``; this is the reported metric.
@@ -93,8 +97,10 @@ def metrics_of_facts(facts: DataFrame, capacity: dict | None = None) -> DataFram
         "duration_mean": "duration_sum / nullif(duration_count, 0)",
         "jobs_ended": "jobs_started",
     }
-    complete = join_on(with_expressions(totals, derived), _medians(facts), SCOPE, "left")
-    return complete.select(*SCOPE, *DAILY_METRICS, "jobs_ended_on_day")
+    complete = with_expressions(totals, derived)
+    if needs_medians(names):
+        complete = join_on(complete, _medians(facts), SCOPE, "left")
+    return complete.select(*SCOPE, *(names or [*DAILY_METRICS, "jobs_ended_on_day"]))
 
 
 def merged_scopes(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobledger.functions.parsing import job_root
 
 def name_contains_any(jobs: DataFrame, parts: list[str] | None, column: str = "JobName") -> DataFrame:
     """Jobs whose name contains one of ``parts`` literally; ``None`` keeps every job.
@@ -29,5 +30,18 @@ def name_in(jobs: DataFrame, names: DataFrame, column: str = "JobName") -> DataF
     return jobs.join(other, jobs[column] == other["_name"], "left_semi")
 
 
+def rows_of_jobs_named(rows: DataFrame, names: list[str] | DataFrame | None) -> DataFrame:
+    """All rows of the jobs that have some row with one of the names.
+
+    A job whose own name fits is among them, so selecting rows like this before the roll-up and jobs by name after it
+    gives the same jobs as rolling everything up. The name test reaches the scan; only job numbers are shuffled for it.
+    """
+    if names is None:
+        return rows
+    named = name_in(rows, names) if isinstance(names, DataFrame) else name_contains_any(rows, names)
+    roots = named.selectExpr(f"{job_root('JobID')} AS _root").distinct()
+    return rows.join(roots, F.expr(f"{job_root('JobID')} <=> _root"), "left_semi")
+
+
 def with_rule(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("rule_name").isNotNull())

@@ -9,7 +9,7 @@ from jobledger.functions.arithmetic import max_number, min_number
 from jobledger.functions.display import band_colour, table_number
 from jobledger.operators.joining import join_on
 from jobledger.operators.quantiles import quantiles_of_frequencies, unpivoted_frequencies
-from jobledger.schema import BANDED_HEADINGS, RULE_HEADING, RULE_MEASURES, RULE_TABLES, SIZED_RULE_MEASURES
+from jobledger.schema import BANDED_HEADINGS, RULE_HEADING, RULE_TABLES
 
 KEY = "rule_name"
 STATISTICS = ["mean", "median", "std", "min", "max"]
@@ -45,22 +45,21 @@ def _moments(measure: str) -> list[str]:
     ]
 
 
-def rule_statistics(runs: DataFrame, sized: bool = False) -> DataFrame:
-    """Mean, median, deviation, minimum and maximum of each measure per rule.
+def rule_statistics(runs: DataFrame, measures: list[str], texts: bool = True) -> DataFrame:
+    """Mean, median, deviation, minimum and maximum of each measure per rule, and some texts.
 
-    ``runs`` is read three times (moments, medians, texts): pass a persisted or stored frame.
+    ``runs`` is read for moments, medians and texts: pass a persisted or stored frame.
     """
-    measures = RULE_MEASURES + (SIZED_RULE_MEASURES if sized else [])
     moments = runs.groupBy(KEY).agg(*[F.expr(e) for m in measures for e in _moments(m)])
     medians = (
         quantiles_of_frequencies(unpivoted_frequencies(runs, [KEY], measures), [KEY, "measure"], {"median": 0.5})
         .groupBy(KEY)
         .agg(*[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in measures])
     )
-    joined = join_on(join_on(moments, medians, [KEY], "left"), _text_statistics(runs), [KEY], "left")
-    return joined.select(
-        KEY, *[f"{m}_{s}" for m in measures for s in STATISTICS], "Elapsed_min", "Elapsed_max", *FIRST_TEXTS
-    )
+    joined, shown = join_on(moments, medians, [KEY], "left"), []
+    if texts:
+        joined, shown = join_on(joined, _text_statistics(runs), [KEY], "left"), ["Elapsed_min", "Elapsed_max", *FIRST_TEXTS]
+    return joined.select(KEY, *[f"{m}_{s}" for m in measures for s in STATISTICS], *shown)
 
 
 def distinct_rules(runs: DataFrame) -> DataFrame:

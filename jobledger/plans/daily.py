@@ -4,50 +4,60 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from jobledger.operators.calendar import calendar, calendar_summary
-from jobledger.operators.daily import for_day, job_facts, metrics_of_facts
+from jobledger.operators.daily import for_day, job_facts, metrics_of_facts, needs_medians
 from jobledger.operators.per_job import job_efficiency
+from jobledger.operators.timecols import date_literal
+from jobledger.plans.held import Held
 from jobledger.sources.metrics import read_metrics, write_metrics, write_metrics_json
 from jobledger.sources.store import read_day
 
 
-def _facts(jobs: DataFrame) -> DataFrame:
-    # Totals and medians both read the facts; without this the accounting rows would be scanned and rolled up twice.
-    # A dozen narrow columns per job, spilled to disk when large, recomputed from the rows if an executor is lost.
-    return job_facts(jobs).persist(StorageLevel.MEMORY_AND_DISK)
+def _facts(jobs: DataFrame, held: Held | None, names: list[str] | None) -> DataFrame:
+    """A dozen narrow columns per job. Totals and medians both read them; without medians nothing needs to be held."""
+    facts = job_facts(jobs)
+    return held.keep(facts) if held and needs_medians(names) else facts
 
 
-def daily_metrics(rows: DataFrame, day: str | dt.date, capacity: dict | None = None) -> DataFrame:
+def daily_metrics(rows: DataFrame, day: str | dt.date, capacity: dict | None = None, held: Held | None = None) -> DataFrame:
     """The metrics of one day from the accounting rows of its dump, per QOS and for the cluster.
 
-    The facts stay cached for further actions on the result until ``spark.catalog.clearCache()``.
+    With ``held`` the facts are computed once and kept until the caller closes it; without, each part computes its own.
     """
-    return metrics_of_facts(_facts(for_day(job_efficiency(rows), day)), capacity)
+    return metrics_of_facts(_facts(for_day(job_efficiency(rows), day), held, None), capacity)
 
 
-def daily_metrics_range(rows: DataFrame, capacity: dict | None = None) -> DataFrame:
-    """The metrics of every day in ``rows`` (which have a ``dt`` column) in one job.
+def daily_metrics_range(
+    rows: DataFrame,
+    first: str | dt.date | None = None,
+    last: str | dt.date | None = None,
+    names: list[str] | None = None,
+    capacity: dict | None = None,
+    held: Held | None = None,
+) -> DataFrame:
+    """The metrics (``names``, or all) of every day from ``first`` to ``last`` in one job; ``rows`` have a ``dt`` column.
 
-    A job that is in the dumps of several days counts on each of them, as it does when days are run one by one.
+    Only the rows of those days are read and rolled up, and only what is asked for is computed. A job that is in the dumps
+    of several days counts on each of them, as it does when days are run one by one.
     """
-    return metrics_of_facts(_facts(job_efficiency(rows, keys=["dt", "JobRoot"])), capacity)
+    if first is not None:
+        rows = rows.where(f"dt >= {date_literal(first)}")
+    if last is not None:
+        rows = rows.where(f"dt <= {date_literal(last)}")
+    return metrics_of_facts(_facts(job_efficiency(rows, keys=["dt", "JobRoot"]), held, names), capacity, names)
 
 
 def daily_report(
     spark: SparkSession, database: str, day: str | dt.date, metrics_path: str, json_path: str | None = None, capacity: dict | None = None
 ) -> DataFrame:
     """Reads a day of the database, computes its metrics and stores them; a rerun replaces the day."""
-    facts = _facts(for_day(job_efficiency(read_day(spark, database, day)), day))
-    try:
-        write_metrics(metrics_of_facts(facts, capacity), metrics_path)
-    finally:
-        facts.unpersist()
+    with Held() as held:
+        write_metrics(daily_metrics(read_day(spark, database, day), day, capacity, held), metrics_path, day)
     stored = read_metrics(spark, metrics_path, day, day)
     if json_path:
-        write_metrics_json(stored, json_path)
+        write_metrics_json(stored, json_path, day)
     return stored
 
 

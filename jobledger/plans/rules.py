@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from jobledger.operators.boxplot import box_points, box_statistics
-from jobledger.operators.filters import name_contains_any, name_in, with_rule
+from jobledger.operators.filters import name_contains_any, name_in, rows_of_jobs_named, with_rule
 from jobledger.operators.input_sizes import add_input_sizes
 from jobledger.operators.logs import log_input_sizes, run_ids
 from jobledger.operators.per_job import add_rule_name, job_efficiency
 from jobledger.operators.rules import distinct_rules, report_table, rule_statistics
+from jobledger.plans.held import Held
 from jobledger.schema import RULE_MEASURES, SIZED_RULE_MEASURES
 from jobledger.sources.dumps import write_input_sizes
 from jobledger.sources.store import write_table
@@ -24,9 +24,10 @@ def rule_runs(
 ) -> DataFrame:
     """The jobs of workflow rules, with input sizes if given.
 
-    ``job_names`` is a list of name parts, a frame of exact names, or ``None`` for all jobs.
+    ``job_names`` is a list of name parts, a frame of exact names, or ``None`` for all jobs. Only rows of jobs that may
+    have such a name are rolled up.
     """
-    jobs = job_efficiency(rows)
+    jobs = job_efficiency(rows_of_jobs_named(rows, job_names))
     jobs = name_in(jobs, job_names) if isinstance(job_names, DataFrame) else name_contains_any(jobs, job_names)
     runs = with_rule(add_rule_name(jobs))
     return runs if sizes is None else add_input_sizes(runs, sizes)
@@ -41,6 +42,7 @@ class RuleReport:
     statistics: DataFrame
     measures: list[str]
     box_method: str
+    held: Held
 
     def table(self, measure: str) -> DataFrame:
         """Rule and statistics under the report headings, sorted by rule."""
@@ -56,14 +58,12 @@ class RuleReport:
         return box_points(self.measured, ["rule_name"], measure, self.box_method)
 
     def close(self) -> None:
-        self.measured.unpersist()
-        self.statistics.unpersist()
+        self.held.close()
 
 
 def _narrow(runs: DataFrame, measures: list[str]) -> DataFrame:
-    """The columns the statistics read, held for the several aggregations over them."""
-    names = ["rule_name", "JobRoot", *measures, "Elapsed", "QOS", "Account", "NodeList"]
-    return runs.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
+    """The columns the statistics read."""
+    return runs.select("rule_name", "JobRoot", *measures, "Elapsed", "QOS", "Account", "NodeList")
 
 
 def rule_efficiency(
@@ -72,16 +72,22 @@ def rule_efficiency(
     sizes: DataFrame | None = None,
     output: str | None = None,
     box_method: str = "hazen",
+    measures: list[str] | None = None,
+    texts: bool = True,
 ) -> RuleReport:
-    """Tables and box plots per rule. With ``output`` the job rows are also stored there, and read back from there."""
-    measures = RULE_MEASURES + (SIZED_RULE_MEASURES if sizes is not None else [])
+    """Tables and box plots per rule. With ``output`` the job rows are also stored there, and read back from there.
+
+    For single tables give their ``measures`` and leave out the ``texts``: nothing else is computed then.
+    """
+    measures = measures or RULE_MEASURES + (SIZED_RULE_MEASURES if sizes is not None else [])
     runs = rule_runs(rows, job_names, sizes)
     if output:
         write_table(runs, output)
         runs = rows.sparkSession.read.parquet(output)
-    measured = _narrow(runs, measures)
-    statistics = rule_statistics(measured, sized=sizes is not None).persist(StorageLevel.MEMORY_AND_DISK)
-    return RuleReport(runs, measured, statistics, measures, box_method)
+    held = Held()
+    measured = held.keep(_narrow(runs, measures))
+    statistics = held.keep(rule_statistics(measured, measures, texts))
+    return RuleReport(runs, measured, statistics, measures, box_method, held)
 
 
 def post_run_report(

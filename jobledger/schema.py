@@ -5,41 +5,218 @@ from __future__ import annotations
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # The 109 accounting columns in the order of the dump, and those that hold integers.
-ACCOUNTING_COLUMNS = """
-Account AdminComment AllocCPUS AllocNodes AllocTRES AssocID AveCPU AveCPUFreq AveDiskRead AveDiskWrite AvePages AveRSS
-AveVMSize BlockID Cluster Comment Constraints ConsumedEnergy ConsumedEnergyRaw Container CPUTime CPUTimeRAW DBIndex
-DerivedExitCode Elapsed ElapsedRaw Eligible End ExitCode Flags GID Group JobID JobIDRaw JobName Layout MaxDiskRead
-MaxDiskReadNode MaxDiskReadTask MaxDiskWrite MaxDiskWriteNode MaxDiskWriteTask MaxPages MaxPagesNode MaxPagesTask MaxRSS
-MaxRSSNode MaxRSSTask MaxVMSize MaxVMSizeNode MaxVMSizeTask McsLabel MinCPU MinCPUNode MinCPUTask NCPUS NNodes NodeList
-NTasks Partition Priority QOS QOSRAW Reason ReqCPUFreq ReqCPUFreqGov ReqCPUFreqMax ReqCPUFreqMin ReqCPUS ReqMem ReqNodes
-ReqTRES Reservation ReservationId Reserved ResvCPU ResvCPURAW Start State Submit SubmitLine Suspended SystemComment
-SystemCPU Timelimit TimelimitRaw TotalCPU TRESUsageInAve TRESUsageInMax TRESUsageInMaxNode TRESUsageInMaxTask
-TRESUsageInMin TRESUsageInMinNode TRESUsageInMinTask TRESUsageInTot TRESUsageOutAve TRESUsageOutMax TRESUsageOutMaxNode
-TRESUsageOutMaxTask TRESUsageOutMin TRESUsageOutMinNode TRESUsageOutMinTask TRESUsageOutTot UID User UserCPU WCKey
-WCKeyID WorkDir
-""".split()
+ACCOUNTING_COLUMNS = [
+    "Account",
+    "AdminComment",
+    "AllocCPUS",
+    "AllocNodes",
+    "AllocTRES",
+    "AssocID",
+    "AveCPU",
+    "AveCPUFreq",
+    "AveDiskRead",
+    "AveDiskWrite",
+    "AvePages",
+    "AveRSS",
+    "AveVMSize",
+    "BlockID",
+    "Cluster",
+    "Comment",
+    "Constraints",
+    "ConsumedEnergy",
+    "ConsumedEnergyRaw",
+    "Container",
+    "CPUTime",
+    "CPUTimeRAW",
+    "DBIndex",
+    "DerivedExitCode",
+    "Elapsed",
+    "ElapsedRaw",
+    "Eligible",
+    "End",
+    "ExitCode",
+    "Flags",
+    "GID",
+    "Group",
+    "JobID",
+    "JobIDRaw",
+    "JobName",
+    "Layout",
+    "MaxDiskRead",
+    "MaxDiskReadNode",
+    "MaxDiskReadTask",
+    "MaxDiskWrite",
+    "MaxDiskWriteNode",
+    "MaxDiskWriteTask",
+    "MaxPages",
+    "MaxPagesNode",
+    "MaxPagesTask",
+    "MaxRSS",
+    "MaxRSSNode",
+    "MaxRSSTask",
+    "MaxVMSize",
+    "MaxVMSizeNode",
+    "MaxVMSizeTask",
+    "McsLabel",
+    "MinCPU",
+    "MinCPUNode",
+    "MinCPUTask",
+    "NCPUS",
+    "NNodes",
+    "NodeList",
+    "NTasks",
+    "Partition",
+    "Priority",
+    "QOS",
+    "QOSRAW",
+    "Reason",
+    "ReqCPUFreq",
+    "ReqCPUFreqGov",
+    "ReqCPUFreqMax",
+    "ReqCPUFreqMin",
+    "ReqCPUS",
+    "ReqMem",
+    "ReqNodes",
+    "ReqTRES",
+    "Reservation",
+    "ReservationId",
+    "Reserved",
+    "ResvCPU",
+    "ResvCPURAW",
+    "Start",
+    "State",
+    "Submit",
+    "SubmitLine",
+    "Suspended",
+    "SystemComment",
+    "SystemCPU",
+    "Timelimit",
+    "TimelimitRaw",
+    "TotalCPU",
+    "TRESUsageInAve",
+    "TRESUsageInMax",
+    "TRESUsageInMaxNode",
+    "TRESUsageInMaxTask",
+    "TRESUsageInMin",
+    "TRESUsageInMinNode",
+    "TRESUsageInMinTask",
+    "TRESUsageInTot",
+    "TRESUsageOutAve",
+    "TRESUsageOutMax",
+    "TRESUsageOutMaxNode",
+    "TRESUsageOutMaxTask",
+    "TRESUsageOutMin",
+    "TRESUsageOutMinNode",
+    "TRESUsageOutMinTask",
+    "TRESUsageOutTot",
+    "UID",
+    "User",
+    "UserCPU",
+    "WCKey",
+    "WCKeyID",
+    "WorkDir",
+]
 
-INTEGER_COLUMNS = """
-AllocCPUS AllocNodes AssocID AvePages ConsumedEnergy ConsumedEnergyRaw CPUTimeRAW DBIndex ElapsedRaw GID
-MaxDiskReadTask MaxDiskWriteTask MaxPages MaxPagesTask MaxRSSTask MaxVMSizeTask MinCPUTask NCPUS NNodes NTasks Priority
-QOSRAW ReqCPUS ReqNodes ResvCPURAW UID WCKeyID
-""".split()
+INTEGER_COLUMNS = [
+    "AllocCPUS",
+    "AllocNodes",
+    "AssocID",
+    "AvePages",
+    "ConsumedEnergy",
+    "ConsumedEnergyRaw",
+    "CPUTimeRAW",
+    "DBIndex",
+    "ElapsedRaw",
+    "GID",
+    "MaxDiskReadTask",
+    "MaxDiskWriteTask",
+    "MaxPages",
+    "MaxPagesTask",
+    "MaxRSSTask",
+    "MaxVMSizeTask",
+    "MinCPUTask",
+    "NCPUS",
+    "NNodes",
+    "NTasks",
+    "Priority",
+    "QOSRAW",
+    "ReqCPUS",
+    "ReqNodes",
+    "ResvCPURAW",
+    "UID",
+    "WCKeyID",
+]
 
 # The columns of the per-job efficiency export, in its order.
-JOB_REPORT_COLUMNS = """
-Account AllocCPUS AllocNodes AveCPU AveCPUFreq AveDiskRead AveDiskWrite AvePages AveRSS AveVMSize Comment CPUTime
-CPUTimeRAW DerivedExitCode Elapsed ElapsedRaw End ExitCode Flags Group JobID JobName MaxDiskRead MaxDiskReadNode
-MaxDiskReadTask MaxDiskWrite MaxDiskWriteNode MaxDiskWriteTask MaxPages MaxPagesNode MaxPagesTask MaxRSS MaxRSSNode
-MaxRSSTask MaxVMSize MaxVMSizeNode MaxVMSizeTask MinCPU MinCPUNode MinCPUTask NCPUS NNodes NodeList NTasks Partition QOS
-ReqCPUS ReqMem ReqNodes Start State Submit SubmitLine Suspended SystemCPU Timelimit TimelimitRaw TotalCPU User UserCPU
-WorkDir
-""".split()
+JOB_REPORT_COLUMNS = [
+    "Account",
+    "AllocCPUS",
+    "AllocNodes",
+    "AveCPU",
+    "AveCPUFreq",
+    "AveDiskRead",
+    "AveDiskWrite",
+    "AvePages",
+    "AveRSS",
+    "AveVMSize",
+    "Comment",
+    "CPUTime",
+    "CPUTimeRAW",
+    "DerivedExitCode",
+    "Elapsed",
+    "ElapsedRaw",
+    "End",
+    "ExitCode",
+    "Flags",
+    "Group",
+    "JobID",
+    "JobName",
+    "MaxDiskRead",
+    "MaxDiskReadNode",
+    "MaxDiskReadTask",
+    "MaxDiskWrite",
+    "MaxDiskWriteNode",
+    "MaxDiskWriteTask",
+    "MaxPages",
+    "MaxPagesNode",
+    "MaxPagesTask",
+    "MaxRSS",
+    "MaxRSSNode",
+    "MaxRSSTask",
+    "MaxVMSize",
+    "MaxVMSizeNode",
+    "MaxVMSizeTask",
+    "MinCPU",
+    "MinCPUNode",
+    "MinCPUTask",
+    "NCPUS",
+    "NNodes",
+    "NodeList",
+    "NTasks",
+    "Partition",
+    "QOS",
+    "ReqCPUS",
+    "ReqMem",
+    "ReqNodes",
+    "Start",
+    "State",
+    "Submit",
+    "SubmitLine",
+    "Suspended",
+    "SystemCPU",
+    "Timelimit",
+    "TimelimitRaw",
+    "TotalCPU",
+    "User",
+    "UserCPU",
+    "WorkDir",
+]
 JOB_REPORT_DERIVED = ["ReqMem_G", "MaxRSS_G", "MemEfficiencyPercent", "CPUEfficiencyPercent"]
 
 SEPARATOR = "|"
 
 # What the cluster can deliver in a day (CPU seconds, gigabyte seconds).
-DEFAULT_CAPACITY = {"cpu_seconds": (4 * 96 + 40) * 86400, "gb_seconds": 2183 * 86400}
+DEFAULT_CAPACITY = {"cpu_seconds": 36633600, "gb_seconds": 188611200}
 
 # The daily metrics in report order, our column name and the label used in the JSON export.
 DAILY_METRICS = {

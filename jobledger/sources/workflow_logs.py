@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def plain_path(uri: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
+def plain_folder(uri: str) -> str:
+    """A folder's URI as logs and manifests name it."""
+    return re.sub(r"^file:/+", "/", uri.rstrip("/"))
+
+
 def valid_text(value: Column) -> Column:
     """Text without the bytes that are not UTF-8."""
     return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit("")))
@@ -31,6 +38,10 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(``path``, ``length``) of all files below the given folders; contents are not read."""
+    """(``path``, ``length``) of all files below the given folders; contents are not read.
+
+    Folders themselves are in no manifest, so an input that is a folder counts 0: the size of a folder entry says nothing
+    about its contents. The driver lists the files; for very large trees store the manifest as a table and pass that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     return files.select(plain_path(F.col("path")).alias("path"), "length")

@@ -2,12 +2,137 @@
 
 from __future__ import annotations
 
-from jobledger.schema import ACCOUNTING_SCHEMA, DEFAULT_CAPACITY, JOB_REPORT_COLUMNS, RULE_HEADING, RULE_TABLES
 from jobledger.sources.star_tables import ACCOUNTING, DUMP_LINES, INPUT_SIZES, JOB_DAYS, LOG_LINES, MANIFEST
 
 REPORT_DAY = "1997-05-01"
+NEXT_DAY = "1997-05-02"
+PROJECTS = ("p0", "p1", "p2", "p3")
 RANGE = ("1994-12-20", "2001-08-31")
 
+# Fixed values, written out here so that a wrong one in the library shows.
+CPU_CAPACITY, GB_CAPACITY = "36633600.0", "188611200.0"
+RULE_HEADING = "Nom de la règle"
+RULE_TABLES = {
+    "MemEfficiencyPercent": [
+        "Efficacité mémoire moyenne",
+        "Efficacité mémoire médiane",
+        "Efficacité mémoire (écart-type)",
+        "Efficacité mémoire minimum",
+        "Efficacité mémoire maximum",
+    ],
+    "CPUEfficiencyPercent": [
+        "Efficacité CPU moyenne",
+        "Efficacité CPU médiane",
+        "Efficacité CPU (écart-type)",
+        "Efficacité CPU minimum",
+        "Efficacité CPU maximum",
+    ],
+    "ElapsedRaw": [
+        "Durée moyenne",
+        "Durée médiane",
+        "Durée (écart-type)",
+        "Durée minimum",
+        "Durée maximum",
+    ],
+    "UsedRAMPerMo": [
+        "RAM utilisée par Mo (moyenne)",
+        "RAM utilisée par Mo (médiane)",
+        "RAM utilisée par Mo (écart-type)",
+        "RAM utilisée par Mo (minimum)",
+        "RAM utilisée par Mo (maximum)",
+    ],
+    "MinPerMo": [
+        "Minutes par Mo (moyenne)",
+        "Minutes par Mo (médiane)",
+        "Minutes par Mo (écart-type)",
+        "Minutes par Mo (minimum)",
+        "Minutes par Mo (maximum)",
+    ],
+}
+# The columns of the per-job export; those of the second list hold integers.
+JOB_REPORT_COLUMNS = [
+    "Account",
+    "AllocCPUS",
+    "AllocNodes",
+    "AveCPU",
+    "AveCPUFreq",
+    "AveDiskRead",
+    "AveDiskWrite",
+    "AvePages",
+    "AveRSS",
+    "AveVMSize",
+    "Comment",
+    "CPUTime",
+    "CPUTimeRAW",
+    "DerivedExitCode",
+    "Elapsed",
+    "ElapsedRaw",
+    "End",
+    "ExitCode",
+    "Flags",
+    "Group",
+    "JobID",
+    "JobName",
+    "MaxDiskRead",
+    "MaxDiskReadNode",
+    "MaxDiskReadTask",
+    "MaxDiskWrite",
+    "MaxDiskWriteNode",
+    "MaxDiskWriteTask",
+    "MaxPages",
+    "MaxPagesNode",
+    "MaxPagesTask",
+    "MaxRSS",
+    "MaxRSSNode",
+    "MaxRSSTask",
+    "MaxVMSize",
+    "MaxVMSizeNode",
+    "MaxVMSizeTask",
+    "MinCPU",
+    "MinCPUNode",
+    "MinCPUTask",
+    "NCPUS",
+    "NNodes",
+    "NodeList",
+    "NTasks",
+    "Partition",
+    "QOS",
+    "ReqCPUS",
+    "ReqMem",
+    "ReqNodes",
+    "Start",
+    "State",
+    "Submit",
+    "SubmitLine",
+    "Suspended",
+    "SystemCPU",
+    "Timelimit",
+    "TimelimitRaw",
+    "TotalCPU",
+    "User",
+    "UserCPU",
+    "WorkDir",
+]
+JOB_REPORT_INTEGERS = [
+    "AllocCPUS",
+    "AllocNodes",
+    "AvePages",
+    "CPUTimeRAW",
+    "ElapsedRaw",
+    "MaxDiskReadTask",
+    "MaxDiskWriteTask",
+    "MaxPages",
+    "MaxPagesTask",
+    "MaxRSSTask",
+    "MaxVMSizeTask",
+    "MinCPUTask",
+    "NCPUS",
+    "NNodes",
+    "NTasks",
+    "ReqCPUS",
+    "ReqNodes",
+]
+
 CTES = {
     "acct": ACCOUNTING,
     "parsed": """
@@ -124,9 +249,9 @@ def _metrics(group: str, jobs: str, day: str, where: str = "") -> str:
     columns = [
         f"CAST({cpu} AS BIGINT) cpu_seconds",
         _r(f"{cpu} / 3600.0", "cpu_hours"),
-        _r(f"{cpu} / {float(DEFAULT_CAPACITY['cpu_seconds'])} * 100", "cpu_usage_percent"),
+        _r(f"{cpu} / {CPU_CAPACITY} * 100", "cpu_usage_percent"),
         f"round({gb}, 3) gb_seconds",
-        _r(f"{gb} / {float(DEFAULT_CAPACITY['gb_seconds'])} * 100", "ram_usage_percent"),
+        _r(f"{gb} / {GB_CAPACITY} * 100", "ram_usage_percent"),
         _r(f"avg({wait})", "wait_mean"),
         _r(f"median({wait})", "wait_median"),
         f"min({wait}) wait_min",
@@ -202,7 +327,7 @@ def _band(v: str) -> str:
 
 
 def _report_columns() -> str:
-    types = {f.name: ("BIGINT" if f.dataType.simpleString() == "bigint" else "VARCHAR") for f in ACCOUNTING_SCHEMA}
+    types = {c: "BIGINT" if c in JOB_REPORT_INTEGERS else "VARCHAR" for c in JOB_REPORT_COLUMNS}
     known = set(TEXTS + NUMBERS)
     return ", ".join(f'"{c}"' if c in known else f'CAST(NULL AS {types[c]}) "{c}"' for c in JOB_REPORT_COLUMNS)
 
@@ -219,7 +344,7 @@ SHORT = '"JobRoot", "JobID"'
 EFFICIENCY = f"""SELECT {SHORT}, "User", "State", "QOS", {_r('"ReqMem_G"', 'req_gb')}, {_r('"MaxRSS_G"', 'rss_gb')}, {_r('"MemEfficiencyPercent"', 'mem_percent')},
     "TotalCPU_seconds" cpu_seconds, {_r('"CPUEfficiencyPercent"', 'cpu_percent')} FROM jobs"""
 CALENDAR = f"""cal AS (SELECT CAST(d AS DATE) d FROM generate_series(TIMESTAMP '{RANGE[0]}', TIMESTAMP '{RANGE[1]}', INTERVAL 1 DAY) t(d)),
-    daily AS (SELECT dt, sum("TotalCPU_seconds") / {float(DEFAULT_CAPACITY['cpu_seconds'])} * 100 cpu, coalesce(sum("MaxRSS" / 1073741824.0 * "ElapsedRaw"), 0) / {float(DEFAULT_CAPACITY['gb_seconds'])} * 100 ram FROM day_jobs GROUP BY dt),
+    daily AS (SELECT dt, sum("TotalCPU_seconds") / {CPU_CAPACITY} * 100 cpu, coalesce(sum("MaxRSS" / 1073741824.0 * "ElapsedRaw"), 0) / {GB_CAPACITY} * 100 ram FROM day_jobs GROUP BY dt),
     series AS (SELECT d, dt IS NOT NULL has_data, coalesce(ram, 0) ram, coalesce(cpu, 0) cpu FROM cal LEFT JOIN daily ON dt = d)"""
 QOS_LINE = "'qos' \"scope\", \"QOS\""
 GLOBAL_LINE = "'global' \"scope\", CAST(NULL AS VARCHAR) \"QOS\""
@@ -229,6 +354,11 @@ WHOLE = """len(string_split("value", '|')) = 4"""
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {"stored_calendar": found["metric_calendar"], "job_export": found["job_report"], "post_run_files": found["post_run_statistics"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     all_days = (
         _metrics(f"CAST(dt AS VARCHAR) dt, {QOS_LINE}", "day_jobs", "dt", 'GROUP BY dt, "QOS"')
         + " UNION ALL "
@@ -325,8 +455,22 @@ def oracle_sql() -> dict[str, str]:
         "log_records": _with(["records"], 'SELECT "file", first_line, slurm_jobid, job_id, rule_name, replace(input_text, \', \', \',\') inputs FROM records'),
         "log_input_sizes": _with(["log_sizes"], "SELECT * FROM log_sizes"),
         "log_run_ids": _with(["log_run_ids"], "SELECT * FROM log_run_ids"),
-        "input_sizes_csv": _with(["log_sizes"], "SELECT slurm_jobid, job_id, nullif(rule_name, '') rule_name, input_size_bytes, \"inputs\" FROM log_sizes"),
+        "input_sizes_csv": _with(["log_sizes"], "SELECT * FROM log_sizes"),
         "post_run_statistics": _with(["logged_runs"], _statistics("logged_runs", list(RULE_TABLES))),
+        "stored_daily_report": _with(
+            ["day_jobs"],
+            _metrics(f"CAST(dt AS VARCHAR) dt, {QOS_LINE}", "day_jobs", "dt", f'WHERE dt = {DAY} GROUP BY dt, "QOS"')
+            + " UNION ALL "
+            + _metrics(f"CAST(dt AS VARCHAR) dt, {GLOBAL_LINE}", "day_jobs", "dt", f"WHERE dt = {DAY} GROUP BY dt"),
+        ),
+        "batch_and_stream": _with(
+            ["dump"], f"""SELECT {DUMP_FIELDS}, CASE WHEN length("value") % 2 = 0 THEN '{REPORT_DAY}' ELSE '{NEXT_DAY}' END dt FROM dump WHERE {WHOLE}"""
+        ),
+        "database_files": _with(
+            ["acct", "days"],
+            """SELECT "JobID", "State", CAST(dt AS VARCHAR) dt FROM acct JOIN days ON job = split_part("JobID", '.', 1) WHERE year(dt) = 1997 OR dt = DATE '1998-01-01'""",
+        ),
+        "file_sizes": _with(["log_lines"], """SELECT split_part("file", '/', 3) project, CAST(sum(strlen("value") + 1) AS BIGINT) "length" FROM log_lines GROUP BY 1"""),
         "sanitized_lines": _with(["dump"], f'SELECT "value" FROM dump WHERE {WHOLE}'),
         "sanitizer_counts": _with(["dump"], f"SELECT count(*) total, count_if({WHOLE}) kept, count_if(NOT {WHOLE}) dropped FROM dump"),
         "ingested_dump": _with(["dump"], f"SELECT {DUMP_FIELDS}, '{REPORT_DAY}' dt FROM dump WHERE {WHOLE}"),
