@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,22 +37,33 @@ def numbered(spark, logs, chunk=65536):
     return add_chunks(spark.createDataFrame(rows, "file string, line_no long, value string").repartition(3), chunk)
 
 
-def brute(text):
-    """Records of a log, line by line."""
-    found, record = [], None
-    for number, line in enumerate(text.splitlines()):
-        if line.startswith("["):
-            record = {"first_line": number, "slurm_jobid": None, "job_id": None, "rule_name": "", "inputs": []}
-            found.append(record)
-        if record is None:
-            continue
-        if m := re.match(r"\s*input\s*:\s*(.+)", line, re.I):
-            record["inputs"] = [p.strip() for p in m[1].split(",")]
-        if m := re.match(r"Job\s+(\d+)\s+has\s+been\s+submitted\s+with\s+SLURM\s+jobid\s+(\d+)\s+\(log:\s+.+\)\.$", line, re.I):
-            record["job_id"], record["slurm_jobid"] = m[1], m[2]
-        if m := re.match(r"rule\s+(\S+):", line):
-            record["rule_name"] = m[1]
-    return [r for r in found if r["job_id"]]
+# What the log above holds, written by hand.
+RECORDS = [
+    {"first_line": 3, "slurm_jobid": "12345", "job_id": "3", "rule_name": "align", "inputs": ["data/a.fq", "data/b.fq"]},
+    {"first_line": 9, "slurm_jobid": "12346", "job_id": "4", "rule_name": "", "inputs": ["/abs//x/../y.txt"]},
+    {"first_line": 13, "slurm_jobid": "12348", "job_id": "6", "rule_name": "bare", "inputs": None},
+]
+
+
+def written(rng, blocks):
+    """A log and its records: each block is made from the record it stands for, in any order of lines, with noise."""
+    lines, records = ["before", "rule lost:"], []
+    for i in range(blocks):
+        record = {"first_line": len(lines), "slurm_jobid": None, "job_id": None, "rule_name": "", "inputs": None}
+        body = ["noise"] * rng.randrange(3)
+        if rng.random() < 0.7:
+            record["rule_name"] = f"r{rng.randrange(9)}"
+            body.append(f"rule {record['rule_name']}:")
+        if rng.random() < 0.7:
+            record["inputs"] = [f"f{i}", "g h"][: rng.randint(1, 2)]
+            body.append(f"   {rng.choice(['input', 'INPUT'])}: {', '.join(record['inputs'])}")
+        if rng.random() < 0.7:
+            record["job_id"], record["slurm_jobid"] = str(i), str(1000 + i)
+            body.append(f"Job {i} has been submitted with SLURM jobid {1000 + i} (log: x.log).")
+        rng.shuffle(body)
+        lines += [f"[block {i}]", *body]
+        records += [record] if record["job_id"] else []
+    return "\n".join(lines), records
 
 
 def collected(df):
@@ -63,21 +73,19 @@ def collected(df):
 
 def test_records(spark):
     got = collected(log_records(numbered(spark, {"/p/.snakemake/log/1.log": LOG})))
-    assert got == brute(LOG)
-    assert [r["slurm_jobid"] for r in got] == ["12345", "12346", "12348"]
-    assert got[0]["inputs"] == ["data/a.fq", "data/b.fq"] and got[1]["rule_name"] == ""
+    assert [{**r, "inputs": r["inputs"] or None} for r in got] == RECORDS
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 5, 7, 1000])
 def test_records_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(chunk)
-    pieces = ["[block]", "rule r%d:", "    input: f%d, g", "Job 1 has been submitted with SLURM jobid %d (log: x).", "other", ""]
-    text = "\n".join((p % rng.randrange(99)) if "%d" in p else p for p in (rng.choice(pieces) for _ in range(300)))
+    text, known = written(rng, 80)
     silent = "\n".join(["nothing"] * 20)
     lines = numbered(spark, {"one": text, "two": LOG, "three": silent}, chunk)
     records = log_records(lines)
-    for name, body in (("one", text), ("two", LOG), ("three", silent)):
-        assert collected(records.where(F.col("file") == name)) == brute(body)
+    for name, want in (("one", known), ("two", RECORDS), ("three", [])):
+        got = collected(records.where(F.col("file") == name))
+        assert [{**r, "inputs": r["inputs"] or None} for r in got] == want
 
 
 def test_run_ids(spark):
@@ -127,7 +135,7 @@ def test_files(spark, tmp_path):
     assert [r["run_id"] for r in ids.collect()] == ["1a2b-3c4d"]
     assert {r["slurm_jobid"]: r["input_size_bytes"] for r in sizes.collect()} == {"12345": 15, "12346": 0, "12348": 0}
     stored = {r["slurm_jobid"]: r for r in read_input_sizes(spark, str(tmp_path / "csv")).collect()}
-    assert stored["12345"]["inputs"].endswith("my project+1/data/b.fq") and stored["12346"]["rule_name"] is None
+    assert stored["12345"]["inputs"].endswith("my project+1/data/b.fq") and stored["12346"]["rule_name"] == ""
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_log_lines(spark, str(tmp_path / "absent.log"))
 
@@ -142,7 +150,7 @@ def test_splitting_a_file_gives_the_same_records(spark, tmp_path):
         got = sorted((r["slurm_jobid"], r["rule_name"], tuple(r["inputs"])) for r in log_records(lines).collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == sorted((r["slurm_jobid"], r["rule_name"], tuple(r["inputs"])) for r in brute(text))
+    assert got == sorted((r["slurm_jobid"], r["rule_name"], tuple(r["inputs"] or ())) for r in RECORDS * 200)
 
 
 def test_post_run_report(spark, accounting, tmp_path):
