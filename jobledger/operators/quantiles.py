@@ -68,16 +68,9 @@ def _counted_before(keys: list[str], order: str) -> str:
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"""
 
 
-def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: dict[str, float], method: str = "linear") -> DataFrame:
-    """One row per group: the keys, ``count`` and one column per entry of ``probabilities``.
-
-    ``freq`` has the keys, ``value`` and ``n``; a value may come in several rows. ``linear`` interpolates at rank
-    ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based.
-    """
-    positions = {name: _position(p, method) for name, p in probabilities.items()}
-    wanted = " OR ".join(f"{_holds(f'floor({p})')} OR {_holds(f'ceil({p})')}" for p in positions.values())
+def values_to_rank(freq: DataFrame, keys: list[str], wanted: str) -> DataFrame:
+    """The values near the wanted ranks, with ``n``, ``total`` and how many values lie before them and were left out."""
     group = ", ".join(keys)
-
     values = freq.selectExpr(*keys, "value", "n", f"{BUCKET} AS bucket")
     # ``skipped`` counts what lies before a wanted bucket and in no other wanted one, so that the totals below,
     # which run over the values of all wanted buckets, need only this added.
@@ -101,8 +94,19 @@ def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: di
         .where(wanted)
         .selectExpr(*keys, "bucket", "part", f"before - {_counted_before(keys, order)} AS skipped_more")
     )
+    return join_on(inside, parts, [*keys, "bucket", "part"]).select(*keys, "value", "n", "total", "skipped_more")
+
+
+def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: dict[str, float], method: str = "linear") -> DataFrame:
+    """One row per group: the keys, ``count`` and one column per entry of ``probabilities``.
+
+    ``freq`` has the keys, ``value`` and ``n``; a value may come in several rows. ``linear`` interpolates at rank
+    ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based.
+    """
+    positions = {name: _position(p, method) for name, p in probabilities.items()}
+    wanted = " OR ".join(f"{_holds(f'floor({p})')} OR {_holds(f'ceil({p})')}" for p in positions.values())
     ranked = (
-        join_on(inside, parts, [*keys, "bucket", "part"])
+        values_to_rank(freq, keys, wanted)
         .selectExpr(*keys, "value", "n", "total", f"skipped_more + {_counted_before(keys, 'value')} AS before")
         .where(wanted)
     )

@@ -20,36 +20,46 @@ WITH a AS (
  FROM orders),
 b AS (SELECT *, CASE WHEN k % 97 = 0 THEN 0 ELSE el*cpus END cputime,
    CAST(floor(CASE WHEN k % 97 = 0 THEN 0 ELSE el*cpus*(k % 120) END / 100.0) AS BIGINT) t FROM a),
-alloc AS (SELECT CAST(k AS STRING) "JobID", 0 row_ord, replace(substr(CAST(sub AS STRING),1,19),' ','T') "Submit",
+alloc AS (SELECT CAST(k AS STRING)||CASE WHEN k % 59 = 0 THEN '_2' ELSE '' END "JobID", 0 row_ord, replace(substr(CAST(sub AS STRING),1,19),' ','T') "Submit",
    replace(substr(CAST(sub + INTERVAL '1' SECOND * w AS STRING),1,19),' ','T') "Start",
    CASE WHEN k % 50 = 0 THEN 'Unknown' ELSE replace(substr(CAST(sub + INTERVAL '1' SECOND * (w+el) AS STRING),1,19),' ','T') END "End",
    el "ElapsedRaw", cpus "AllocCPUS", cputime "CPUTimeRAW",
-   CASE WHEN k % 101 = 0 THEN '0' WHEN k % 11 = 0 THEN CAST(512*(1+k%8) AS STRING)||'M' ELSE CAST(1+k%64 AS STRING)||'G' END "ReqMem",
+   CASE WHEN k % 101 = 0 THEN '0' WHEN k % 43 = 0 THEN '2T' WHEN k % 47 = 0 THEN '1.5G' WHEN k % 53 = 0 AND k % 3 = 2 THEN '0K' WHEN k % 11 = 0 THEN CAST(512*(1+k%8) AS STRING)||'M' ELSE CAST(1+k%64 AS STRING)||'G' END "ReqMem",
    CAST(NULL AS STRING) "MaxRSS",
-   CASE WHEN t >= 86400 THEN CAST(CAST(floor(t/86400.0) AS BIGINT) AS STRING)||'-'||lpad(CAST(CAST(floor((t%86400)/3600.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(floor((t%3600)/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(t%60 AS BIGINT) AS STRING),2,'0')
+   CASE WHEN k % 29 = 0 AND k % 97 <> 0 THEN CAST(NULL AS STRING) WHEN t >= 86400 THEN CAST(CAST(floor(t/86400.0) AS BIGINT) AS STRING)||'-'||lpad(CAST(CAST(floor((t%86400)/3600.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(floor((t%3600)/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(t%60 AS BIGINT) AS STRING),2,'0')
         WHEN t >= 3600 THEN lpad(CAST(CAST(floor(t/3600.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(floor((t%3600)/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(t%60 AS BIGINT) AS STRING),2,'0')
         ELSE lpad(CAST(CAST(floor(t/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(t%60 AS BIGINT) AS STRING),2,'0')||'.250' END "TotalCPU",
-   CASE WHEN k % 50 = 0 THEN 'RUNNING' WHEN k % 23 = 0 THEN 'CANCELLED by 1000' WHEN o_orderstatus='F' THEN 'COMPLETED' WHEN o_orderstatus='O' THEN 'FAILED' ELSE 'PREEMPTED' END "State",
-   o_orderpriority "QOS",
+   CASE WHEN k % 19 = 0 THEN CAST(NULL AS STRING) WHEN k % 50 = 0 THEN 'RUNNING' WHEN k % 23 = 0 THEN 'CANCELLED by 1000' WHEN o_orderstatus='F' THEN 'COMPLETED' WHEN o_orderstatus='O' THEN 'FAILED' ELSE 'PREEMPTED' END "State",
+   CASE WHEN k % 41 <> 0 THEN o_orderpriority END "QOS",
    CASE k % 3 WHEN 0 THEN 'rule_r'||CAST(k%7 AS STRING)||'_wildcards_s='||CAST(k AS STRING) WHEN 1 THEN 'rule_r'||CAST(k%7 AS STRING) END "Comment",
-   'run-'||CAST(k%10 AS STRING) "JobName", 'u'||CAST(o_custkey AS STRING) "User",
-   CASE WHEN el >= 86400 THEN CAST(CAST(floor(el/86400.0) AS BIGINT) AS STRING)||'-' ELSE '' END||lpad(CAST(CAST(floor((el%86400)/3600.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(floor((el%3600)/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(el%60 AS STRING),2,'0') "Elapsed",
-   'acct'||CAST(o_custkey%5 AS STRING) "Account", 'node'||CAST(k%8 AS STRING) "NodeList"
+   CASE WHEN k % 31 <> 0 THEN 'run-'||CAST(k%10 AS STRING) END "JobName", 'u'||CAST(o_custkey AS STRING) "User",
+   CASE WHEN k % 37 = 0 THEN CAST(NULL AS STRING) ELSE CASE WHEN el >= 86400 THEN CAST(CAST(floor(el/86400.0) AS BIGINT) AS STRING)||'-' ELSE '' END||lpad(CAST(CAST(floor((el%86400)/3600.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(CAST(floor((el%3600)/60.0) AS BIGINT) AS STRING),2,'0')||':'||lpad(CAST(el%60 AS STRING),2,'0') END "Elapsed",
+   'acct'||CAST(o_custkey%5 AS STRING) "Account", CASE WHEN k % 13 <> 0 THEN 'node'||CAST(k%8 AS STRING) END "NodeList"
  FROM b),
-step AS (SELECT CAST(l_orderkey AS STRING)||CASE l_linenumber WHEN 6 THEN '.batch' WHEN 7 THEN '.extern' ELSE '.'||CAST(l_linenumber AS STRING) END "JobID",
+step AS (SELECT l_orderkey k, CAST(l_orderkey AS STRING)||CASE WHEN l_orderkey % 59 = 0 THEN '_2' ELSE '' END||CASE l_linenumber WHEN 6 THEN '.batch' WHEN 7 THEN '.extern' ELSE '.'||CAST(l_linenumber AS STRING) END "JobID",
    l_linenumber row_ord, max(l_quantity) q FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT * FROM alloc
 UNION ALL
 SELECT "JobID", row_ord, CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS BIGINT),CAST(NULL AS BIGINT),CAST(NULL AS BIGINT),CAST(NULL AS STRING),
-  CASE WHEN CAST(q AS BIGINT) % 2 = 0 THEN CAST(CAST(q*97 AS BIGINT) AS STRING)||'M' ELSE CAST(CAST(q*40000 AS BIGINT) AS STRING)||'K' END,
-  CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),
-  CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING)
+  CASE WHEN k % 53 = 0 AND k % 2 = 0 THEN '0K' WHEN CAST(q AS BIGINT) % 2 = 0 THEN CAST(CAST(q*97 AS BIGINT) AS STRING)||'M' ELSE CAST(CAST(q*40000 AS BIGINT) AS STRING)||'K' END,
+  CASE WHEN row_ord <> 3 THEN '00:0'||CAST(row_ord AS STRING)||':30' END,
+  CASE WHEN row_ord <> 6 THEN CASE row_ord % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'CANCELLED' END END,
+  CAST(NULL AS STRING),CAST(NULL AS STRING),
+  CASE row_ord WHEN 6 THEN 'batch' WHEN 7 THEN 'extern' WHEN 2 THEN CAST(NULL AS STRING) ELSE 'step-'||CAST(row_ord AS STRING) END,
+  CAST(NULL AS STRING),'00:10:0'||CAST(row_ord AS STRING),CAST(NULL AS STRING),
+  CASE WHEN row_ord % 2 = 1 THEN 'step-node'||CAST(row_ord AS STRING) END
 FROM step
+UNION ALL
+SELECT CAST(k AS STRING)||'_10', 10, CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING),el+5,cpus,CAST(NULL AS BIGINT),CAST(NULL AS STRING),
+  CAST(NULL AS STRING),'00:10:10','TIMEOUT','array-qos','rule_r9_wildcards_late','run-late','late','00:00:00','late','late-node'
+FROM b WHERE k % 59 = 0
 """
 
-# The day whose dump a job's rows come in: there is one dump per month, so calendars have gaps.
+# The days whose dumps a job's rows come in: there is one dump per month, so calendars have gaps; some jobs are in two.
 JOB_DAYS = """
 SELECT CAST(o_orderkey AS STRING) job, CAST(date_trunc('month', o_orderdate) AS DATE) dt FROM orders
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), CAST(date_trunc('month', o_orderdate) + INTERVAL '1' MONTH AS DATE) FROM orders WHERE o_orderkey % 23 = 0
 """
 
 INPUT_SIZES = """
@@ -121,7 +131,7 @@ def accounting_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accounting rows with the day (``dt``) of the dump they come in."""
     days = rows(spark, sf_dir, JOB_DAYS)
     df = accounting(spark, sf_dir)
-    return df.join(days, F.split_part("JobID", F.lit("."), F.lit(1)) == days["job"]).drop("job")
+    return df.join(days, F.regexp_extract("JobID", r"^(\d+)", 1) == days["job"]).drop("job")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

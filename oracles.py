@@ -143,7 +143,8 @@ CTES = {
         SELECT * EXCLUDE ("MaxRSS", "ReqMem"),
             CAST(regexp_extract("MaxRSS", '([0-9]+)[KMGT]', 1) AS BIGINT) * CASE right("MaxRSS", 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 END "MaxRSS",
             CASE WHEN regexp_matches("ReqMem", '[KMGT]') THEN CAST(regexp_extract("ReqMem", '([0-9]+)[KMGT]', 1) AS BIGINT) * CASE right("ReqMem", 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 END END "ReqMem",
-            CASE "JobInfoType" WHEN 'allocation' THEN 0 WHEN 'batch' THEN 1000 WHEN 'extern' THEN 2000 WHEN 'step' THEN 3000 + CAST(split_part("JobID", '.', 2) AS BIGINT) ELSE 9000 END ord
+            CASE WHEN contains("JobID", '_') THEN (1 + CAST(regexp_extract("JobID", '_([0-9]+)', 1) AS BIGINT)) * 100000 ELSE 0 END
+            + CASE split_part("JobID", '.', 2) WHEN '' THEN 0 WHEN 'batch' THEN 1000 WHEN 'extern' THEN 2000 ELSE 3000 + CAST(split_part("JobID", '.', 2) AS BIGINT) END ord
         FROM parsed""",
     "day_rows": """SELECT s.*, d.dt FROM sized s JOIN days d ON d.job = s."JobRoot" """,
     "days": JOB_DAYS,
@@ -275,9 +276,15 @@ DAY = f"DATE '{REPORT_DAY}'"
 STATS = {"mean": "avg", "median": "median", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
+def _stat(function: str, measure: str) -> str:
+    """Smallest and largest value leave out NaN, which this engine takes for the largest of all."""
+    value = f'CAST("{measure}" AS DOUBLE)'
+    return f"{function}({value})" + (f" FILTER (WHERE NOT isnan({value}))" if function in ("min", "max") else "")
+
+
 def _statistics(source: str, measures: list[str]) -> str:
     columns = [
-        f'round(CAST({function}("{m}") AS DOUBLE), 6) "{m}_{name}"' for m in measures for name, function in STATS.items()
+        f'round({_stat(function, m)}, 6) "{m}_{name}"' for m in measures for name, function in STATS.items()
     ]
     firsts = [f'arg_min("{c}", CAST("JobRoot" AS BIGINT)) FILTER (WHERE "{c}" IS NOT NULL) "{c}"' for c in ("QOS", "Account", "NodeList")]
     return f"""SELECT rule_name, {', '.join(columns)}, min("Elapsed") "Elapsed_min", max("Elapsed") "Elapsed_max", {', '.join(firsts)}
@@ -285,7 +292,7 @@ def _statistics(source: str, measures: list[str]) -> str:
 
 
 def _table(source: str, measure: str) -> str:
-    cells = [f'round(CAST({f}("{measure}") AS DOUBLE), 6) "{h}"' for f, h in zip(STATS.values(), RULE_TABLES[measure])]
+    cells = [f'round({_stat(f, measure)}, 6) "{h}"' for f, h in zip(STATS.values(), RULE_TABLES[measure])]
     return f'SELECT rule_name AS "{RULE_HEADING}", {", ".join(cells)} FROM {source} GROUP BY rule_name'
 
 
@@ -322,7 +329,7 @@ def _box_points(ctes: list[str], source: str, key: str, value: str, method: str)
 
 
 def _band(v: str) -> str:
-    return f"""CASE WHEN {v} IS NULL OR {v} = 0 THEN NULL WHEN {v} > 150 THEN '#ff0000' WHEN {v} BETWEEN 0 AND 20 THEN '#ff0000' WHEN {v} BETWEEN 21 AND 60 THEN '#d4a500'
+    return f"""CASE WHEN {v} IS NULL OR {v} = 0 OR isnan({v}) THEN NULL WHEN {v} > 150 THEN '#ff0000' WHEN {v} BETWEEN 0 AND 20 THEN '#ff0000' WHEN {v} BETWEEN 21 AND 60 THEN '#d4a500'
         WHEN {v} BETWEEN 61 AND 75 THEN '#ffa500' WHEN {v} BETWEEN 76 AND 100 THEN '#008000' WHEN {v} BETWEEN 101 AND 125 THEN '#ffa500' WHEN {v} BETWEEN 126 AND 150 THEN '#ff0000' END"""
 
 
@@ -468,7 +475,7 @@ def _oracle_sql() -> dict[str, str]:
         ),
         "database_files": _with(
             ["acct", "days"],
-            """SELECT "JobID", "State", CAST(dt AS VARCHAR) dt FROM acct JOIN days ON job = split_part("JobID", '.', 1) WHERE year(dt) = 1997 OR dt = DATE '1998-01-01'""",
+            """SELECT "JobID", "State", CAST(dt AS VARCHAR) dt FROM acct JOIN days ON job = regexp_extract("JobID", '^([0-9]+)', 1) WHERE year(dt) = 1997 OR dt = DATE '1998-01-01'""",
         ),
         "file_sizes": _with(["log_lines"], """SELECT split_part("file", '/', 3) project, CAST(sum(strlen("value") + 1) AS BIGINT) "length" FROM log_lines GROUP BY 1"""),
         "sanitized_lines": _with(["dump"], f'SELECT "value" FROM dump WHERE {WHOLE}'),
@@ -478,5 +485,5 @@ def _oracle_sql() -> dict[str, str]:
         "delimited_scan": _with(["acct"], f"""SELECT {", ".join(f'"{c}"' for c in ROW_COLUMNS)} FROM acct"""),
         "stored_rule_statistics": _with(["sized_runs"], _statistics("sized_runs", list(RULE_TABLES))),
         "log_files": _with(["records"], "SELECT slurm_jobid, job_id, rule_name, replace(input_text, ', ', ',') inputs FROM records"),
-        "database_day": _with(["acct", "days"], f"""SELECT "JobID", "ElapsedRaw", "MaxRSS" FROM acct JOIN days ON job = split_part("JobID", '.', 1) WHERE dt = {DAY}"""),
+        "database_day": _with(["acct", "days"], f"""SELECT "JobID", "ElapsedRaw", "MaxRSS" FROM acct JOIN days ON job = regexp_extract("JobID", '^([0-9]+)', 1) WHERE dt = {DAY}"""),
     }
