@@ -4,7 +4,7 @@ Conventions of all operators
     * A null text has no words and no bytes. A null ``doc_id`` counts as the largest id (``LAST_ID``).
     * Rows that repeat (or share a ``doc_id``) stay separate rows of the result, and get the same verdict if their texts
       are equal. Columns an operator does not know are passed through or ignored; where a result column has the name of
-      an input column, the result replaces it.
+      an input column, the result replaces it. Names that begin with two underscores are reserved.
     * An empty table gives an empty result with the same columns.
 """
 

@@ -80,10 +80,12 @@ def mix(
 
     ``passes`` has, for each time the document is taken, how many words and its training position; ``taken`` is the sum
     of words. All of a source's words are used before any is repeated, and the document at the end of the target is taken
-    in part, so that a source gives its target rounded down. Weights and schedules are positive. Documents without words
+    in part, so that a source gives its target rounded down. Weights and schedules are positive. Columns whose names begin
+    with two underscores are reserved and dropped. Documents without words
     (null, empty, blank texts) have no passes; null sources are one source; repeated rows are rows of their own.
     """
-    text_tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    # Rows that share an id follow each other by their texts.
+    text_tie = F.xxhash64(F.col("text")) if "text" in docs.columns else F.lit(0)
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = docs.withColumns({"size": size, "__place": place, "__tie": text_tie, "__named": named})
@@ -104,7 +106,7 @@ def mix(
     def one_pass(p: int) -> Column:
         start = begin + whole * p
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), wanted - start))
-        position = demand_time(start / F.col("__target"), F.col("__source_rank"), schedules)
+        position = demand_time(F.try_divide(start, F.col("__target")), F.col("__source_rank"), schedules)
         return F.when(words > 0, F.struct(F.lit(p).alias("pass"), words.alias("words"), position.alias("position")))
 
     passes = F.filter(F.array(*[one_pass(p) for p in range(most_repeats)]), lambda x: x.isNotNull())
