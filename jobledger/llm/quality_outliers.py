@@ -190,13 +190,13 @@ def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` without the text, with the statistics, ``base_failed``, ``d2`` (scaled) and ``kept``.
+    """``doc_id``, ``lang``, ``source``, the statistics, ``base_failed``, ``d2`` (scaled) and ``kept`` of each row.
 
     Base: fewer than 50 words, or more than half of the words in repeated windows; such rows are not kept and take no
     part in the estimates. Null and empty texts have 0 words. Null languages and sources are groups of their own.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = text_statistics(docs, text).withColumns({"base_failed": failed})
+    rows = text_statistics(docs.select("doc_id", "lang", "source", text), text).withColumn("base_failed", failed)
     rows = settle(rows.withColumns(features()), "text-statistics")
     sound = settle(grouped(rows.where("NOT base_failed")).select("group", *FEATURES), "sound-texts")
     shape = settle(starting_shapes(sound), "shapes")

@@ -117,6 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, folds: in
     ratio = F.log((F.col("toxic") + a) / (sizes.get(1, 0) + 2 * a)) - F.log((F.col("clean") + a) / (sizes.get(0, 0) + 2 * a))
     best = counted.where("clean + toxic >= 3").withColumn("ratio", ratio)
     best = best.orderBy(F.desc(F.abs("ratio") * F.sqrt(F.col("clean") + F.col("toxic"))), "gram").limit(FEATURES).select("gram", "ratio").collect()
+    if not best:
+        return Model({}, prior)
     ratios = {r["gram"]: r["ratio"] for r in best}
     number = {g: i for i, g in enumerate(ratios)}
 
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, folds: in
 def _regress(matrix: list[tuple[int, list[int]]], ratios: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with a square penalty, by adaptive gradient steps."""
     y = np.array([t for t, _ in matrix], float)
-    counts = np.array([len(f) for _, f in matrix])
+    counts = np.array([len(f) for _, f in matrix], np.int64)
     own = np.flatnonzero(counts)
     column = np.array([j for _, f in matrix for j in f], np.int64)
     row = np.repeat(np.arange(len(matrix)), counts)
