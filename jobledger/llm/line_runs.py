@@ -24,7 +24,7 @@ from jobledger.llm.common import attach, doc_key, over_batches, settle, text_tag
 FAN_IN = 3
 BATCHES = 6
 # A run has a file for so many lines of its batch.
-ROWS_PER_FILE = 2_000_000
+ROWS_PER_FILE = 500_000
 HASH = ["h1", "h2"]
 
 
