@@ -521,9 +521,9 @@ def post_run_files(spark, sf_dir):
     return _statistics(rules.post_run_report(spark, logs, star_tables.accounting(spark, sf_dir), sizes))
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """What share of the requested memory and CPU time did each job use?"""
-    return job_efficiency(spark, "/root/testdata/sf0.001")
+    return job_efficiency(spark, sf_dir)
 
 
 # The operators for training text are an optional part: without their folder everything above still works.
