@@ -29,9 +29,9 @@ def rows(seed):
     return [*out, (2000, LONG, "en", "big"), (None, out[3][1], None, "small"), out[5], out[5], (out[7][0], "another text under the same id", "en", None)]
 
 
-@pytest.fixture(params=[1, 2])
-def docs(request, spark):
-    data = rows(request.param)
+@pytest.fixture
+def docs(spark):
+    data = rows(1)
     return data, spark.createDataFrame(data, brute.COLUMNS).repartition(3)
 
 
