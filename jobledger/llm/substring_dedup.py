@@ -10,8 +10,10 @@ Scale. A super-k-mer holds about seven windows of 13 words in 19 words, so 2.7 w
 A map task sends each bucket one compressed row per slice of text. Equal super-k-mers of a slice are sent once, for the
 smallest id; the others are known to be repeated. A minimiser that a share of all super-k-mers has (a passage found in
 very many documents) is split: its windows travel singly to the bucket of their own hash. Which minimisers to split is
-decided on a sample; that changes routes only, never results. A bucket is what a task holds at a time; there are
-``BUCKETS_PER_PARTITION`` times as many as shuffle partitions, so more partitions mean less memory.
+decided on a sample; that changes routes only, never results. A bucket is what a task holds at a time: there is one for
+each ``TEXT_PER_BUCKET`` of text, and at least ``BUCKETS_PER_PARTITION`` times as many as shuffle partitions. A minimiser is
+split if it would fill ``FULL_BUCKETS`` buckets, so the more text there is, the rarer are the words that are split; at worst
+all windows travel singly.
 """
 
 from __future__ import annotations
@@ -42,7 +44,11 @@ from jobledger.llm.common import (
 
 SLICE_BYTES = 6 << 20
 BUCKETS_PER_PARTITION = 8
+TEXT_PER_BUCKET = 16 << 20
+FULL_BUCKETS = 12
+# The sample has at least so many rows, and one in so many.
 SAMPLE_ROWS = 4000
+ROWS_PER_SAMPLED = 250_000
 COMMON_WORDS = 4096
 LATE = 1 << 63
 SPAN = "struct<from_word:int,to_word:int>"
@@ -230,8 +236,9 @@ def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     rows = docs.select(doc_key(doc_id).alias("key"), text_tag(text).alias("tag"), F.col(text).alias("text"))
-    common, heavy = _routes(rows, width)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample, size = _sample(rows)
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TEXT_PER_BUCKET)
+    common, heavy = _routes(sample, width, max(1000, buckets // FULL_BUCKETS))
     routed = _route(rows, width, common, heavy, buckets).repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
@@ -253,10 +260,16 @@ def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
     return marks.groupBy("key", "tag").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans"))
 
 
-def _routes(rows: DataFrame, width: int) -> tuple[frozenset[bytes], np.ndarray]:
-    """Common words and minimisers to split, from a sample; both lists have a fixed bound."""
+def _sample(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Some rows, and how many bytes of text all rows have if they are like these."""
     n = rows.count()
-    sample = settle(rows.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7), "passage-sample")
+    sample = settle(rows.sample(min(1.0, max(SAMPLE_ROWS, n // ROWS_PER_SAMPLED) / max(n, 1)), seed=7), "passage-sample")
+    taken, size = sample.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return sample, (size or 0) * n // max(taken, 1)
+
+
+def _routes(sample: DataFrame, width: int, parts: int) -> tuple[frozenset[bytes], np.ndarray]:
+    """Common words, and the minimisers that have more than one of so many parts of all super-k-mers, from a sample."""
     word = sample.select(F.explode(F.split(F.col("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     top = word.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(COMMON_WORDS).collect()
     common = frozenset(r["word"].encode() for r in top)
@@ -272,8 +285,8 @@ def _routes(rows: DataFrame, width: int) -> tuple[frozenset[bytes], np.ndarray]:
 
     counts = sample.mapInArrow(run, "minimiser long").groupBy("minimiser").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    # At most 1000 minimisers can have a thousandth each.
-    frequent = counts.where(F.col("count") > F.lit(max(8.0, total / 1000))).select("minimiser").collect()
+    # At most ``parts`` minimisers can have such a part each.
+    frequent = counts.where(F.col("count") > F.lit(max(8.0, total / parts))).select("minimiser").collect()
     return common, np.array([r[0] for r in frequent], np.int64).view(np.uint64)
 
 

@@ -53,8 +53,8 @@ def test_passages_with_split_minimisers(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 2000)
     original = substring_dedup._routes
 
-    def all_heavy(frame, width):
-        common, _ = original(frame, width)
+    def all_heavy(*known):
+        common, _ = original(*known)
         order = substring_dedup.WordOrder(common)
         return common, np.unique(np.array([order[w.encode()] for _, t, *_ in data for w in brute.words(t)], np.uint64))
 
@@ -63,6 +63,19 @@ def test_passages_with_split_minimisers(docs, monkeypatch):
     assert ordered(found) == ordered(brute.removed_passages(data))
 
 
+def test_passages_in_more_buckets(docs, monkeypatch):
+    """The number of buckets and the share at which minimisers are split follow the text and change nothing."""
+    data, frame = docs
+    seen = []
+    original = substring_dedup._route
+    monkeypatch.setattr(substring_dedup, "_route", lambda *a: seen.append((len(a[3]), a[4])) or original(*a))
+    monkeypatch.setattr(substring_dedup, "TEXT_PER_BUCKET", 10)
+    found = substring_dedup.remove_repeats(frame, width=13).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    size = sum(len((t or "").encode()) for _, t, *_ in data)
+    assert seen[0][0] > 0 and seen[0][1] == size // 10
+    assert ordered(found) == ordered(brute.removed_passages(data))
+
+
 def test_equal_hashes_of_different_windows_are_told_apart():
     numbers = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3], np.int32)
     hashes = np.zeros(9, np.uint64)  # all windows collide
@@ -198,7 +211,8 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert tuple(found[100]["live"][0]) == (8, 3, 28)
 
 
-def test_benchmark_passages(docs, spark):
+def test_benchmark_passages(docs, spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     data, frame = docs
     items = [(i, " ".join(brute.words(data[i][1])[3:17])) for i in range(0, 20, 4)]
     items += [(90, "ärger"), (91, None), (92, " .. "), (None, "the 1"), (93, "The same the same, the SAME the same the same the"), (items[0][0], items[0][1])]
