@@ -7,7 +7,8 @@ shingles alone; the place of the shingle in the window gives the only possible s
 leave room for the whole window (length bound); then the words of that item-sized window are compared.
 
 Scale. Both passes over the documents are maps. The windows are sent to the executors in blocks of at most
-``BLOCK_BYTES`` of item text, so their size is bounded however many items there are: more items mean more passes.
+``BLOCK_BYTES`` of item text, so their size is bounded however many items there are: more items mean more passes. After
+``BLOCKS_AT_ONCE`` blocks the result is written and their windows are let go.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobledger.llm.common import WordHashes, over_batches, slices, starts_of, texts, window_hashes
+from jobledger.llm.common import WordHashes, over_batches, settle, slices, starts_of, texts, window_hashes
 
 SHINGLE = 3
 SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
+BLOCKS_AT_ONCE = 8
 SIEVE_BITS = 20
 # All ASCII but digits and letters separates words; upper case has become lower case before.
 SEPARATORS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -181,13 +183,18 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     parts = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    found = docs
+    found, sent = docs, []
     for block in range(blocks):
+        if len(sent) == BLOCKS_AT_ONCE:
+            found = settle(found, "passages")
+            while sent:
+                sent.pop().destroy()
         rows = parts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).distinct().collect()
         windows = Windows.of(sorted((r["item"], bytes(r["content"])) for r in rows), window)
         known = {size: Members(hashes) for size, (_, _, hashes) in windows.shingles().items()}
         prefixes = Prefixes(windows, known, shingle_counts(docs, known, text) if known else {})
-        found = _pass(found, spark.sparkContext.broadcast(prefixes), text, first=block == 0)
+        sent.append(spark.sparkContext.broadcast(prefixes))
+        found = _pass(found, sent[-1], text, first=block == 0)
     return found
 
 
