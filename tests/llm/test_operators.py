@@ -13,6 +13,7 @@ from jobledger.llm import (
     histogram_shards,
     language_ppm,
     line_runs,
+    near_copies,
     quality_outliers,
     secret_ownership,
     simhash_ball,
@@ -265,6 +266,51 @@ def test_one_of_each_group_stays(docs):
     assert all((a ^ b).bit_count() > 4 for i, a in enumerate(left) for b in left[:i])
 
 
+def shingles(text, n=5):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("one_leader", [False, True])
+def test_near_copies_of_five_word_shingles_go(spark, one_leader, monkeypatch):
+    """Copies with several words changed: linked ones go, texts just under the similarity stay, whatever the group's size."""
+    if one_leader:
+        monkeypatch.setattr(near_copies, "BANDS", 12)
+        monkeypatch.setattr(near_copies, "ROWS", 2)  # large buckets of unlike texts, for which several rounds are needed
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(900)]
+    data = []
+    for base in range(8):
+        words = list(rng.choice(vocabulary, 200))
+        data.append((base * 100, " ".join(words), "en", "a"))
+        for copy, changes in enumerate([1, 2, 3, 4, 4, 9, 12] * (5 if base == 0 else 1), 1):
+            changed = list(words)
+            for at in np.linspace(10, 180, changes).astype(int) + copy % 10:
+                changed[at] = f"new{base}x{copy}x{at}"
+            data.append((base * 100 + copy, " ".join(changed), "en", "a"))
+    data += [(5000, None, "en", "a"), (5001, " ", "en", "a"), (5002, "few words", "en", "a"), (5003, "Few  words", "en", "a")]
+    kept = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(data, brute.COLUMNS).repartition(3)).collect()}
+    sets = {d: shingles(t) for d, t, *_ in data}
+    near = {(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.8}
+    assert not [p for p in near if set(p) <= kept]
+    assert sum(likeness(sets[0], sets[c]) >= 0.8 for c in range(1, 36)) == 25
+    # Whatever went is like some text with a smaller id, or linked to one by steps.
+    parent = {d: d for d in sets}
+    for a, b in sorted(near):
+        x, y = a, b
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        parent[max(x, y)] = min(x, y)
+    roots = {d for d in sets if parent[d] == d}
+    assert roots <= kept and 5000 in kept and {5001, 5003}.isdisjoint(kept)
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(5)
     plain, bad = [f"wort{i}a" for i in range(300)], ["vilmok", "zurgan", "vilmoks", "zurgant"]
