@@ -66,7 +66,7 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = secret_ownership.find_secrets(docs, most_owners=1, most_repositories=10)
+    found = secret_ownership.find_secrets(docs, most_owners=1)
     count = [secret_ownership.n_of_kind(F.col("base"), k).alias(f"n_{n}") for k, n in enumerate(("assign", "access", "hex"))]
     return found.select(
         "doc_id",

@@ -1,12 +1,12 @@
 """Secrets in texts, told from examples by corpus-wide ownership.
 
-Patterns find candidates in each text; every candidate value is then counted over the whole corpus: in how many
-repositories (documents) and with how many owners (sources) it occurs. A value that several owners have is an example
-that is copied widely. A value that one owner has in a few places, and that looks random, is reported as live.
+Patterns find candidates in each text; every candidate value is then counted over the whole corpus: with how many owners
+(sources) it occurs. A value that several owners have is an example that is copied widely. A value that one owner has, in
+however many documents, and that looks random, is reported as live.
 
 Only built-in functions. Positions come from the texts between matches: lengths of ``split`` and of the matches add up
-to code points. Counting is in three steps, each with map-side combining, so a value found in a third of all documents
-is spread over documents and owners before it meets in one row.
+to code points. Counting is in two steps, each with map-side combining, so a value found in a third of all documents
+is reduced to its owners before it meets in one row.
 """
 
 from __future__ import annotations
@@ -84,23 +84,22 @@ def candidates(docs: DataFrame, doc_id: str, owner: str, text: str) -> DataFrame
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """``value, owner, key`` -> ``value, repositories, owners``."""
-    by_owner = values.select("value", "owner", "key").distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    """``value, owner`` -> ``value, owners``."""
+    return values.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, most_owners: int = 1, most_repositories: int = 10, doc_id: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, most_owners: int = 1, doc_id: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` and ``live`` spans, each sorted.
 
     ``base`` are the fixed rules' spans. ``live`` are spans of values (of base spans, and of free runs of key characters)
-    that at most ``most_owners`` owners and ``most_repositories`` documents have and that look random. Null and empty texts have no spans;
-    a null owner is one owner; rows with equal ids are one document.
+    that at most ``most_owners`` owners have, in any number of documents, and that look random. Null and empty texts have no
+    spans; a null owner is one owner.
     """
     rows = candidates(docs, doc_id, owner, text)
     every = rows.select("key", "tag", "owner", F.explode(F.concat("base", "free")).alias("span"))
     every = every.select("key", "tag", "owner", F.col("span.at").alias("at"), F.col("span.value").alias("value"))
     every = every.where(looks_random(F.col("value")))
-    few = ownership(every).where((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+    few = ownership(every).where(F.col("owners") <= most_owners)
     place = F.struct(F.col("at").alias("start"), F.lit(3).alias("kind"), (F.col("at") + F.length("value")).alias("end"))
     live = every.join(few, "value").groupBy("key", "tag").agg(F.collect_set(place).alias("live"))
     short = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

@@ -212,6 +212,15 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert tuple(found[100]["live"][0]) == (8, 3, 28)
 
 
+def test_a_secret_of_one_owner_is_live_in_any_number_of_documents(spark):
+    """Exact copies and a config within different texts of a hot source; another owner's copy makes it an example."""
+    copied, config, shared = "Xk29fJq81LmZpo3rTv77aaBB", "Qw83hTb52NcYui4kRs60ccDD", "Ex45mPl17EaMpl8eKy99eeFF"
+    data = [(i, f"use {copied} here", "en", "hot") for i in range(40)] + [(100 + i, f"text {i} {config} end", "en", "hot") for i in range(40)]
+    data += [(200 + i, f"text {i} {shared} end", "en", "hot" if i else "cold") for i in range(3)]
+    found = secret_ownership.find_secrets(spark.createDataFrame(data, brute.COLUMNS)).collect()
+    assert {r["doc_id"] for r in found if r["live"]} == {*range(40), *range(100, 140)}
+
+
 def test_benchmark_passages(docs, spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     data, frame = docs
