@@ -49,8 +49,8 @@ def doc_key(name: str = "doc_id") -> Column:
 
 
 def text_tag(name: str = "text") -> Column:
-    """Tells rows that share a ``doc_id`` apart."""
-    return F.hash(F.coalesce(F.col(name), F.lit("")))
+    """128 bits of the text; tells rows that share a ``doc_id`` apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(name), F.lit(""))))
 
 
 def attach(docs: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:

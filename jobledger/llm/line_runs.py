@@ -97,7 +97,7 @@ def long_lines(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame
             columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number, pa.int32()), pa.array(found[:, 0]), pa.array(found[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "tag", "line", "h1", "h2"])
 
-    return rows.mapInArrow(run, "key long, tag int, line int, h1 long, h2 long")
+    return rows.mapInArrow(run, "key long, tag binary, line int, h1 long, h2 long")
 
 
 def drop_shared_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = BATCHES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

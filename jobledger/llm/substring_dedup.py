@@ -53,6 +53,7 @@ COMMON_WORDS = 4096
 LATE = 1 << 63
 SPAN = "struct<from_word:int,to_word:int>"
 HEAD = struct.Struct("<bqq")
+TAG = np.dtype("V16")
 
 
 class WordOrder(WordHashes):
@@ -93,9 +94,9 @@ def unpack(blob: bytes) -> tuple[int, list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kind, n, size = HEAD.unpack_from(raw)
     at, columns = HEAD.size, []
-    for dtype in (np.int64, np.int32, np.int32, np.int32):
+    for dtype in (np.dtype(np.int64), TAG, np.dtype(np.int32), np.dtype(np.int32)):
         columns.append(np.frombuffer(raw, dtype, n, at))
-        at += n * np.dtype(dtype).itemsize
+        at += n * dtype.itemsize
     return kind, columns, raw[at : at + size]
 
 
@@ -107,7 +108,7 @@ def _route(docs: DataFrame, width: int, common: frozenset[bytes], heavy: np.ndar
         for batch in batches:
             contents = texts(batch.column(2))
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            tags = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int32)
+            tags = np.frombuffer(b"".join(batch.column(1).to_pylist()), TAG)
             for a, b in slices(contents, SLICE_BYTES):
                 rows = _route_slice(contents[a:b], ids[a:b], tags[a:b], width, order_of, heavy, buckets, squeeze)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
@@ -246,7 +247,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
 
         def spans():
             for ids, tags, a, b in _bucket_spans(parts, width):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "tag", "from_word", "to_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags.tolist(), pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "tag", "from_word", "to_word"])
 
         for batch in batches:
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -256,7 +257,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
                 parts.append(packed)
         yield from spans()
 
-    marks = routed.mapInArrow(run, "key long, tag int, from_word int, to_word int")
+    marks = routed.mapInArrow(run, "key long, tag binary, from_word int, to_word int")
     return marks.groupBy("key", "tag").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans"))
 
 

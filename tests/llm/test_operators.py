@@ -20,6 +20,7 @@ from jobledger.llm import (
     substring_dedup,
     toxicity_nb,
 )
+from jobledger.llm.common import text_tag
 
 LONG = " ".join(f"w{i % 700}" for i in range(30_000))
 
@@ -221,6 +222,19 @@ def test_a_secret_of_one_owner_is_live_in_any_number_of_documents(spark):
     assert {r["doc_id"] for r in found if r["live"]} == {*range(40), *range(100, 140)}
 
 
+def test_rows_without_id_keep_their_own_results(spark):
+    """Texts under one key whose 32-bit hashes are equal."""
+    text = F.concat(F.expr("repeat('z', int(id % 50))"), F.lit(" token=Xk29fJq81LmZpo3rTv"), F.col("id"))
+    many = spark.range(300_000).select(text.alias("text")).withColumn("h", F.hash("text"))
+    alike = [r["text"] for r in many.join(many.groupBy("h").count().where("count > 1"), "h").collect()]
+    assert len(alike) >= 4
+    frame = spark.createDataFrame([(None, t, "en", "a") for t in alike], brute.COLUMNS)
+    found = secret_ownership.find_secrets(frame).collect()
+    spans = sorted((t.index("=") + 1, len(t)) for t in alike)
+    assert sorted((s["start"], s["end"]) for r in found for s in r["live"]) == spans and all(len(r["live"]) == 1 for r in found)
+    assert len(frame.select(text_tag().alias("tag")).distinct().collect()) == len(alike)
+
+
 def test_benchmark_passages(docs, spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     data, frame = docs
