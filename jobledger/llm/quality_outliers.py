@@ -1,13 +1,16 @@
 """Text quality by robust multivariate outliers: minimum covariance determinant (Rousseeuw).
 
 Each text gives a vector of transformed statistics. For each language and source, the mean and covariance of the most
-central texts are estimated: from a robust start (medians and quartile ranges) concentration steps repeat "order by
-Mahalanobis distance, keep the nearest share, estimate again", each of which lowers the determinant. Distances are scaled
-so that their median is that of a chi-square variable. After one reweighting step, texts beyond the cutoff are rejected.
+central texts are estimated: from three robust starts concentration steps repeat "order by Mahalanobis distance, keep the
+nearest half, estimate again" until the determinant falls no more; the start that ends with the smallest one counts.
+Equal vectors of a group count once in its estimates, so copies, however many, cannot become its centre. Distances are
+scaled so that their median is that of a chi-square variable. After one reweighting step, texts beyond the cutoff are
+rejected.
 
 Only built-in functions. Scale: a step is one aggregation. Distances are counted in fine logarithmic bins together with
 the sums that mean and covariance need, so the nearest share and its estimates come out of the same pass, with map-side
-combining; a group of a third of all rows is a few hundred rows after it. Small groups use their language, then everything.
+combining; a group of a third of all rows is a few hundred rows after it. Small groups look up the estimate of all texts of
+their language, or of the whole corpus.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ D = len(FEATURES)
 PLACE = {(i, j): i * (i + 1) // 2 + j for i in range(D) for j in range(i + 1)}
 # Smallest standard deviation of each feature: statistics that nearly all texts of a group share exactly.
 FLOORS = (0.5, 0.3, 0.3, 0.25, 0.25)
-SHARE = 0.75
-STEPS = 4
+SHARE = 0.5
+# Logarithm of the determinant: a step that lowers it by less is the last.
+LEAST_FALL = 1e-3
 LEAST_ROWS = 100
 # Quantiles of chi-square with five degrees of freedom at 0.5 and 0.975.
 CHI_MEDIAN, CHI_INNER = 4.351, 12.833
@@ -138,11 +142,15 @@ def estimates(rows: DataFrame, *keys: str) -> DataFrame:
 SUMS = ["n", *[f"s{i}" for i in range(D)], *[f"s{i}{j}" for i in range(D) for j in range(i + 1)]]
 
 
-def shapes(sums: DataFrame) -> DataFrame:
-    """``group``, mean and Cholesky factor of the covariance, whose variances are raised by the floors."""
+def log_determinant(factor: Column) -> Column:
+    return sum((2 * F.log(F.get(factor, F.lit(PLACE[(i, i)]))) for i in range(D)), F.lit(0.0))
+
+
+def shapes(sums: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, mean and Cholesky factor of the covariance, whose variances are raised by the floors."""
     mean = {i: F.col(f"s{i}") / F.col("n") for i in range(D)}
     cov = {(i, j): F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(i + 1)}
-    return sums.select("group", F.array(*mean.values()).alias("mean"), cholesky(cov).alias("factor"))
+    return sums.select(*keys, F.array(*mean.values()).alias("mean"), cholesky(cov).alias("factor"))
 
 
 def with_distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
@@ -153,40 +161,77 @@ def with_distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
     return near.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * BINS_PER_DOUBLING).cast("int"))
 
 
-def nearest(binned: DataFrame, share: float) -> DataFrame:
-    """Sums of the nearest ``share`` of each group (whole bins), and the distance in the middle (``median``)."""
-    upto = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("group")
+def nearest(binned: DataFrame, share: float, *keys: str) -> DataFrame:
+    """Sums of the nearest ``share`` of each group (the last bin in part), and the distance in the middle (``median``)."""
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     placed = binned.withColumns({"__before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "__all": F.sum("n").over(whole)})
     middle = F.min(F.when(F.col("__before") + F.col("n") >= F.col("__all") / 2, F.col("bin")))
-    sums = [F.sum(F.when(F.col("__before") < F.col("__all") * share, F.col(s))).alias(s) for s in SUMS]
-    return placed.groupBy("group").agg(*sums, F.pow(F.lit(2.0), (middle + 0.5) / BINS_PER_DOUBLING).alias("median"))
+    wanted = F.least(F.col("__all").cast("double"), F.col("__all") * share + (D + 1) / 2)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - F.col("__before")) / F.col("n")))
+    sums = [F.sum(part * F.col(s)).alias(s) for s in SUMS]
+    return placed.groupBy(*keys).agg(*sums, F.pow(F.lit(2.0), (middle + 0.5) / BINS_PER_DOUBLING).alias("median"))
 
 
 def starting_shapes(rows: DataFrame) -> DataFrame:
-    """Medians, and quartile ranges as standard deviations, from counts of values in bins of a hundredth."""
+    """Three centres and widths for each group and feature, from counts of values in bins of a hundredth.
+
+    0: median and quartile range; 1: median and twice the smaller half of that range; 2: the middle and the width of the
+    shortest of eleven ranges with half of the values.
+    """
     cells = rows.select("group", F.posexplode(F.array(*[F.floor(F.col(f) * 100) for f in FEATURES])).alias("f", "bin"))
     counts = cells.groupBy("group", "f", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("group", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumns({"__upto": F.sum("n").over(upto), "__all": F.sum("n").over(Window.partitionBy("group", "f"))})
     at = lambda q: F.min(F.when(F.col("__upto") >= F.col("__all") * q, F.col("bin"))) / 100
-    quartiles = placed.groupBy("group", "f").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    wide = quartiles.groupBy("group").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("q2"))).alias(f"m{i}") for i in range(D)],
-        *[F.max(F.when(F.col("f") == i, (F.col("q3") - F.col("q1")) / 1.349)).alias(f"d{i}") for i in range(D)],
+    found = placed.groupBy("group", "f").agg(*[at(k / 20).alias(f"q{k}") for k in range(21)])
+    halves = F.array_min(F.array(*[F.struct((F.col(f"q{k + 10}") - F.col(f"q{k}")).alias("width"), ((F.col(f"q{k + 10}") + F.col(f"q{k}")) / 2).alias("middle")) for k in range(11)]))
+    around = F.least(F.col("q15") - F.col("q10"), F.col("q10") - F.col("q5")) * 2
+    starts = [(F.col("q10"), F.col("q15") - F.col("q5")), (F.col("q10"), around), (halves["middle"], halves["width"])]
+    start = F.array(*[F.struct(m.alias("middle"), (w / 1.349).alias("deviation")) for m, w in starts])
+    each = found.select("group", "f", F.posexplode(start).alias("start", "s"))
+    wide = each.groupBy("group", "start").agg(
+        *[F.max(F.when(F.col("f") == i, F.col("s.middle"))).alias(f"m{i}") for i in range(D)],
+        *[F.max(F.when(F.col("f") == i, F.col("s.deviation"))).alias(f"d{i}") for i in range(D)],
     )
     cov = {(i, j): F.col(f"d{i}") ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}
-    return wide.select("group", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("mean"), cholesky(cov).alias("factor"))
+    return wide.select("group", "start", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("mean"), cholesky(cov).alias("factor"))
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """``group, mean, factor`` of the smallest determinant that any start ends with."""
+    keys = ("group", "start")
+    active = settle(starting_shapes(rows).withColumn("before", F.lit(None).cast("double")), "shapes")
+    ended = None
+    while not active.isEmpty():
+        step = nearest(estimates(with_distance(rows, active), *keys, "bin"), SHARE, *keys)
+        step = shapes(step, *keys).withColumn("log_det", log_determinant(F.col("factor")))
+        step = settle(step.join(active.select(*keys, "before"), [*keys]), "shapes")
+        # A determinant that a start itself had is none of a nearest half, so the first step always goes on.
+        falls = F.coalesce(F.col("log_det") < F.col("before") - LEAST_FALL, F.lit(True))
+        done = step.where(~falls).select("group", F.struct("log_det", "start", "mean", "factor").alias("shape"))
+        ended = done if ended is None else ended.union(done)
+        active = step.where(falls).select(*keys, "mean", "factor", F.col("log_det").alias("before"))
+    if ended is None:
+        return active.select("group", "mean", "factor")
+    return ended.groupBy("group").agg(F.min("shape").alias("shape")).select("group", "shape.mean", "shape.factor")
 
 
 def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """``group``: language and source; the language alone, or nothing, for groups of fewer than ``least`` rows."""
+    """``group``: language and source; the language alone, or nothing, for groups of fewer than ``least`` different vectors.
+
+    ``groups``: all groups whose estimates the row takes part in.
+    """
     lang, both = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     rows = rows.withColumns({"__lang": lang, "__both": both})
-    counts = rows.groupBy("__lang", "__both").agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__of_lang", F.sum("__n").over(Window.partitionBy("__lang")))
+    counts = rows.select("__lang", "__both", *FEATURES).distinct().groupBy("__lang", "__both").agg(F.count("*").alias("__n"))
+    of_lang = Window.partitionBy("__lang")
+    counts = counts.withColumns({"__of_lang": F.sum("__n").over(of_lang), "__small": F.min("__n").over(of_lang) < least})
     group = F.when(F.col("__n") >= least, F.col("__both")).when(F.col("__of_lang") >= least, F.col("__lang")).otherwise(F.lit("all"))
-    return rows.join(counts.select("__both", group.alias("group")), "__both").drop("__lang", "__both")
+    own = F.when(F.col("__n") >= least, F.col("__both"))
+    language = F.when(F.col("__small") & (F.col("__of_lang") >= least), F.col("__lang"))
+    groups = F.array_compact(F.array(own, language, F.lit("all")))
+    return rows.join(counts.select("__both", group.alias("group"), groups.alias("groups")), "__both").drop("__lang", "__both")
 
 
 def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -198,20 +243,19 @@ def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFr
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = text_statistics(docs.select("doc_id", "lang", "source", text), text).withColumn("base_failed", failed)
     rows = settle(rows.withColumns(features()), "text-statistics")
-    sound = settle(grouped(rows.where("NOT base_failed")).select("group", *FEATURES), "sound-texts")
-    shape = settle(starting_shapes(sound), "shapes")
-    for _ in range(STEPS):
-        step = nearest(estimates(with_distance(sound, shape), "group", "bin"), SHARE)
-        shape = settle(shapes(step), "shapes")
+    labelled = settle(grouped(rows.where("NOT base_failed")), "labelled-texts")
+    sound = labelled.select(F.explode("groups").alias("group"), *FEATURES)
+    used = labelled.select("group").distinct()
+    sound = settle(sound.join(used, "group", "left_semi").distinct(), "sound-texts")
+    shape = settle(concentrated(sound), "shapes")
     # Reweighting: everything inside the inner quantile, on the scale of the median.
     binned = settle(estimates(with_distance(sound, shape), "group", "bin"), "distances")
-    scale = nearest(binned, SHARE).select("group", (F.col("median") / CHI_MEDIAN).alias("__scale"))
+    scale = nearest(binned, SHARE, "group").select("group", (F.col("median") / CHI_MEDIAN).alias("__scale"))
     inside = binned.join(scale, "group").where(F.pow(F.lit(2.0), F.col("bin") / BINS_PER_DOUBLING) <= CHI_INNER * F.col("__scale"))
-    shape = settle(shapes(inside.groupBy("group").agg(*[F.sum(s).alias(s) for s in SUMS])), "shapes")
-    median = nearest(estimates(with_distance(sound, shape), "group", "bin"), SHARE).select("group", (F.col("median") / CHI_MEDIAN).alias("__scale"))
+    shape = settle(shapes(inside.groupBy("group").agg(*[F.sum(s).alias(s) for s in SUMS]), "group"), "shapes")
+    median = nearest(estimates(with_distance(sound, shape), "group", "bin"), SHARE, "group").select("group", (F.col("median") / CHI_MEDIAN).alias("__scale"))
     final = settle(shape.join(median, "group"), "shapes")
-    labelled = rows.where("NOT base_failed")
-    judged = with_distance(grouped(labelled), final).withColumn("d2", F.col("d2") / F.greatest(F.col("__scale"), F.lit(1.0)))
+    judged = with_distance(labelled, final).withColumn("d2", F.col("d2") / F.greatest(F.col("__scale"), F.lit(1.0)))
     columns = [c for c in rows.columns if c not in FEATURES]
     out = judged.select(*columns, "d2", (F.col("d2") <= cutoff).alias("kept"))
     rest = rows.where("base_failed").select(*columns, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))

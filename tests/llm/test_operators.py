@@ -102,6 +102,18 @@ def test_outliers_are_rejected_per_group(spark):
     assert {r["doc_id"] for r in found if not r["kept"]} == {i for i in range(600) if i % 40 == 0}
 
 
+def test_junk_copies_and_thin_groups_are_rejected(spark):
+    """A third of a group in equal copies; one and two rows of rare sources beside a large source of their language."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(3000)]
+    text = lambda mark: " ".join(w + mark for w in rng.choice(vocabulary, int(rng.integers(60, 400))))
+    junk = text("###")
+    data = [(i, junk if i % 3 == 0 else text(""), "en", "a") for i in range(600)]
+    data += [(1000, text("###"), "en", "rare"), (1001, text("###"), "en", "two"), (1002, text("###"), "en", "two"), (1003, text(""), "en", "one")]
+    found = quality_outliers.judge(spark.createDataFrame(data, brute.COLUMNS)).select("doc_id", "kept").collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == {*range(0, 600, 3), 1000, 1001, 1002}
+
+
 def test_squared_distance_equals_the_matrix_formula(spark):
     rng = np.random.default_rng(1)
     root = rng.normal(size=(5, 5))
