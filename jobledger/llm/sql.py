@@ -65,10 +65,37 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+ROUNDS = 6
+
+
+def _vector_codes() -> str:
+    """Six rounds of assignment and replacement, written out one after the other."""
+    steps = [
+        """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """cut AS (SELECT vec_id, label, p, generate_subscripts(v, 1) AS i, unnest(v) AS c FROM
+  (SELECT vec_id, label, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS v FROM kept, (SELECT unnest(range(8)) AS p)))""",
+        """book0 AS (SELECT p, e, i, c FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16) USING (vec_id))""",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, p, min(d * 16 + e) AS best FROM
+  (SELECT vec_id, cut.p, e, sum((cut.c - b.c) * (cut.c - b.c))::BIGINT AS d FROM cut JOIN book{r} b ON cut.p = b.p AND cut.i = b.i GROUP BY vec_id, cut.p, e)
+  GROUP BY vec_id, p)""")
+        if r < ROUNDS:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (SELECT p, e, i, coalesce(m, c) AS c FROM book{r} LEFT JOIN
+  (SELECT p, CAST(best % 16 AS BIGINT) AS e, i, CAST(floor(sum(c)::DOUBLE / count(*)) AS BIGINT) AS m FROM near{r} JOIN cut USING (vec_id, p) GROUP BY ALL) USING (p, e, i))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM near{ROUNDS} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM book{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING_DEDUP,
         "op3_curriculum_mix": CURRICULUM_MIX,
         "op4_line_dedup": LINE_DEDUP,
         "op7_decontaminate": DECONTAMINATE,
+        "op12_vector_codes": _vector_codes(),
     }

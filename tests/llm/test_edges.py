@@ -139,7 +139,7 @@ def test_queries_equal_their_sql(spark, name):
     import check
 
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = queries.queries()[name](spark, SMALL)
     result = db.execute(sql.oracle_sql()[name])
