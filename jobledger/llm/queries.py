@@ -20,6 +20,7 @@ from jobledger.llm import (
     substring_dedup,
     toxicity_nb,
     vector_codes,
+    whitening,
 )
 from jobledger.llm.common import settle, table
 
@@ -127,5 +128,9 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64, offset=1_000_000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
