@@ -77,6 +77,27 @@ def over_batches(docs: DataFrame, added: list[T.StructField], compute: Callable[
     return docs.mapInArrow(run, schema)
 
 
+# Packed values of so many tasks are merged by one task of the next level.
+FAN_IN = 16
+
+
+def merge_packed(parts: DataFrame, merge: Callable[[Iterator[bytes]], bytes]) -> bytes | None:
+    """One value from a table of packed values (column ``packed``), ``FAN_IN`` tasks' values at a time; None if there is none.
+
+    Each level is written, so that a lost executor costs one level, and one value is all the driver sees.
+    """
+
+    def one(batches):
+        merged = merge(p for batch in batches for p in batch.column(0).to_pylist())
+        if merged:
+            yield pa.RecordBatch.from_arrays([pa.array([merged], pa.binary())], names=["packed"])
+
+    while (count := (parts := settle(parts, "partial")).count()) > 1:
+        parts = parts.repartition(max(1, count // FAN_IN)).mapInArrow(one, "packed binary")
+    row = parts.first()
+    return bytes(row["packed"]) if row else None
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

@@ -14,6 +14,7 @@ from jobledger.llm import (
     histogram_shards,
     language_ppm,
     line_runs,
+    maxent_lm,
     quality_outliers,
     secret_ownership,
     simhash_ball,
@@ -120,6 +121,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"), folds=7, left_out=2)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
     digest = hashlib.sha256(",".join(map(str, found.codebooks.ravel().tolist())).encode()).hexdigest()

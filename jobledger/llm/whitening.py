@@ -18,7 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.llm.bidiagonal import right_singular
-from jobledger.llm.common import settle
+from jobledger.llm.common import merge_packed, settle
 from jobledger.llm.vector_codes import finite, floors
 
 LARGEST = 1 << 52
 ROWS_AT_ONCE = 4096
-# Triangles of so many tasks are reduced by one task of the next level.
-FAN_IN = 16
 NO_VARIANCE = 1e-12
 LONG = (1 << 63) - 1
 
@@ -93,21 +91,6 @@ def _exact_sums(x: np.ndarray) -> list[int]:
     return [(int(high) << 32) + int(low) for high, low in zip((x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0))]
 
 
-def reduced(parts: DataFrame, merge: Callable[[Iterator[bytes]], bytes]) -> bytes | None:
-    """One value from a table of packed values (``packed``): ``merge`` is applied to ``FAN_IN`` tasks' values at a time."""
-
-    def one(batches):
-        packed = (p for batch in batches for p in batch.column(0).to_pylist())
-        merged = merge(packed)
-        if merged:
-            yield pa.RecordBatch.from_arrays([pa.array([merged], pa.binary())], names=["packed"])
-
-    while (count := (parts := settle(parts, "partial")).count()) > 1:
-        parts = parts.repartition(max(1, count // FAN_IN)).mapInArrow(one, "packed binary")
-    row = parts.first()
-    return bytes(row["packed"]) if row else None
-
-
 def _triangle(above: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.linalg.qr(np.concatenate([above, rows]), mode="r")
 
@@ -129,7 +112,7 @@ def triangle(rows: DataFrame, fit: Fit) -> np.ndarray:
             above = _triangle(above, np.frombuffer(part).reshape(-1, width))
         return above.tobytes()
 
-    found = np.frombuffer(reduced(rows.select("x").mapInArrow(factor, "packed binary"), merge) or b"").reshape(-1, width)
+    found = np.frombuffer(merge_packed(rows.select("x").mapInArrow(factor, "packed binary"), merge) or b"").reshape(-1, width)
     return np.concatenate([found, np.zeros((width - len(found), width))])
 
 
@@ -191,7 +174,7 @@ def identity_error(rows: DataFrame, model: Whitening) -> float:
             state = join(state, unpacked(part))
         return packed(state) if state[0] else b""
 
-    n, _, scatter = unpacked(reduced(rows.select("x").mapInArrow(measure, "packed binary"), merge))
+    n, _, scatter = unpacked(merge_packed(rows.select("x").mapInArrow(measure, "packed binary"), merge))
     return float(np.abs(scatter / n - np.eye(k)).max(initial=0.0))
 
 

@@ -1,8 +1,10 @@
 """Plain versions of the operators over lists of rows, and small corpora to hold them against."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -164,3 +166,20 @@ def linked(prints, distance=4):
     for i, (doc_id, _) in enumerate(prints):
         least[root(i)] = min(least.get(root(i), LAST), doc_id)
     return [least[root(i)] for i in range(len(prints))]
+
+
+def unigram_scores(rows, folds=7, left_out=2):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of each row, and the counts."""
+    fold = lambda d: None if d is None else zlib.crc32(str(d).encode()) % folds
+    tokens = lambda t: [*(w.translate(LOWER) for w in words(t)), None]
+    counts = Counter()
+    for doc_id, text, *_ in rows:
+        if fold(doc_id) != left_out:
+            counts.update(tokens(text))
+    n, distinct = sum(counts.values()), len(counts)
+    out = []
+    for doc_id, text, *_ in rows:
+        own = tokens(text)
+        base = sum(math.log10((counts[w] + 1) / (n + distinct + 1)) for w in own)
+        out.append((doc_id, fold(doc_id) == left_out, len(own), sum(counts[w] > 0 for w in own), n, base))
+    return out, counts
