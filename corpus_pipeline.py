@@ -1,7 +1,8 @@
 """From raw documents to shards: the stages a training corpus goes through.
 
 Each stage takes all rows that the one before kept. All but the last return the columns of ``documents``; columns of the
-input that have the name of a stage's own column are kept as they are. Rows with null texts pass the filters.
+input that have the name of a stage's own column are kept as they are. Rows with null, empty or blank texts pass the filters
+(of them the near-duplicate stage keeps one, as they are copies of each other). Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.llm import curriculum_mix, decontaminate, histogram_shards, near_copies, toxicity_nb
+from jobledger.llm import curriculum_mix, decontaminate, histogram_shards, simhash_ball, toxicity_nb
 from jobledger.llm.common import settle, table
 
 OWN = ("doc_id", "text", "source")
@@ -31,8 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by sharing 0.8 or more of their five-word shingles, the one with the smallest id stays."""
-    return _aside(docs, lambda rows: near_copies.keep_one(rows, shingle=5, similarity=0.8))
+    """Of documents linked by fingerprints of four-word shingles that differ in 4 bits or fewer, the smallest id stays."""
+    return _aside(docs, lambda rows: simhash_ball.keep_one(rows, shingle=4, distance=4))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +45,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once per pass in which at least half of its words are taken, in training order.
 
-    So documents of small sources appear twice, and documents at the end of a large source's order do not appear.
+    So documents of small sources appear twice, and documents at the end of a large source's order do not appear. The
+    half rule takes the document at the end of a target if that brings its source nearer to the target. Documents without
+    words count towards no target; they come once, first.
     """
 
     def work(rows: DataFrame) -> DataFrame:
         mixed = curriculum_mix.mix(rows, curriculum_mix.word_count(), weights=(3, 1, 2), share=1.5, most_repeats=2)
-        return curriculum_mix.training_order(mixed).where("2 * words >= size")
+        return curriculum_mix.training_order(mixed, wordless=True).where("2 * words >= size")
 
     return _aside(docs, work)
 
@@ -59,7 +62,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def work(rows: DataFrame) -> DataFrame:
         size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
-        return histogram_shards.shard_by_bytes(rows.withColumns({"key": histogram_shards.text_then_id(), "size": size}), shards=16)
+        keyed = settle(rows.withColumns({"key": histogram_shards.text_then_id(), "size": size}), "keyed")
+        return histogram_shards.shard_by_bytes(keyed, shards=16)
 
     return _aside(docs, work, "shard", "slot")
 
