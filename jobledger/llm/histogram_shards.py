@@ -6,8 +6,9 @@ that holds the wanted byte is the next range. A boundary is settled as soon as a
 are exchanged once, by ranges of the key, and numbered within their shard.
 
 Scale. A round is one aggregation of a slim table with map-side combining, at most ``PROBES`` rows per boundary come
-back. The key ends in the document's id, so a group of equal texts, however large, can be cut by a boundary; and a range
-shrinks to the keys that are really in it, so such a group takes a few rounds more, not many. The exchange is Spark's range
+back. The key ends in hashes of the document's id and of the row's number in the scan, so a group of equal texts, however
+large and whatever its ids, can be cut by a boundary; and a range shrinks to the keys that are really in it, so such a group
+takes a few rounds more, not many. The exchange is Spark's range
 partitioning into as many partitions as the session has for shuffles, not one per shard: numbers within a shard come
 from the place in the partition and the counts of the partitions before it.
 """
@@ -24,9 +25,14 @@ KEY = "decimal(38,0)"
 
 
 def text_then_id(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """Sort key: 60 bits of the text's hash (equal texts are neighbours), then the id."""
+    """Sort key: 60 bits of the text's hash (equal texts are neighbours), 31 of the id's, 33 of the row's number.
+
+    The number tells rows apart that share text and id; it comes from the scan, so write the rows with their keys before they are read twice.
+    """
     head = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 4).cast("decimal(19,0)")
-    tail = doc_key(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    own = F.shiftleft(F.shiftrightunsigned(F.xxhash64(doc_key(doc_id)), 33), 32)
+    number = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 32)
+    tail = own.cast("decimal(20,0)") * 2 + number.cast("decimal(20,0)")
     return (head * F.lit(str(1 << 64)).cast("decimal(20,0)") + tail).cast(KEY)
 
 
@@ -75,7 +81,9 @@ def shard_by_bytes(rows: DataFrame, shards: int = 16, tolerance: float = 0.001,
     """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 within the shard, in key order).
 
     ``key`` is a ``decimal(38,0)`` without nulls, ``size`` a number of bytes above 0. Shards hold equal bytes up to the
-    tolerance, or as near as whole rows allow. Rows with equal keys stay together in any order. An empty table has no shards.
+    tolerance, or as near as whole rows allow. Rows with equal keys stay together in any order, so keys should end in something
+    that tells rows apart, as :func:`text_then_id` does. A row as large as a shard or larger has that shard nearly to itself; the
+    shards beside it may be empty. An empty table has no shards.
     """
     begins = boundaries(settle(rows.select(key, size), "keys"), shards, tolerance, key, size)
     shard = sum((F.when(F.col(key) >= _number(b), 1).otherwise(0) for b in begins), F.lit(0)).cast("int")

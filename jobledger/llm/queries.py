@@ -41,8 +41,9 @@ def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", curriculum_mix.word_count().alias("size"))
-    mixed = curriculum_mix.mix(docs, F.col("size"), weights=(3, 1, 2), share=1.5, most_repeats=2)
+    slim = ("doc_id", "source", curriculum_mix.word_count().alias("size"), curriculum_mix.text_hash().alias("tie"))
+    docs = settle(table(spark, sf_dir, "documents").select(*slim), "sizes")
+    mixed = curriculum_mix.mix(docs, F.col("size"), weights=(3, 1, 2), share=1.5, most_repeats=2, tie=F.col("tie"))
     first = F.try_element_at(F.transform("passes", lambda x: x["position"]), F.lit(1))
     shown = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round(first, 9).alias("first_position"))
     return shown.orderBy("first_position", "doc_id")

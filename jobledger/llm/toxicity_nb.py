@@ -75,7 +75,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, folds: i
     ]
     # Two times sample_rows pairs of numbers: a proven bound.
     picked = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
+    found = settle(docs.select("doc_id", "text").join(picked, "doc_id"), "labelled-texts")
+    # Ids may repeat: the bound holds for rows.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    some = [found.where(F.col("toxic") == c).orderBy(*order).limit(sample_rows) for c in (0, 1)]
+    rows = some[0].union(some[1]).select("text", "toxic")
     return settle(rows, "labelled-sample"), counts.get(0, 0), counts.get(1, 0)
 
 
