@@ -24,6 +24,23 @@ def line_counts(lines: DataFrame, column_count: int = len(ACCOUNTING_COLUMNS), s
     return counted.selectExpr("*", "total - kept AS dropped")
 
 
+def _split(separator: str) -> str:
+    # An escaped single character is split without a regular expression.
+    pattern = f"\\{separator}" if len(separator) == 1 else f"\\Q{separator}\\E"
+    return f"split(value, r'{pattern}', -1)"
+
+
+def rejection(names: list[str], separator: str = SEPARATOR) -> str:
+    """Why a line cannot be stored: ``columns`` (their number is wrong), ``number: NAME`` (the first integer that is none);
+    null if it can, and for the header line."""
+    whole = [i for i, name in enumerate(names) if column_type(name).simpleString() == "bigint"]
+    wrong = [f"WHEN nullif(_p[{i}], '') IS NOT NULL AND try_cast(_p[{i}] AS bigint) IS NULL THEN 'number: {names[i]}'" for i in whole]
+    # The fields are split once, in a list of one.
+    numbers = f"transform(array({_split(separator)}), _p -> CASE {' '.join(wrong)} END)[0]" if wrong else "CAST(NULL AS string)"
+    header = separator.join(names).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CASE WHEN value = '{header}' THEN NULL WHEN NOT ({is_whole(len(names), separator)}) THEN 'columns' ELSE {numbers} END"
+
+
 def typed_fields(lines: DataFrame, names: list[str], separator: str = SEPARATOR) -> DataFrame:
     """Fields of whole lines as typed columns, in the order of ``names``; header lines are left out.
 
@@ -34,7 +51,5 @@ def typed_fields(lines: DataFrame, names: list[str], separator: str = SEPARATOR)
     fields = [
         f"CAST(nullif(_parts[{i}], '') AS {column_type(name).simpleString()}) AS `{name}`" for i, name in enumerate(names)
     ]
-    # An escaped single character is split without a regular expression.
-    pattern = f"\\{separator}" if len(separator) == 1 else f"\\Q{separator}\\E"
     rows = lines.where(F.col("value") != separator.join(names))
-    return rows.selectExpr(*kept, f"split(value, r'{pattern}', -1) AS _parts").selectExpr(*kept, *fields)
+    return rows.selectExpr(*kept, f"{_split(separator)} AS _parts").selectExpr(*kept, *fields)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobledger.operators.lines import typed_fields, whole_lines
+from jobledger.operators.lines import is_whole, typed_fields
 from jobledger.schema import ACCOUNTING_SCHEMA, INPUT_SIZE_SCHEMA, SEPARATOR
 from jobledger.sources.store import FAITHFUL
 
@@ -19,26 +20,42 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths)
 
 
-def header_names(spark: SparkSession, path: str, separator: str = SEPARATOR) -> list[str]:
-    """Column names from the first line of a dump (the only line read)."""
-    first = spark.read.text(path).first()
-    if first is None:
-        raise ValueError(f"{path} is empty")
-    return first["value"].split(separator)
+def header_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of each file, all in one job."""
+    if len(files) == 1:
+        first = spark.read.text(files[0]).first()
+        return {files[0]: first["value"]} if first else {}
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")
+    )
+    found = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("value")).collect()
+    by_name = {re.sub(LOCAL, "file:/", r["file"]): r["value"] for r in found}
+    return {f: by_name[name] for f in files if (name := re.sub(LOCAL, "file:/", f)) in by_name}
+
 
+def headers(
+    spark: SparkSession, files: list[str], names: list[str] | int | None, separator: str = SEPARATOR
+) -> dict[str, list[str]]:
+    """Files by their first line.
 
-def headers(spark: SparkSession, files: list[str], names: list[str] | int, separator: str = SEPARATOR) -> dict[str, list[str]]:
-    """Files by their first line, which must hold ``names`` (or that many names, the same in all files) in any order."""
+    It must hold ``names`` (or that many names, the same in all files) in any order. With None every file has the columns
+    that its header names: layouts may differ from file to file.
+    """
     found: dict[str, list[str]] = {}
+    lines = header_lines(spark, files)
     for file in files:
-        header = header_names(spark, file, separator)
+        if file not in lines:
+            raise ValueError(f"{file} is empty")
+        header = lines[file].split(separator)
+        if len(set(header)) < len(header):
+            raise ValueError(f"the header of {file} has a column twice")
         if isinstance(names, int):
             if len(header) != names:
                 raise ValueError(f"the header of {file} has {len(header)} columns, expected {names}")
             names = header
-        if sorted(header) != sorted(names):
+        if names is not None and sorted(header) != sorted(names):
             raise ValueError(f"the header of {file} has other columns: {sorted(set(header) ^ set(names))}")
-        found.setdefault(separator.join(header), []).append(file)
+        found.setdefault(lines[file], []).append(file)
     return found
 
 
@@ -50,24 +67,45 @@ def _named(file: Column) -> Column:
     return F.regexp_replace(file, LOCAL, "file:/")
 
 
+def _of_files(files: list[str]) -> Column:
+    return _named(F.col("file")).isin([re.sub(LOCAL, "file:/", f) for f in files])
+
+
+def by_layout(by_header: dict[str, list[str]], expression: Callable[[list[str]], str], separator: str = SEPARATOR) -> Column:
+    """An expression that depends on the columns of a line's file."""
+    cases = [(files, F.expr(expression(header.split(separator)))) for header, files in by_header.items()]
+    if len(cases) == 1:
+        return cases[0][1]
+    chosen = F.when(_of_files(cases[0][0]), cases[0][1])
+    for files, value in cases[1:]:
+        chosen = chosen.when(_of_files(files), value)
+    return chosen
+
+
 def named_fields(lines: DataFrame, by_header: dict[str, list[str]], separator: str = SEPARATOR) -> DataFrame:
-    """Typed rows of whole lines that have their ``file``, each read with its own file's header. One layout is the rule."""
+    """Typed rows of whole lines that have their ``file``, each read with its own file's header; united by name.
+
+    One layout is the rule. Columns that a file does not have are null in its rows.
+    """
     parts = []
     for header, files in by_header.items():
-        own = lines if len(by_header) == 1 else lines.where(_named(F.col("file")).isin([re.sub(LOCAL, "file:/", f) for f in files]))
+        own = lines if len(by_header) == 1 else lines.where(_of_files(files))
         parts.append(typed_fields(own.drop("file"), header.split(separator), separator))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def lines_with_file(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_lines(spark, paths).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_dump(spark: SparkSession, path: str, column_count: int = len(ACCOUNTING_SCHEMA), separator: str = SEPARATOR) -> DataFrame:
-    """Typed rows of a dump (a file, or a folder of them) without broken lines. Each file's columns are matched by its header."""
+def read_dump(spark: SparkSession, path: str, column_count: int | None = len(ACCOUNTING_SCHEMA), separator: str = SEPARATOR) -> DataFrame:
+    """Typed rows of a dump (a file, or a folder of them) without broken lines. Each file's columns are matched by its header.
+
+    With None instead of a number, files may have different columns.
+    """
     lines = lines_with_file(spark, path)
     found = headers(spark, lines.inputFiles(), column_count, separator)
-    return named_fields(whole_lines(lines, column_count, separator), found, separator)
+    return named_fields(lines.where(by_layout(found, lambda names: is_whole(len(names), separator), separator)), found, separator)
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: StructType = ACCOUNTING_SCHEMA, separator: str = SEPARATOR) -> DataFrame:

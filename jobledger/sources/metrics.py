@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobledger.operators.daily import merged_scopes
 from jobledger.operators.timecols import as_date
 from jobledger.schema import DAILY_METRICS
+from jobledger.sources.publish import replace
 from jobledger.sources.store import day_of_path, read_days, write_day, write_days
 
 
@@ -35,20 +36,28 @@ def write_metrics_json(metrics: DataFrame, path: str, day: str | dt.date | None
     days = day_documents(metrics)
     if day is not None:
         return write_day(days, path, day, text=True)
-    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").text(path)
+    replace(metrics.sparkSession, path, 1, lambda place: days.write.partitionBy("dt").text(place))
+
+
+def read_documents(spark: SparkSession, path: str | list[str], first: str | dt.date, last: str | dt.date) -> DataFrame:
+    """(``dt``, ``value``): the documents between two dates; files of other days are not opened.
+
+    The day is the partition of ``dt=…`` folders, or the name of files called ``YYYY-MM-DD.json`` in one folder.
+    """
+    documents = spark.read.text(path, wholetext=True)
+    first, last = as_date(first), as_date(last)
+    if "dt" in documents.columns:
+        return documents.where(F.col("dt").cast("date").between(F.lit(first), F.lit(last))).select(F.col("dt").cast("date").alias("dt"), "value")
+    documents = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+    named = documents.where(F.col("_metadata.file_name").between(f"{first}.json", f"{last}.json"))
+    return named.select(day_of_path(F.col("_metadata.file_path")).alias("dt"), "value")
 
 
 def read_metrics_json(spark: SparkSession, path: str | list[str], first: str | dt.date, last: str | dt.date) -> DataFrame:
     """Cluster lines of the JSON documents between two dates, with the column names of the metrics table.
 
-    The day comes from the path, so both ``dt=…`` folders and files called ``YYYY-MM-DD.json`` can be read.
-    Days without a cluster line are left out.
+    Days without a cluster line are left out. Of a document only the cluster line is taken out of its variant.
     """
-    documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        day_of_path(F.col("_metadata.file_path")).alias("dt"),
-        F.from_json("value", "map<string,map<string,double>>")["global"].alias("m"),
-    )
-    wanted = documents.where(F.col("dt").between(F.lit(as_date(first)), F.lit(as_date(last))) & F.col("m").isNotNull())
-    return wanted.select(
-        "dt", F.lit("global").alias("scope"), *[F.col("m")[label].alias(name) for name, label in DAILY_METRICS.items()]
-    )
+    documents = read_documents(spark, path, first, last)
+    lines = documents.select("dt", F.variant_get(F.parse_json("value"), "$.global", "map<string,double>").alias("m")).where("m IS NOT NULL")
+    return lines.select("dt", F.lit("global").alias("scope"), *[F.col("m")[label].alias(name) for name, label in DAILY_METRICS.items()])

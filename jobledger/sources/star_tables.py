@@ -99,8 +99,17 @@ SELECT CASE WHEN o_orderkey % 37 = 0 THEN CAST(o_orderkey AS STRING)||'|'||o_ord
  ELSE CAST(o_orderkey AS STRING)||'|'||o_orderstatus||'|'||CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'say "hi' ELSE o_orderpriority END||'|x' END "value" FROM orders
 """
 
+# Dump lines in the three layouts a scheduler had: some lines have a field too many, some a number that is none.
+LAYOUTS = (["JobID", "State", "ElapsedRaw"], ["JobID", "ElapsedRaw", "State", "QOS"], ["State", "JobID", "ElapsedRaw", "QOS", "Restarts"])
+LAYOUT_LINES = """
+WITH o AS (SELECT o_orderkey k, CAST(o_orderkey AS STRING) job, o_orderstatus st, o_orderpriority qos, CAST(o_orderkey % 5 AS STRING) again,
+  CASE WHEN o_orderkey % 71 = 0 THEN 'unknown' WHEN o_orderkey % 73 = 0 THEN '' ELSE CAST(10 + (o_orderkey*613) % 180000 AS STRING) END el FROM orders)
+SELECT CAST(k % 3 AS BIGINT) "era", CASE k % 3 WHEN 0 THEN job||'|'||st||'|'||el WHEN 1 THEN job||'|'||el||'|'||st||'|'||qos
+  ELSE st||'|'||job||'|'||el||'|'||qos||'|'||again END||CASE WHEN k % 37 = 0 THEN '|extra' ELSE '' END "value" FROM o
+"""
+
 QUOTED_NAMES = (
-    "JobID Submit Start End ElapsedRaw AllocCPUS CPUTimeRAW ReqMem MaxRSS TotalCPU State QOS Comment JobName User "
+    "era JobID Submit Start End ElapsedRaw AllocCPUS CPUTimeRAW ReqMem MaxRSS TotalCPU State QOS Comment JobName User "
     "Elapsed Account NodeList slurm_jobid job_id rule_name input_size_bytes inputs file line_no value path length"
 ).split()
 
@@ -146,5 +155,9 @@ def input_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, INPUT_SIZES)
 
 
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, LAYOUT_LINES)
+
+
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, DUMP_LINES)

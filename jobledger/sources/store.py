@@ -1,7 +1,9 @@
 """The accounting database and the job tables: Parquet, partitioned by day and, for accounting rows, by dump.
 
-Batch and streamed ingest write the same layout with the batch writer, ``dt=YYYY-MM-DD/dump=NAME``; a rerun of a dump
-replaces its own folder and nothing else, also when no row is left.
+Batch and streamed ingest write the same folders with the batch writer, ``dt=YYYY-MM-DD/dump=NAME``; a rerun of a dump
+replaces its own folder and nothing else, also when no row is left. Every write is published by renaming
+(``sources.publish``), so a run that fails leaves the old rows, and columns may change from dump to dump
+(``sources.layouts``).
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from jobledger.operators.filters import name_is_any
 from jobledger.operators.timecols import as_date
+from jobledger.sources import layouts
+from jobledger.sources.publish import replace
 
 # Delimited files as most tools write them; Spark's own defaults trim texts and escape quotes with backslashes.
 FAITHFUL = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
@@ -29,39 +33,54 @@ def day_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r".*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
 
 
+# Jobs are looked up by name over the whole history: each file says which names it does not hold.
+LOOKUP = {"parquet.bloom.filter.enabled#JobName": "true", "parquet.bloom.filter.expected.ndv#JobName": "100000"}
+
+
+def _lookup(df: DataFrame) -> dict[str, str]:
+    return LOOKUP if "JobName" in df.columns else {}
+
+
 def write_days(df: DataFrame, path: str, many_days: bool = False) -> None:
     """Writes rows partitioned by ``dt``; days that are present are replaced, other days stay.
 
     Rows of one dump are written where they are. With ``many_days`` rows are first brought together by day, or every
     task would write a small file for every day; AQE splits large days and joins small ones.
     """
+    layouts.register(df.sparkSession, path, df.schema, [DAY])
     rows = df.hint("rebalance", DAY) if many_days else df
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    replace(df.sparkSession, path, 1, lambda place: rows.write.partitionBy(DAY).parquet(place))
 
 
 def write_rows(df: DataFrame, path: str, dump: str = "rows") -> None:
     """Accounting rows of many days as one dump; that dump's days that are present are replaced."""
+    layouts.register(df.sparkSession, path, df.schema, [DAY])
     rows = df.withColumn(DUMP, F.lit(dump)).hint("rebalance", DAY)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, DUMP).parquet(path)
+    replace(df.sparkSession, path, 2, lambda place: rows.write.options(**_lookup(df)).partitionBy(DAY, DUMP).parquet(place))
 
 
 def write_day(df: DataFrame, path: str, day: str | dt.date, text: bool = False) -> None:
     """Rows of one day; the day is replaced even if there are none."""
-    rows = df.drop(DAY).write.mode("overwrite")
-    folder = f"{path}/{DAY}={as_date(day).isoformat()}"
-    rows.text(folder) if text else rows.parquet(folder)
+    if not text:
+        layouts.register(df.sparkSession, path, df.schema, [DAY])
+    writer, folder = df.drop(DAY).write, f"{DAY}={as_date(day).isoformat()}"
+    replace(df.sparkSession, path, 1, lambda place: getattr(writer, "text" if text else "parquet")(f"{place}/{folder}"))
 
 
 def write_dump(df: DataFrame, path: str, day: str | dt.date, dump: str) -> None:
     """Rows of one dump of one day, written where they are; the dump is replaced even if there are none."""
-    df.write.mode("overwrite").parquet(f"{path}/{DAY}={as_date(day).isoformat()}/{DUMP}={dump}")
+    layouts.register(df.sparkSession, path, df.schema)
+    folder = f"{DAY}={as_date(day).isoformat()}/{DUMP}={dump}"
+    replace(df.sparkSession, path, 2, lambda place: df.write.options(**_lookup(df)).parquet(f"{place}/{folder}"))
 
 
-def write_dumps(df: DataFrame, path: str, empty: list[tuple[dt.date, str]]) -> None:
-    """Rows of several dumps (``dt`` and ``dump``); of the ``empty`` ones nothing is left."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, DUMP).parquet(path)
-    for day, dump in empty:
-        write_dump(df.drop(DAY, DUMP).limit(0), path, day, dump)
+def write_dumps(df: DataFrame, path: str, dumps: list[tuple[dt.date, str]]) -> None:
+    """Rows of several dumps (``dt`` and ``dump``); of those of ``dumps`` that have no rows nothing is left."""
+    layouts.register(df.sparkSession, path, df.schema, [DAY, DUMP])
+    written = replace(df.sparkSession, path, 2, lambda place: df.write.options(**_lookup(df)).partitionBy(DAY, DUMP).parquet(place))
+    for day, dump in dumps:
+        if f"{DAY}={day.isoformat()}/{DUMP}={dump}" not in written:
+            write_dump(df.drop(DAY, DUMP).limit(0), path, day, dump)
 
 
 def dump_name(path: Column) -> Column:
@@ -70,8 +89,8 @@ def dump_name(path: Column) -> Column:
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:
-    """The whole database; filters on ``dt`` prune partitions."""
-    return spark.read.parquet(path).drop(DUMP)
+    """The whole database; filters on ``dt`` prune partitions. Columns of all its layouts, null where a dump has none."""
+    return _parquet(spark, path).drop(DUMP)
 
 
 def read_day(spark: SparkSession, path: str, day: str | dt.date) -> DataFrame:
@@ -90,21 +109,26 @@ def read_day(spark: SparkSession, path: str, day: str | dt.date) -> DataFrame:
     return rows
 
 
-def _parquet(spark: SparkSession, *paths: str) -> DataFrame:
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
     # A database may hold other files beside its Parquet files, such as metrics documents.
-    return spark.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
+    reader, schema = spark.read.option("pathGlobFilter", "*.parquet"), layouts.stored_schema(spark, path)
+    return (reader.schema(schema) if schema else reader).parquet(path)
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet files, folders or wildcards as one frame; the day in a file's path becomes ``dt`` if rows have none."""
-    rows = spark.read.options(pathGlobFilter="*.parquet", recursiveFileLookup=True).parquet(*paths)
+    """Parquet files, folders or wildcards as one frame, united by column name; the day in a file's path becomes ``dt`` if
+    rows have none."""
+    rows = spark.read.options(pathGlobFilter="*.parquet", recursiveFileLookup=True, mergeSchema=True).parquet(*paths)
     if DAY in rows.columns:
         return rows
     return rows.select("*", day_of_path(F.col("_metadata.file_path")).alias(DAY))
 
 
 def read_jobs_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Rows of jobs with exactly one of the names, over the whole history."""
+    """Rows of jobs with exactly one of the names, over the whole history.
+
+    The names reach the scan, where each file's Bloom filter of names tells which row groups need not be read.
+    """
     return name_is_any(read_days(spark, path), names)
 
 
