@@ -59,6 +59,27 @@ def _medians(facts: DataFrame) -> DataFrame:
     )
 
 
+def time_counts(facts: DataFrame) -> DataFrame:
+    """(``dt``, ``QOS``, ``measure``, ``value``, ``n``): how often each waiting and running time came, per day and class.
+
+    Counts of several days, classes or parts of a day add up, so stored ones give exact medians of any span without its jobs.
+    """
+    return unpivoted_frequencies(facts, ["dt", "QOS"], TIMES)
+
+
+def period_medians(counts: DataFrame, period: str | None = None) -> DataFrame:
+    """(``period``, ``scope``, ``QOS``, ``wait_median``, ``duration_median``) from :func:`time_counts`.
+
+    ``period`` is a unit of ``date_trunc`` (``week``, ``month``, ``year``), or None for all days together (null).
+    """
+    begins = f"CAST(date_trunc('{period}', dt) AS date)" if period else "CAST(NULL AS date)"
+    added = counts.selectExpr(f"{begins} AS dt", "QOS", "measure", "value", "n").groupBy("dt", "QOS", "measure", "value").agg(F.sum("n").alias("n"))
+    medians = quantiles_of_frequencies(_both_scopes(added), [*SCOPE, "measure"], {"median": 0.5})
+    return medians.groupBy(F.col("dt").alias("period"), "scope", "QOS").agg(
+        *[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in TIMES]
+    )
+
+
 def needs_medians(names: list[str] | None) -> bool:
     return names is None or any(n.endswith("_median") for n in names)
 

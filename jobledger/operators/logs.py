@@ -31,6 +31,22 @@ def add_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     return lines.selectExpr("*", f"line_no div {size} AS chunk")
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines whose ``line_no`` counts from 0 in each file, from lines whose numbers grow by one within a chunk.
+
+    Lines of chunks are counted, and the counts added up per file (a row per chunk); no line is sorted.
+    """
+    chunks = lines.groupBy("file", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("_first"))
+    before = "coalesce(sum(n) OVER (PARTITION BY file ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before"
+    numbered = lines.join(chunks.selectExpr("file", "chunk", "_first", before), ["file", "chunk"])
+    return numbered.selectExpr("file", "chunk", "line_no - _first + _before AS line_no", "value")
+
+
+def last_starts(lines: DataFrame) -> DataFrame:
+    """(``file``, ``last_start``): the line that begins the last record of each file."""
+    return lines.where(f"startswith(value, '{RECORD_START}')").groupBy("file").agg(F.max("line_no").alias("last_start"))
+
+
 def _trimmed(text: str) -> str:
     return f"regexp_replace({text}, r'^\\s+|\\s+\\z', '')"
 

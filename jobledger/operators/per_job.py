@@ -49,7 +49,7 @@ def add_rule_name(df: DataFrame) -> DataFrame:
     return with_expressions(df, {"rule_name": parsing.rule_name("Comment"), "wildcards": parsing.wildcards("Comment")})
 
 
-def _order(df: DataFrame, keys: list[str] | str) -> str:
+def dump_place(df: DataFrame, keys: list[str] | str = "JobRoot") -> str:
     """A job in the dumps of several days takes its texts from the first, unless days are kept apart."""
     keys = [keys] if isinstance(keys, str) else keys
     return parsing.dump_order("JobID", DAY if DAY in df.columns and DAY not in keys else None)
@@ -76,7 +76,7 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
             aggregates.append(F.expr(first).alias(field.name))
         else:
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
-    return with_expressions(df, {ORDER: order or _order(df, keys)}).groupBy(*keys).agg(*aggregates)
+    return with_expressions(df, {ORDER: order or dump_place(df, keys)}).groupBy(*keys).agg(*aggregates)
 
 
 def add_memory_efficiency(df: DataFrame) -> DataFrame:
@@ -90,13 +90,17 @@ def add_cpu_efficiency(df: DataFrame) -> DataFrame:
     return with_expressions(df, {"CPUEfficiencyPercent": f"nanvl({ratio}, 0D) * 100"})
 
 
-def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
-    """What share of the requested memory and CPU time each job used."""
+def sized_rows(df: DataFrame) -> DataFrame:
+    """Accounting rows with what they describe and their sizes as numbers: what the roll-up reads."""
     kinds = add_job_kind(df)
     # The three size steps above at once.
     sizes = {name: parsing.size_bytes(name) for name in ("MaxRSS", "ReqMem")}
-    rows = bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
-    jobs = aggregate_per_job(rows, keys, order)
+    return bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
+
+
+def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
+    """What share of the requested memory and CPU time each job used."""
+    jobs = aggregate_per_job(sized_rows(df), keys, order)
     return jobs.transform(add_memory_efficiency).transform(add_cpu_seconds).transform(add_cpu_efficiency)
 
 

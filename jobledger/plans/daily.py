@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from jobledger.operators.calendar import calendar, calendar_summary
-from jobledger.operators.daily import for_day, job_facts, metrics_of_facts, needs_medians
+from jobledger.operators.daily import for_day, job_facts, metrics_of_facts, needs_medians, period_medians, time_counts
 from jobledger.operators.per_job import job_efficiency
 from jobledger.operators.timecols import date_literal
 from jobledger.plans.held import Held
 from jobledger.sources.metrics import read_metrics, write_metrics, write_metrics_json
-from jobledger.sources.store import read_day
+from jobledger.sources.store import read_day, read_days, write_days
 
 
 def _facts(jobs: DataFrame, held: Held | None, names: list[str] | None) -> DataFrame:
@@ -49,6 +49,18 @@ def daily_metrics_range(
     return metrics_of_facts(_facts(job_efficiency(rows, keys=["dt", "JobRoot"]), held, names), capacity, names)
 
 
+def store_time_counts(rows: DataFrame, path: str) -> None:
+    """The exact counts of waiting and running times of the days in ``rows`` (with ``dt``); a rerun replaces its days."""
+    write_days(time_counts(job_facts(job_efficiency(rows, keys=["dt", "JobRoot"]))), path, many_days=True)
+
+
+def range_medians(spark: SparkSession, path: str, first: str | dt.date, last: str | dt.date, period: str | None = None) -> DataFrame:
+    """Exact medians of waiting and running times from ``first`` to ``last``, by ``period`` (``week``, ``month``, ``year``) or of
+    the whole range, per QOS and for the cluster. Only stored counts of those days are read, no accounting rows."""
+    days = read_days(spark, path).where(f"dt BETWEEN {date_literal(first)} AND {date_literal(last)}")
+    return period_medians(days, period)
+
+
 def daily_report(
     spark: SparkSession, database: str, day: str | dt.date, metrics_path: str, json_path: str | None = None, capacity: dict | None = None
 ) -> DataFrame:
