@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,11 +23,13 @@ from jobledger.operators import filters, lines, per_job, timecols
 from jobledger.operators.boxplot import box_points, box_statistics
 from jobledger.operators.logs import add_chunks, log_input_sizes, log_records, run_ids
 from jobledger.operators.rules import distinct_rules, shown_table
-from jobledger.plans import daily, ingest, jobs, rules
+from jobledger.plans import daily, ingest, job_state, jobs, rules
 from jobledger.plans.held import Held
+from jobledger.plans.logs import extract_new_records
 from jobledger.schema import CALENDAR_METRICS, DAILY_METRICS, RULE_MEASURES, SIZED_RULE_MEASURES
 from jobledger.session import scratch_path
 from jobledger.sources import dumps, metrics, star_tables, store
+from jobledger.sources.publish import Folders
 from jobledger.sources.workflow_logs import file_manifest, plain_folder, read_log_lines
 from jobledger.streaming.ingest import ingest_new_dumps
 
@@ -163,8 +166,17 @@ def daily_duration(spark, sf_dir):
 
 @query("daily_duration_all_days")
 def daily_duration_all_days(spark, sf_dir):
-    days = timecols.daily_durations(_efficiency(spark, sf_dir))
-    return rounded(days.groupBy("date").agg(F.expr("count(1) AS jobs"), F.expr("sum(daily_duration_hours) AS hours")))
+    return rounded(timecols.daily_totals(_efficiency(spark, sf_dir)))
+
+
+@query("merged_job_state")
+def merged_job_state(spark, sf_dir):
+    """The dumps of all days, merged into the state of jobs in three parts, one of them twice."""
+    table, path = f"job_state_{uuid.uuid4().hex}", scratch_path(spark, "job-state")
+    rows = star_tables.accounting_by_day(spark, sf_dir)
+    for part in (2, 0, 1, 0):
+        job_state.merge_days(spark, rows.where(f"month(dt) % 3 = {part}"), table, path, buckets=8)
+    return job_state.merged_jobs(spark, table).select("JobRoot", *oracles.TEXTS, *oracles.NUMBERS)
 
 
 # Daily metrics
@@ -232,6 +244,14 @@ def stored_daily_report(spark, sf_dir):
     return _metrics(stored)
 
 
+@query("period_medians")
+def period_medians(spark, sf_dir):
+    """Exact medians by year from stored counts."""
+    path = scratch_path(spark, "time-counts")
+    daily.store_time_counts(star_tables.accounting_by_day(spark, sf_dir), path)
+    return rounded(daily.range_medians(spark, path, *RANGE, period="year"))
+
+
 @query("calendar_summary")
 def calendar_summary(spark, sf_dir):
     legend = _calendar(spark, sf_dir)[1]
@@ -255,6 +275,14 @@ def job_name_exact(spark, sf_dir):
     return rows.select("JobID", "JobName", "State")
 
 
+@query("job_name_history")
+def job_name_history(spark, sf_dir):
+    """Rows of two jobs by name, from the stored history."""
+    database = scratch_path(spark, "database")
+    store.write_rows(star_tables.accounting_by_day(spark, sf_dir), database)
+    return rounded(store.read_jobs_named(spark, database, ["run-late", "run-3"]).select("JobID", "JobName", "State", "dt"))
+
+
 @query("run_id_jobs")
 def run_id_jobs(spark, sf_dir):
     names = run_ids(_lines(spark, sf_dir)).select("run_id")
@@ -435,6 +463,43 @@ def streamed_dump(spark, sf_dir):
     return rounded(store.read_days(spark, database))
 
 
+@query("redelivered_dump")
+def redelivered_dump(spark, sf_dir):
+    """A dump and, later, the same lines under another name."""
+    folder = os.path.join(scratch_path(spark, "drop"), DAY)
+    database, checkpoint = scratch_path(spark, "database"), scratch_path(spark, "progress")
+    for _ in range(2):
+        star_tables.dump_lines(spark, sf_dir).write.mode("append").text(folder)
+        ingest_new_dumps(spark, folder, database, checkpoint, names=star_tables.DUMP_COLUMNS, once_within="30 days").awaitTermination()
+    return rounded(store.read_days(spark, database))
+
+
+def _layouts(spark, sf_dir):
+    """Three layouts: two dumps, and rows that another tool had stored with narrower numbers. Bad lines are kept apart."""
+    found = star_tables.layout_lines(spark, sf_dir)
+    database, rejects = scratch_path(spark, "database"), scratch_path(spark, "rejects")
+    for era, day in ((0, DAY), (1, oracles.NEXT_DAY)):
+        folder, names = scratch_path(spark, "dump"), star_tables.LAYOUTS[era]
+        found.where(f"era = {era}").select("value").write.text(folder)
+        ingest.ingest(spark, folder, database, day, column_count=len(names), names=names, rejects=rejects)
+    names = star_tables.LAYOUTS[2]
+    good = found.where("era = 2").select("value").where(lines.rejection(names) + " IS NULL")
+    typed = lines.typed_fields(good, names).withColumns({"ElapsedRaw": F.col("ElapsedRaw").cast("int"), "dt": F.lit(oracles.THIRD_DAY).cast("date")})
+    store.write_rows(typed, database, dump="other-tool")
+    return database, rejects
+
+
+@query("layout_history")
+def layout_history(spark, sf_dir):
+    return rounded(store.read_days(spark, _layouts(spark, sf_dir)[0]))
+
+
+@query("rejected_lines")
+def rejected_lines(spark, sf_dir):
+    rejects = store.read_days(spark, _layouts(spark, sf_dir)[1])
+    return rounded(rejects.groupBy("dt", "reason").agg(F.count("value").alias("lines")))
+
+
 @query("batch_and_stream")
 def batch_and_stream(spark, sf_dir):
     """One half of the lines by batch, the other as a stream, into one database."""
@@ -486,10 +551,14 @@ def stored_rule_statistics(spark, sf_dir):
     return _statistics(report)
 
 
+# Log lines in runs that begin with a record, each written by one task.
+RUNS = F.expr("(line_no - 10) div 60000")
+
+
 @query("log_files")
 def log_files(spark, sf_dir):
     path = scratch_path(spark, "logs")
-    ordered = star_tables.log_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line_no")
+    ordered = star_tables.log_lines(spark, sf_dir).repartition("file", RUNS).sortWithinPartitions("file", "line_no")
     ordered.select("file", "value").write.partitionBy("file").text(path)
     found = log_records(read_log_lines(spark, path))
     return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
@@ -501,10 +570,35 @@ def _write_logs(spark, sf_dir):
     found = star_tables.log_lines(spark, sf_dir)
     for project in oracles.PROJECTS:
         own = found.where(F.col("file") == f"/w/{project}/.snakemake/log/run.log")
-        own.repartition(1).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
+        own.repartition(RUNS).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
     return root
 
 
+def _write_growing(spark, sf_dir, folder, whole):
+    """One file for every thousand records, or the beginnings of these files, under names that stay the same."""
+    place, folders = scratch_path(spark, "parts"), Folders(spark, folder)
+    found = star_tables.log_lines(spark, sf_dir).selectExpr("concat(substr(file, 4, 2), '-', (line_no - 10) div 6000) AS log", "line_no", "value")
+    if not whole:
+        found = found.where("(line_no - 10) % 6000 < 2000 + hash(log) % 1500")
+    found.repartition("log").sortWithinPartitions("log", "line_no").select("log", "value").write.partitionBy("log").text(place)
+    for name in folders.names(place):
+        for part in folders.names(f"{place}/{name}"):
+            if part.startswith("part-"):
+                target = f"{folder}/{name.removeprefix('log=')}.log"
+                folders.delete(target)
+                folders.move(f"{place}/{name}/{part}", target)
+
+
+@query("growing_logs")
+def growing_logs(spark, sf_dir):
+    """Logs that are read when they are about half written, and again when they are complete."""
+    folder, records, progress = (scratch_path(spark, n) for n in ("logs", "records", "progress"))
+    for whole in (False, True):
+        _write_growing(spark, sf_dir, folder, whole)
+        found = extract_new_records(spark, folder, records, progress, final=whole)
+    return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
+
+
 @query("file_sizes")
 def file_sizes(spark, sf_dir):
     root = _write_logs(spark, sf_dir)

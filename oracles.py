@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from jobledger.sources.star_tables import ACCOUNTING, DUMP_LINES, INPUT_SIZES, JOB_DAYS, LOG_LINES, MANIFEST
+from jobledger.sources.star_tables import ACCOUNTING, DUMP_LINES, INPUT_SIZES, JOB_DAYS, LAYOUT_LINES, LOG_LINES, MANIFEST
 
 REPORT_DAY = "1997-05-01"
-NEXT_DAY = "1997-05-02"
+NEXT_DAY, THIRD_DAY = "1997-05-02", "1997-05-03"
 PROJECTS = ("p0", "p1", "p2", "p3")
 RANGE = ("1994-12-20", "2001-08-31")
 
@@ -152,6 +152,7 @@ CTES = {
     "log_lines": LOG_LINES,
     "manifest": MANIFEST,
     "dump": DUMP_LINES,
+    "layout_lines": LAYOUT_LINES,
 }
 TEXTS = "JobID Submit Start End TotalCPU State QOS Comment JobName User Elapsed Account NodeList JobInfoType".split()
 NUMBERS = "ElapsedRaw AllocCPUS CPUTimeRAW MaxRSS ReqMem".split()
@@ -181,6 +182,11 @@ def _cpu_seconds(t: str) -> str:
 
 CTES["jobs"] = _jobs("sized", '"JobRoot"')
 CTES["day_jobs"] = _jobs("day_rows", 'dt, "JobRoot"')
+CTES["history_rows"] = """SELECT s.* REPLACE (s.ord + date_diff('day', DATE '1970-01-01', d.dt) * 1000000000 AS ord) FROM sized s JOIN days d ON d.job = s."JobRoot" """
+CTES["history_jobs"] = _jobs("history_rows", '"JobRoot"')
+CTES["layout_fields"] = f"""
+    SELECT *, CAST(DATE '{REPORT_DAY}' + CAST("era" AS INTEGER) AS VARCHAR) dt, string_split("value", '|') f, len(f) = 3 + "era" whole,
+        CASE WHEN whole THEN f[CASE WHEN "era" = 1 THEN 2 ELSE 3 END] END el FROM layout_lines"""
 CTES["runs"] = "SELECT * FROM jobs WHERE rule_name IS NOT NULL"
 CTES["sized_runs"] = """
     SELECT r.*, i."slurm_jobid", i."job_id", i."rule_name" rule_name_1, i."input_size_bytes", i."inputs",
@@ -214,6 +220,9 @@ NEEDS = {
     "day_rows": ["sized", "days"],
     "jobs": ["sized"],
     "day_jobs": ["day_rows"],
+    "history_rows": ["sized", "days"],
+    "history_jobs": ["history_rows"],
+    "layout_fields": ["layout_lines"],
     "runs": ["jobs"],
     "sized_runs": ["runs", "input_sizes"],
     "numbered": ["log_lines"],
@@ -391,6 +400,27 @@ def _oracle_sql() -> dict[str, str]:
             """SELECT "JobID", nullif(regexp_extract("Comment", '^rule_(r[0-9]+)', 1), '') rule_name, nullif(regexp_extract("Comment", '_wildcards_(.+)', 1), '') wildcards FROM acct""",
         ),
         "per_job": _with(["jobs"], f'SELECT "JobRoot", {", ".join(chr(34) + c + chr(34) for c in TEXTS + NUMBERS)} FROM jobs'),
+        "merged_job_state": _with(["history_jobs"], f'SELECT "JobRoot", {", ".join(chr(34) + c + chr(34) for c in TEXTS + NUMBERS)} FROM history_jobs'),
+        "layout_history": _with(
+            ["layout_fields"],
+            """SELECT f[CASE WHEN "era" = 2 THEN 2 ELSE 1 END] "JobID", f[CASE "era" WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END] "State", CAST(nullif(el, '') AS BIGINT) "ElapsedRaw",
+            CASE WHEN "era" > 0 THEN f[4] END "QOS", CASE WHEN "era" = 2 THEN f[5] END "Restarts", dt FROM layout_fields WHERE whole AND el <> 'unknown'""",
+        ),
+        "rejected_lines": _with(
+            ["layout_fields"],
+            """SELECT dt, CASE WHEN whole THEN 'number: ElapsedRaw' ELSE 'columns' END reason, count(*) AS "lines" FROM layout_fields
+            WHERE "era" < 2 AND (NOT whole OR el = 'unknown') GROUP BY ALL""",
+        ),
+        "redelivered_dump": _with(["dump"], f"SELECT {DUMP_FIELDS}, '{REPORT_DAY}' dt FROM (SELECT DISTINCT * FROM dump) WHERE {WHOLE}"),
+        "job_name_history": _with(
+            ["acct", "days"],
+            """SELECT "JobID", "JobName", "State", CAST(dt AS VARCHAR) dt FROM acct JOIN days ON job = regexp_extract("JobID", '^([0-9]+)', 1) WHERE "JobName" IN ('run-late', 'run-3')""",
+        ),
+        "growing_logs": _with(["records"], "SELECT slurm_jobid, job_id, rule_name, replace(input_text, ', ', ',') inputs FROM records"),
+        "period_medians": _with(["day_jobs"], " UNION ALL ".join(
+            f"""SELECT CAST(CAST(date_trunc('year', dt) AS DATE) AS VARCHAR) period, {line}, {_r("median(date_diff('second', sub_ts, start_ts))", 'wait_median')}, {_r("median(date_diff('second', start_ts, end_ts))", 'duration_median')}
+            FROM day_jobs WHERE dt BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY date_trunc('year', dt){group}""" for line, group in ((QOS_LINE, ', "QOS"'), (GLOBAL_LINE, ""))
+        )),
         "job_efficiency": _with(["jobs"], EFFICIENCY),
         "job_report": _with(
             ["jobs"],
