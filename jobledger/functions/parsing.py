@@ -41,22 +41,33 @@ def job_kind(job_id: str, root: str | None = None) -> str:
         WHEN {suffix} RLIKE r'{OTHER_SUFFIX}' THEN 'unknown' ELSE 'allocation' END"""
 
 
-def dump_order(job_id: str, day: str | None = None) -> str:
-    """Sort key that puts the rows of a job in dump order, as two numbers: every text column keeps a copy of it.
-
-    First the day of the dump (if given) and the number of the array task; then, within a task or job, allocation, batch,
-    extern, steps by number, and anything else by a hash of the job id.
-    """
-    part = f"regexp_extract({job_id}, r'{STEP_PART}', 1)"
-    task = f"coalesce(try_cast(regexp_extract({job_id}, r'{ARRAY_TASK}', 1) AS int) + 1L, 0L)"
+def _place(task: str, part: str, has_root: str, job_id: str, day: str | None) -> str:
     first = task if day is None else f"shiftleft(CAST(unix_date({day}) AS bigint), 32) + {task}"
     other = f"shiftrightunsigned(xxhash64({job_id}), 8)"
-    rank = f"""CASE WHEN {job_root(job_id)} IS NULL THEN 4 WHEN {part} = '' THEN 0 WHEN {part} = 'batch' THEN 1
+    rank = f"""CASE WHEN NOT ({has_root}) THEN 4 WHEN {part} = '' THEN 0 WHEN {part} = 'batch' THEN 1
         WHEN {part} = 'extern' THEN 2 WHEN try_cast({part} AS int) >= 0 THEN 3 ELSE 4 END"""
     within = f"CASE {rank} WHEN 3 THEN CAST({part} AS bigint) WHEN 4 THEN {other} ELSE 0L END"
     return f"struct({first} AS k0, shiftleft(CAST({rank} AS bigint), 57) + coalesce({within}, 0L) AS k1)"
 
 
+def dump_order(job_id: str, day: str | None = None) -> str:
+    """Sort key that puts the rows of a job in dump order, as two numbers: every text column keeps a copy of it.
+
+    First the day of the dump (if given) and the number of the array task; then, within a task or job, allocation, batch,
+    extern, steps by number, and anything else by a hash of the job id. Ids of digits, or of digits and the digits of an
+    array task, before the first dot are the rule; they need no regular expression.
+    """
+    head = f"substring_index({job_id}, '.', 1)"
+    part = f"substring({job_id}, length({head}) + 2)"
+    shape = f"translate({head}, '0123456789', '')"
+    task = f"coalesce(try_cast(substring_index({head}, '_', -1) AS int) + 1L, 0L)"
+    odd_task = f"coalesce(try_cast(regexp_extract({job_id}, r'{ARRAY_TASK}', 1) AS int) + 1L, 0L)"
+    odd_part = f"regexp_extract({job_id}, r'{STEP_PART}', 1)"
+    return f"""CASE WHEN {shape} = '' AND {head} <> '' THEN {_place('0L', part, 'true', job_id, day)}
+        WHEN {shape} = '_' AND NOT startswith({head}, '_') AND NOT endswith({head}, '_') THEN {_place(task, part, 'true', job_id, day)}
+        ELSE {_place(odd_task, odd_part, f'{job_root(job_id)} IS NOT NULL', job_id, day)} END"""
+
+
 def size_digits(text: str) -> str:
     return matched(text, SIZE, 1)
 
