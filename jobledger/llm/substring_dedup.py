@@ -7,7 +7,8 @@ minimisers, hence meet in one bucket, where sorting the windows finds every repe
 candidates together; the words themselves are compared.
 
 Scale. A super-k-mer holds about seven windows of 13 words in 19 words, so 2.7 words travel per word of text instead of 13.
-A map task sends each bucket one compressed row per slice of text. Equal super-k-mers of a slice are sent once, for the
+A map task sends each bucket one compressed row per slice of text; super-k-mers name their document by its place in the
+slice, and ids and hashes of the documents of a slice are sent once. Equal super-k-mers of a slice are sent once, for the
 smallest id; the others are known to be repeated. A minimiser that a share of all super-k-mers has (a passage found in
 very many documents) is split: its windows travel singly to the bucket of their own hash. Which minimisers to split is
 decided on a sample; that changes routes only, never results. A bucket is what a task holds at a time: there is one for
@@ -19,6 +20,7 @@ all windows travel singly.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,16 @@ SAMPLE_ROWS = 4000
 ROWS_PER_SAMPLED = 250_000
 COMMON_WORDS = 4096
 LATE = 1 << 63
-SPAN = "struct<from_word:int,to_word:int>"
-HEAD = struct.Struct("<bqq")
+HEAD = struct.Struct("<bqqq")
 TAG = np.dtype("V16")
+# What a packed row holds (one place, one id each): super-k-mers (place, id, first word, words); spans that are known to be
+# repeated (place, from, to); the documents of a slice (place, id, tag).
+SUPER_KMERS, KNOWN, DOCUMENTS = 0, 1, 2
+COLUMNS = {
+    SUPER_KMERS: (np.dtype(np.int32), np.dtype(np.int64), np.dtype(np.int32), np.dtype(np.int32)),
+    KNOWN: (np.dtype(np.int32), np.dtype(np.int32), np.dtype(np.int32)),
+    DOCUMENTS: (np.dtype(np.int32), np.dtype(np.int64), TAG),
+}
 
 
 class WordOrder(WordHashes):
@@ -85,19 +94,20 @@ def super_kmers(order: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.
     return np.repeat(np.arange(len(lengths)), n_windows)[first], valid[first], valid[last], minima[first]
 
 
-def pack(kind: int, *columns: np.ndarray, text: bytes = b"", squeeze: zstandard.ZstdCompressor) -> bytes:
-    return squeeze.compress(HEAD.pack(kind, len(columns[0]), len(text)) + b"".join(np.ascontiguousarray(c).tobytes() for c in columns) + text)
+def pack(kind: int, slice_: int, *columns: np.ndarray, text: bytes = b"", squeeze: zstandard.ZstdCompressor) -> bytes:
+    values = [np.ascontiguousarray(c, dtype).tobytes() for c, dtype in zip(columns, COLUMNS[kind])]
+    return squeeze.compress(HEAD.pack(kind, slice_, len(columns[0]), len(text)) + b"".join(values) + text)
 
 
-def unpack(blob: bytes) -> tuple[int, list[np.ndarray], bytes]:
-    """Kind 0: super-k-mers (id, tag, first word, words). Kind 1: spans known to be repeated (id, tag, from, to)."""
+def unpack(blob: bytes) -> tuple[int, int, list[np.ndarray], bytes]:
+    """Kind, slice, columns and text."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    kind, n, size = HEAD.unpack_from(raw)
+    kind, slice_, n, size = HEAD.unpack_from(raw)
     at, columns = HEAD.size, []
-    for dtype in (np.dtype(np.int64), TAG, np.dtype(np.int32), np.dtype(np.int32)):
+    for dtype in COLUMNS[kind]:
         columns.append(np.frombuffer(raw, dtype, n, at))
         at += n * dtype.itemsize
-    return kind, columns, raw[at : at + size]
+    return kind, slice_, columns, raw[at : at + size]
 
 
 def _route(docs: DataFrame, width: int, common: frozenset[bytes], heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -141,7 +151,9 @@ def _route_slice(contents, ids, tags, width, order_of, heavy, buckets, squeeze)
     begin = np.concatenate(([0], ends[:-1]))
     strings = [joined[a:b] for a, b in zip(begin[first].tolist(), (ends[last + width - 1] - 1).tolist())]
     of = np.array(long_enough)[text]
-    own_id, own_tag = ids[of], tags[of]
+    own_id = ids[of]
+    # Slices with equal documents may have equal numbers: then their documents have equal places.
+    slice_ = xxhash.xxh64_intdigest(ids.tobytes() + tags.tobytes()) >> 1
     position = (first - starts_of(lengths)[text]).astype(np.int32)
     n_words = (last - first + width).astype(np.int32)
     # Equal strings of this slice are sent for the smallest id only.
@@ -150,10 +162,10 @@ def _route_slice(contents, ids, tags, width, order_of, heavy, buckets, squeeze)
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, same, own_id)
     known = own_id > least[same]
-    out = []
+    held = np.array(long_enough)
+    out = [(slice_ % buckets, pack(DOCUMENTS, slice_, held, ids[held], tags[held], squeeze=squeeze))]
     if known.any():
-        spread = int(xxhash.xxh32_intdigest(joined[:4096])) % buckets
-        out.append((spread, pack(1, own_id[known], own_tag[known], position[known], (position + n_words)[known], squeeze=squeeze)))
+        out.append((slice_ % buckets, pack(KNOWN, slice_, of[known], position[known], (position + n_words)[known], squeeze=squeeze)))
     sent = np.flatnonzero(~known)
     bucket = (key[sent] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
     ranked = np.argsort(bucket, kind="stable")
@@ -162,7 +174,7 @@ def _route_slice(contents, ids, tags, width, order_of, heavy, buckets, squeeze)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)]):
         rows = sent[a:b]
         text_of = b"\n".join([strings[i] for i in rows.tolist()])
-        out.append((int(bucket[a]), pack(0, own_id[rows], own_tag[rows], position[rows], n_words[rows], text=text_of, squeeze=squeeze)))
+        out.append((int(bucket[a]), pack(SUPER_KMERS, slice_, of[rows], own_id[rows], position[rows], n_words[rows], text=text_of, squeeze=squeeze)))
     return out
 
 
@@ -204,16 +216,20 @@ def repeated_windows(owner: np.ndarray, numbers: np.ndarray, hashes: np.ndarray,
     return out
 
 
-def _bucket_spans(parts: list[bytes], width: int):
-    """Spans of repeated windows in one bucket: id, tag, from, to (word positions of the document)."""
-    found = [unpack(p) for p in parts]
-    known = [c for kind, c, _ in found if kind == 1]
-    sent = [(c, t) for kind, c, t in found if kind == 0]
-    out = [tuple(np.concatenate([c[i] for c in known]) for i in range(4))] if known else []
+def _bucket_spans(parts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """What a bucket tells of documents, each by slice and place: spans of repeated windows (from, to; word positions), or
+    the document itself (id and tag)."""
+    sent = []
+    for kind, slice_, columns, text in map(unpack, parts):
+        if kind == SUPER_KMERS:
+            sent.append((np.full(len(columns[0]), slice_), columns, text))
+        else:
+            yield kind, np.full(len(columns[0]), slice_), *columns
     if sent:
-        ids, tags, position, n_words = (np.concatenate([c[i] for c, _ in sent]) for i in range(4))
-        number, words = WordNumbers(), []
-        numbers = np.concatenate([np.fromiter(map(number.__getitem__, t.split()), np.int32) for _, t in sent])
+        slices_ = np.concatenate([s for s, _, _ in sent])
+        places, ids, position, n_words = (np.concatenate([c[i] for _, c, _ in sent]) for i in range(4))
+        number = WordNumbers()
+        numbers = np.concatenate([np.fromiter(map(number.__getitem__, t.split()), np.int32) for _, _, t in sent])
         words = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         n_windows = n_words.astype(np.int64) - width + 1
         row = np.repeat(np.arange(len(ids)), n_windows)
@@ -225,8 +241,20 @@ def _bucket_spans(parts: list[bytes], width: int):
             new = np.append(True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0))
             a = hit[new]
             b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-            out.append((ids[row[a]], tags[row[a]], position[row[a]] + offset[a], position[row[b]] + offset[b] + width))
-    return out
+            yield KNOWN, slices_[row[a]], places[row[a]], position[row[a]] + offset[a], position[row[b]] + offset[b] + width
+
+
+NOTES = "slice long, place int, key long, tag binary, from_word int, to_word int"
+
+
+def _notes(kind: int, slices_: np.ndarray, places: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(places), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.int32())]
+    if kind == DOCUMENTS:
+        none[:2] = [pa.array(columns[0]), pa.array(columns[1].tolist(), pa.binary())]
+    else:
+        none[2:] = [pa.array(c.astype(np.int32)) for c in columns]
+    names = [part.split()[0] for part in NOTES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(slices_), pa.array(places.astype(np.int32)), *none], names=names)
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,20 +273,21 @@ def repeated_spans(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
     def run(batches):
         current, parts = None, []
 
-        def spans():
-            for ids, tags, a, b in _bucket_spans(parts, width):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags.tolist(), pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "tag", "from_word", "to_word"])
+        def notes():
+            for found in _bucket_spans(parts, width):
+                yield _notes(*found)
 
         for batch in batches:
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if bucket != current:
-                    yield from spans()
+                    yield from notes()
                     current, parts = bucket, []
                 parts.append(packed)
-        yield from spans()
+        yield from notes()
 
-    marks = routed.mapInArrow(run, "key long, tag binary, from_word int, to_word int")
-    return marks.groupBy("key", "tag").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans"))
+    span = F.when(F.col("from_word").isNotNull(), F.struct("from_word", "to_word"))
+    told = routed.mapInArrow(run, NOTES).groupBy("slice", "place").agg(F.first("key", True).alias("key"), F.first("tag", True).alias("tag"), F.collect_list(span).alias("spans"))
+    return told.where(F.size("spans") > 0).groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _sample(rows: DataFrame) -> tuple[DataFrame, int]:
