@@ -8,7 +8,8 @@ leave room for the whole window (length bound); then the words of that item-size
 
 Scale. Both passes over the documents are maps. The windows are sent to the executors in blocks of at most
 ``BLOCK_BYTES`` of item text, so their size is bounded however many items there are: more items mean more passes. After
-``BLOCKS_AT_ONCE`` blocks the result is written and their windows are let go.
+``BLOCKS_AT_ONCE`` blocks the result is written and their windows are let go. Items are dealt by id and text, so one id (or
+none) may have any number of texts.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text: str
             found = settle(found, "passages")
             while sent:
                 sent.pop().destroy()
-        rows = parts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).distinct().collect()
+        rows = parts.where(F.pmod(F.xxhash64("item", "content"), F.lit(blocks)) == block).distinct().collect()
         windows = Windows.of(sorted((r["item"], bytes(r["content"])) for r in rows), window)
         known = {size: Members(hashes) for size, (_, _, hashes) in windows.shingles().items()}
         prefixes = Prefixes(windows, known, shingle_counts(docs, known, text) if known else {})

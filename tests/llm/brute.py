@@ -168,6 +168,27 @@ def linked(prints, distance=4):
     return [least[root(i)] for i in range(len(prints))]
 
 
+def live_spans(rows):
+    """(doc_id, live spans) of each row: values that look random and that one source has."""
+    free = re.compile(r"[A-Za-z0-9+/_-]{24,}", re.A)
+    random_ = lambda v: len(set(v)) >= 10 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+
+    def values(text):
+        text = text or ""
+        for start, kind, end in base_spans(text):
+            value = ASSIGN.fullmatch(text[start:end]).group(2) if kind == 0 else text[start:end]
+            yield end - len(value), end, value
+        for m in free.finditer(text):
+            if all(re.search(c, m.group()) for c in ("[A-Z]", "[a-z]", "[0-9]")):
+                yield m.start(), m.end(), m.group()
+
+    owners = {}
+    for _, text, _, source in rows:
+        for _, _, value in values(text):
+            owners.setdefault(value, set()).add(source)
+    return [(d, sorted({(a, 3, b) for a, b, v in values(t) if random_(v) and len(owners[v]) == 1})) for d, t, *_ in rows]
+
+
 def unigram_scores(rows, folds=7, left_out=2):
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of each row, and the counts."""
     fold = lambda d: None if d is None else zlib.crc32(str(d).encode()) % folds

@@ -264,6 +264,38 @@ def test_base_spans(spark):
     assert ordered((r["doc_id"], [tuple(s) for s in r["base"]]) for r in found) == ordered((d, brute.base_spans(t)) for d, t, *_ in data)
 
 
+def test_live_spans_equal_the_plain_version(spark):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefXYZ0123456789+/_-")
+    value = lambda n: "".join(rng.choice(letters, n))
+    pool = [value(int(rng.integers(10, 40))) for _ in range(400)] + ["AKIA" + "".join(rng.choice(list("ABC123"), 16)) for _ in range(6)]
+    pool += ["".join(rng.choice(list("0123456789abcdef"), 20)) for _ in range(10)]
+    data = []
+    for i in range(150):
+        parts = [str(rng.choice(["é", "password=", "token: '", "x ", " "])) + str(rng.choice(pool)) for _ in range(int(rng.integers(0, 6)))]
+        data.append((i if i % 20 else None, " \n".join(parts), "en", str(rng.choice(["a", "b"])) if i % 9 else None))
+    data += [data[3], data[3], (900, None, None, None)]
+    found = secret_ownership.find_secrets(spark.createDataFrame(data, brute.COLUMNS).repartition(3)).collect()
+    want = brute.live_spans(data)
+    assert sum(len(s) for _, s in want) > 60
+    assert ordered((r["doc_id"], [tuple(s) for s in r["live"]]) for r in found) == ordered(want)
+    assert ordered((r["doc_id"], [tuple(s) for s in r["base"]]) for r in found) == ordered((d, brute.base_spans(t)) for d, t, *_ in data)
+
+
+def test_a_very_long_text_of_secrets(spark):
+    """Two megabytes of matches: the positions of the last ones are right, in time that does not grow with their square."""
+    import time
+
+    text = lambda n: " ".join(f"{i:016x}é" for i in range(n))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        found = secret_ownership.find_secrets(spark.createDataFrame([(1, text(n), "en", "a")], brute.COLUMNS)).collect()[0]
+        took.append(time.time() - began)
+        assert len(found["base"]) == n and tuple(found["base"][-1]) == ((n - 1) * 18, 2, (n - 1) * 18 + 16)
+    assert took[1] < 8 * took[0]
+
+
 def test_ownership_tells_examples_from_live_secrets(spark):
     shared, own = "token=Example0123456789abcDEF", "token=Xk29fJq81LmZpo3rTv77"
     data = [(i, f"é {shared} end", "en", f"s{i % 4}") for i in range(40)] + [(100, f"é {own}", "en", "s1"), (101, f"é {own}", "en", "s1"), (102, "token=zzzzzzzzzzzzzzzzzzzz", "en", None)]
