@@ -12,7 +12,7 @@ one share left in each leaf for unseen words.
 How it is made, all of it from all training texts:
 
 1. Words are counted; the counts are a table (``word``, ``n``) of any size.
-2. The ``TABLE`` most frequent words go to every task. The most frequent have a leaf each; all other words, seen or not,
+2. The most frequent words, at most ``TABLE``, go to every task. The most frequent have a leaf each; all other words, seen or not,
    belong to a range of endings, cut so that ranges have equal shares. Leaves that keep the same company form a class.
 3. One pass turns texts into two bytes a token and lists the words outside the table; these meet the counts in a join.
 4. Tokens are dealt to shards of about ``SHARD_TOKENS``. In each of ``ROUNDS`` rounds a share of the shards trains from the
@@ -55,9 +55,11 @@ SYMBOLS = CONTEXTS + LEAVES
 END = 0  # symbol of the end of a text, which also stands before its beginning
 SHARD_TOKENS = 4_000_000
 ROUNDS = 3
-MINIBATCH = 4096
+MINIBATCH = 1 << 14
 PIECE = 1 << 16
-RATE = 0.25
+RATE = 0.7
+# Squared gradients a row is taken to have had: at first, and for each time it was seen in an earlier round.
+SQUARES, SQUARES_SEEN = 16.0, 0.3
 FAN_IN = 32
 SLICE_BYTES = 4 << 20
 DISTINCT_AT_ONCE = 400_000
@@ -99,6 +101,20 @@ def _counted(tally: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
 
 
+def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most ``TABLE`` words by falling count: all with at least the count that leaves no more than that."""
+    short = counts.where(F.length("word").between(1, LONGEST)).withColumn("size", F.floor(F.log2("n") * 256))
+    left, least = TABLE, None
+    for row in short.groupBy("size").count().orderBy(F.desc("size")).collect():  # 256 rows for each doubling of a count
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["size"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in short.where(F.col("size") >= least).collect()), key=lambda w: (-w[1], w[0]))
+
+
 @dataclass(frozen=True)
 class Words:
     """The table of frequent words (the end first) with their counts, and where ranges of endings begin."""
@@ -253,14 +269,15 @@ def classes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens of some texts, at most ``PIECE`` at a time: the token, the one, two and three before, and its text's number."""
-    lengths = np.array([len(p) // 2 for p in packed], np.int64)
-    of = np.repeat(np.arange(len(packed)), lengths)
-    flat = np.full(int(lengths.sum()) + 3 * len(packed), END, np.uint16)
-    at = np.arange(len(of)) + 3 * (of + 1)
-    flat[at] = np.frombuffer(b"".join(packed), np.uint16)
-    for a in range(0, len(of), PIECE):
-        here = at[a : a + PIECE]
-        yield flat[here], flat[here - 1], flat[here - 2], flat[here - 3], of[a : a + PIECE]
+    for first, last in slices(packed, 8 * PIECE):
+        lengths = np.array([len(p) // 2 for p in packed[first:last]], np.int64)
+        of = np.repeat(np.arange(last - first), lengths)
+        flat = np.full(int(lengths.sum()) + 3 * (last - first), END, np.uint16)
+        at = np.arange(len(of)) + 3 * (of + 1)
+        flat[at] = np.frombuffer(b"".join(packed[first:last]), np.uint16)
+        for a in range(0, len(of), PIECE):
+            here = at[a : a + PIECE]
+            yield flat[here], flat[here - 1], flat[here - 2], flat[here - 3], of[a : a + PIECE] + first
 
 
 class Model:
@@ -310,11 +327,11 @@ class Model:
 
 
 class Trainer:
-    """Adaptive gradient steps on the tokens of one shard, from the common weights."""
+    """Gradient steps on the tokens of one shard, from the common weights; a row's steps shrink with its squared gradients."""
 
     def __init__(self, model: Model):
         self.base, self.model = model, Model(model.leaves, model.weights.copy(), model.seen)
-        self.squares = (1 + 0.02 * model.seen)[:, None].astype(np.float32) * np.ones(WAYS, np.float32)
+        self.squares = (SQUARES + SQUARES_SEEN * model.seen).astype(np.float32)
         self.touched = np.zeros(N_ROWS, np.int64)
         self.random = np.random.default_rng(11)
 
@@ -345,9 +362,9 @@ class Trainer:
         self._move(OFFSETS[6:7], errors[0].sum(axis=0, keepdims=True), np.array([len(of)]))
 
     def _move(self, rows: np.ndarray, gradient: np.ndarray, times: np.ndarray) -> None:
-        squares = self.squares[rows] + gradient * gradient
+        squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient)
         self.squares[rows] = squares
-        self.model.weights[rows] -= RATE * gradient / np.sqrt(squares)
+        self.model.weights[rows] -= gradient * (RATE / np.sqrt(squares))[:, None]
         self.touched[rows] += times
 
     def added(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -393,7 +410,8 @@ def round_moves(encoded: DataFrame, model: Model, shards: int, round_: int) -> D
         yield from finished()
 
     own = encoded.where("NOT held_out").withColumn("shard", F.expr(f"pmod(xxhash64(row), {shards})")).where(f"pmod(shard, {ROUNDS}) = {round_}")
-    dealt = own.select("shard", "symbols", "row").repartition(max(1, shards // ROUNDS), "shard").sortWithinPartitions("shard", "row")
+    dealt = own.select("shard", "symbols", "row").repartitionById(shards // ROUNDS, F.expr(f"CAST(shard div {ROUNDS} AS int)"))
+    dealt = dealt.sortWithinPartitions("shard", "row")
     return dealt.select("shard", "symbols").mapInArrow(train, MOVES)
 
 
@@ -469,8 +487,7 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc
     counts = settle(word_counts(rows), "word-counts")
     n, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
     n, distinct = int(n or 0), int(distinct)
-    frequent = counts.where(F.length("word").between(1, LONGEST)).orderBy(F.desc("n"), "word").limit(TABLE).collect()
-    words = Words.of([(bytes(r["word"]), r["n"]) for r in frequent], int(ends or 0))
+    words = Words.of(frequent_words(counts), int(ends or 0))
     encoded = settle(encode(rows.withColumn("row", F.monotonically_increasing_id()), words), "tokens")
 
     of_symbol = np.concatenate([words.leaves()[:CONTEXTS], np.zeros(max(0, CONTEXTS - len(words.words)), np.int64), np.arange(LEAVES)])
