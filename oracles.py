@@ -49,7 +49,7 @@ RULE_TABLES = {
         "Minutes par Mo (maximum)",
     ],
 }
-# The columns of the per-job export; those of the second list hold integers.
+# Fixed values too: the columns of the per-job export; those of the second list hold integers.
 JOB_REPORT_COLUMNS = [
     "Account",
     "AllocCPUS",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from jobledger.operators import timecols
 
 DAY = "2026-02-24"
+# The usual cases of a job and a day, with the hours that fall on it.
 CASES = [
     ("same day", "2026-02-24T10:00:00", "2026-02-24T14:00:00", 4.0),
     ("started previous day", "2026-02-23T22:00:00", "2026-02-24T02:00:00", 2.0),
