@@ -9,8 +9,11 @@ rejected.
 
 Only built-in functions. Scale: a step is one aggregation. Distances are counted in fine logarithmic bins together with
 the sums that mean and covariance need, so the nearest share and its estimates come out of the same pass, with map-side
-combining; a group of a third of all rows is a few hundred rows after it. Small groups look up the estimate of all texts of
-their language, or of the whole corpus.
+combining; a group of a third of all rows is a few hundred rows after it.
+
+Every language and source has an estimate of its own. It is drawn towards that of its language, and the language's towards
+that of the whole corpus, by n / (n + ``DRAWN``) for n different vectors: a few texts are judged by their language, thousands
+by themselves, and no number of rows changes the judge abruptly.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from jobledger.llm.common import WORD, settle
 
 FEATURES = ("f_size", "f_length", "f_symbols", "f_lines", "f_repeats")
 D = len(FEATURES)
+# The group of all texts; others are JSON.
+ALL = "all"
 # Places of a lower triangle's elements in an array.
 PLACE = {(i, j): i * (i + 1) // 2 + j for i in range(D) for j in range(i + 1)}
 # Smallest standard deviation of each feature: statistics that nearly all texts of a group share exactly.
@@ -31,7 +36,8 @@ FLOORS = (0.5, 0.3, 0.3, 0.25, 0.25)
 SHARE = 0.5
 # Logarithm of the determinant: a step that lowers it by less is the last.
 LEAST_FALL = 1e-3
-LEAST_ROWS = 100
+# So many different vectors count as much as the estimate of the larger group.
+DRAWN = 150.0
 # Quantiles of chi-square with five degrees of freedom at 0.5 and 0.975.
 CHI_MEDIAN, CHI_INNER = 4.351, 12.833
 CUTOFF = 40.0
@@ -217,21 +223,34 @@ def concentrated(rows: DataFrame) -> DataFrame:
     return ended.groupBy("group").agg(F.min("shape").alias("shape")).select("group", "shape.mean", "shape.factor")
 
 
-def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """``group``: language and source; the language alone, or nothing, for groups of fewer than ``least`` different vectors.
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``group`` (language and source) and its ``parent`` (language). Null is a language and a source."""
+    names = {"parent": ["lang"], "group": ["lang", "source"]}
+    return rows.withColumns({n: F.to_json(F.struct(*of), {"ignoreNullFields": "false"}) for n, of in names.items()})
 
-    ``groups``: all groups whose estimates the row takes part in.
-    """
-    lang, both = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    rows = rows.withColumns({"__lang": lang, "__both": both})
-    counts = rows.select("__lang", "__both", *FEATURES).distinct().groupBy("__lang", "__both").agg(F.count("*").alias("__n"))
-    of_lang = Window.partitionBy("__lang")
-    counts = counts.withColumns({"__of_lang": F.sum("__n").over(of_lang), "__small": F.min("__n").over(of_lang) < least})
-    group = F.when(F.col("__n") >= least, F.col("__both")).when(F.col("__of_lang") >= least, F.col("__lang")).otherwise(F.lit("all"))
-    own = F.when(F.col("__n") >= least, F.col("__both"))
-    language = F.when(F.col("__small") & (F.col("__of_lang") >= least), F.col("__lang"))
-    groups = F.array_compact(F.array(own, language, F.lit("all")))
-    return rows.join(counts.select("__both", group.alias("group"), groups.alias("groups")), "__both").drop("__lang", "__both")
+
+def covariance(factor: str) -> dict[tuple[int, int], Column]:
+    """Elements of the product of a factor and its transpose."""
+    at = lambda i, k: F.get(factor, F.lit(PLACE[(i, k)]))
+    return {(i, j): sum((at(i, k) * at(j, k) for k in range(j + 1)), F.lit(0.0)) for i, j in PLACE}
+
+
+def drawn_together(labelled: DataFrame, own: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``group, mean, factor, __scale`` of languages and sources, drawn towards their language and the whole corpus."""
+    known = own.join(sizes, "group").withColumn("w", F.col("n") / (F.col("n") + DRAWN))
+    cells = ("mean", "factor", "__scale", "w")
+    level = lambda p: known.select(F.col("group").alias(f"{p}_group"), *[F.col(c).alias(f"{p}_{c}") for c in cells])
+    tree = labelled.select("group", "parent").distinct().withColumn("top", F.lit(ALL))
+    tree = tree.join(level("own"), F.col("group") == F.col("own_group")).join(level("lang"), F.col("parent") == F.col("lang_group"))
+    tree = tree.join(level("all"), F.col("top") == F.col("all_group"))
+
+    def drawn(value: Callable[[str], Column]) -> Column:
+        of_lang = F.col("lang_w") * value("lang") + (1 - F.col("lang_w")) * value("all")
+        return F.col("own_w") * value("own") + (1 - F.col("own_w")) * of_lang
+
+    mean = F.array(*[drawn(lambda p, i=i: F.get(f"{p}_mean", F.lit(i))) for i in range(D)])
+    cov = {place: drawn(lambda p, place=place: covariance(f"{p}_factor")[place]) for place in PLACE}
+    return tree.select("group", mean.alias("mean"), cholesky(cov).alias("factor"), drawn(lambda p: F.col(f"{p}___scale")).alias("__scale"))
 
 
 def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -244,9 +263,9 @@ def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFr
     rows = text_statistics(docs.select("doc_id", "lang", "source", text), text).withColumn("base_failed", failed)
     rows = settle(rows.withColumns(features()), "text-statistics")
     labelled = settle(grouped(rows.where("NOT base_failed")), "labelled-texts")
-    sound = labelled.select(F.explode("groups").alias("group"), *FEATURES)
-    used = labelled.select("group").distinct()
-    sound = settle(sound.join(used, "group", "left_semi").distinct(), "sound-texts")
+    # Equal vectors of a group count once.
+    vectors = labelled.select("group", "parent", *FEATURES).distinct()
+    sound = settle(vectors.select(F.explode(F.array("group", "parent", F.lit(ALL))).alias("group"), *FEATURES).distinct(), "sound-texts")
     shape = settle(concentrated(sound), "shapes")
     # Reweighting: everything inside the inner quantile, on the scale of the median.
     binned = settle(estimates(with_distance(sound, shape), "group", "bin"), "distances")
@@ -254,7 +273,8 @@ def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFr
     inside = binned.join(scale, "group").where(F.pow(F.lit(2.0), F.col("bin") / BINS_PER_DOUBLING) <= CHI_INNER * F.col("__scale"))
     shape = settle(shapes(inside.groupBy("group").agg(*[F.sum(s).alias(s) for s in SUMS]), "group"), "shapes")
     median = nearest(estimates(with_distance(sound, shape), "group", "bin"), SHARE, "group").select("group", (F.col("median") / CHI_MEDIAN).alias("__scale"))
-    final = settle(shape.join(median, "group"), "shapes")
+    sizes = sound.groupBy("group").agg(F.count("*").alias("n"))
+    final = settle(drawn_together(labelled, shape.join(median, "group"), sizes), "shapes")
     judged = with_distance(labelled, final).withColumn("d2", F.col("d2") / F.greatest(F.col("__scale"), F.lit(1.0)))
     columns = [c for c in rows.columns if c not in FEATURES]
     out = judged.select(*columns, "d2", (F.col("d2") <= cutoff).alias("kept"))

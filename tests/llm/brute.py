@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -204,3 +205,56 @@ def unigram_scores(rows, folds=7, left_out=2):
         base = sum(math.log10((counts[w] + 1) / (n + distinct + 1)) for w in own)
         out.append((doc_id, fold(doc_id) == left_out, len(own), sum(counts[w] > 0 for w in own), n, base))
     return out, counts
+
+
+def outlier_distances(rows, floors, share, median, inner, drawn):
+    """Scaled squared distances by minimum covariance determinant, from (lang, source, features) of sound texts.
+
+    Distances are sorted instead of counted in bins; all else is as the operator says.
+    """
+    d = len(floors)
+    groups = {}
+    for lang, source, x in rows:
+        for name in ((lang, source), (lang,), ()):
+            groups.setdefault(name, set()).add(tuple(x))
+
+    def shape(x, weights=None):
+        w = np.ones(len(x)) if weights is None else weights
+        mean = (w[:, None] * x).sum(0) / w.sum()
+        return mean, (w[:, None] * x).T @ x / w.sum() - np.outer(mean, mean) + np.diag(np.square(floors))
+
+    def distances(x, mean, cov):
+        return ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+
+    def estimate(x):
+        q = np.quantile(x, np.arange(21) / 20, axis=0, method="inverted_cdf")
+        best = None
+        at = np.argmin([q[k + 10] - q[k] for k in range(11)], axis=0)
+        halves = [(q[at + 10, range(d)] + q[at, range(d)]) / 2, q[at + 10, range(d)] - q[at, range(d)]]
+        for middle, width in ((q[10], q[15] - q[5]), (q[10], 2 * np.minimum(q[15] - q[10], q[10] - q[5])), halves):
+            mean, cov, before = middle, np.diag(np.square(width / 1.349) + np.square(floors)), math.inf
+            while True:
+                order = np.argsort(distances(x, mean, cov), kind="stable")
+                left = min(len(x), len(x) * share + (d + 1) / 2)
+                weights = np.clip(left - np.arange(len(x)), 0, 1)
+                mean, cov = shape(x[order], weights)
+                now = np.linalg.slogdet(cov)[1]
+                if now > before - 1e-3:
+                    break
+                before = now
+            best = min(best or (math.inf,), (now, mean.tolist(), cov.tolist()))
+        mean, cov = np.array(best[1]), np.array(best[2])
+        d2 = distances(x, mean, cov)
+        mean, cov = shape(x[d2 <= inner * np.median(d2) / median])
+        return mean, cov, np.median(distances(x, mean, cov)) / median
+
+    found = {name: estimate(np.array(sorted(x))) for name, x in groups.items()}
+    out = []
+    for lang, source, x in rows:
+        state = found[()]
+        for name in ((lang,), (lang, source)):
+            w = len(groups[name]) / (len(groups[name]) + drawn)
+            state = tuple(w * own + (1 - w) * other for own, other in zip(found[name], state))
+        mean, cov, scale = state
+        out.append(float(distances(np.array([x]), mean, cov)[0] / max(scale, 1.0)))
+    return out
