@@ -62,8 +62,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def work(rows: DataFrame) -> DataFrame:
         size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
-        keyed = settle(rows.withColumns({"key": histogram_shards.text_then_id(), "size": size}), "keyed")
-        return histogram_shards.shard_by_bytes(keyed, shards=16)
+        # The rows are read from the files of the stage before, so a row has the same number whenever it is read.
+        return histogram_shards.shard_by_bytes(rows.withColumns({"key": histogram_shards.text_then_id(), "size": size}), shards=16)
 
     return _aside(docs, work, "shard", "slot")
 
