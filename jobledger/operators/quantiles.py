@@ -8,7 +8,8 @@ here one group may hold a third of all jobs (the cluster line of the daily repor
    and the largest value however many there are, and running totals over the buckets tell which hold the wanted ranks;
 3. values may crowd in a bucket (percents near 100), so each wanted bucket is cut again, into 4 096 parts of equal
    width between its own smallest and largest value, and totals over the parts tell which hold the ranks;
-4. only the distinct values in those parts are put in order.
+4. only the distinct values in those parts are put in order. A part is at most 6e-8 of its values' size wide; values that
+   are all closer to each other than that, as whole numbers and percents are not, would be put in order by one task.
 
 The result is exact: buckets only decide which values are looked at, ranks are counted over all of them.
 """
