@@ -114,7 +114,7 @@ def _route(docs: DataFrame, width: int, common: frozenset[bytes], heavy: np.ndar
     """One row per slice of texts and bucket."""
 
     def run(batches):
-        order_of, squeeze = WordOrder(common), zstandard.ZstdCompressor(level=3)
+        order_of, squeeze = WordOrder(common), zstandard.ZstdCompressor(level=6)
         for batch in batches:
             contents = texts(batch.column(2))
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
