@@ -207,16 +207,15 @@ def unigram_scores(rows, folds=7, left_out=2):
     return out, counts
 
 
-def outlier_distances(rows, floors, share, median, inner, drawn):
-    """Scaled squared distances by minimum covariance determinant, from (lang, source, features) of sound texts.
+def outlier_distances(rows, floors, share, median, inner):
+    """Scaled squared distances by minimum covariance determinant, from (lang, source, features) of sound texts in large groups.
 
     Distances are sorted instead of counted in bins; all else is as the operator says.
     """
     d = len(floors)
     groups = {}
     for lang, source, x in rows:
-        for name in ((lang, source), (lang,), ()):
-            groups.setdefault(name, set()).add(tuple(x))
+        groups.setdefault((lang, source), set()).add(tuple(x))
 
     def shape(x, weights=None):
         w = np.ones(len(x)) if weights is None else weights
@@ -251,10 +250,6 @@ def outlier_distances(rows, floors, share, median, inner, drawn):
     found = {name: estimate(np.array(sorted(x))) for name, x in groups.items()}
     out = []
     for lang, source, x in rows:
-        state = found[()]
-        for name in ((lang,), (lang, source)):
-            w = len(groups[name]) / (len(groups[name]) + drawn)
-            state = tuple(w * own + (1 - w) * other for own, other in zip(found[name], state))
-        mean, cov, scale = state
+        mean, cov, scale = found[lang, source]
         out.append(float(distances(np.array([x]), mean, cov)[0] / max(scale, 1.0)))
     return out
