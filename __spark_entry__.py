@@ -552,13 +552,13 @@ def stored_rule_statistics(spark, sf_dir):
 
 
 # Log lines in runs that begin with a record, each written by one task.
-RUNS = F.expr("(line_no - 10) div 60000")
+RUNS = "(line_no - 10) div 60000"
 
 
 @query("log_files")
 def log_files(spark, sf_dir):
     path = scratch_path(spark, "logs")
-    ordered = star_tables.log_lines(spark, sf_dir).repartition("file", RUNS).sortWithinPartitions("file", "line_no")
+    ordered = star_tables.log_lines(spark, sf_dir).repartition("file", F.expr(RUNS)).sortWithinPartitions("file", "line_no")
     ordered.select("file", "value").write.partitionBy("file").text(path)
     found = log_records(read_log_lines(spark, path))
     return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
@@ -570,7 +570,7 @@ def _write_logs(spark, sf_dir):
     found = star_tables.log_lines(spark, sf_dir)
     for project in oracles.PROJECTS:
         own = found.where(F.col("file") == f"/w/{project}/.snakemake/log/run.log")
-        own.repartition(RUNS).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
+        own.repartition(F.expr(RUNS)).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
     return root
 
 
