@@ -32,40 +32,48 @@ def job_root(job_id: str) -> str:
     return matched(job_id, JOB_ROOT, 1)
 
 
-def job_kind(job_id: str, root: str | None = None) -> str:
-    """What a row of the dump describes, told by what follows the job number; ``root`` is a column that has it."""
+def job_suffix(job_id: str, root: str) -> str:
+    return f"substring({job_id}, length({root}) + 1)"
+
+
+def job_kind(job_id: str, root: str | None = None, suffix: str | None = None) -> str:
+    """What a row of the dump describes, told by what follows the job number; ``root`` and ``suffix`` are columns that have them."""
     root = root or job_root(job_id)
-    suffix = f"substring({job_id}, length({root}) + 1)"
+    suffix = suffix or job_suffix(job_id, root)
     return f"""CASE WHEN {root} IS NULL OR {suffix} = '' THEN 'allocation' WHEN {suffix} = '.batch' THEN 'batch'
         WHEN {suffix} = '.extern' THEN 'extern' WHEN {suffix} RLIKE r'{STEP_SUFFIX}' THEN 'step'
         WHEN {suffix} RLIKE r'{OTHER_SUFFIX}' THEN 'unknown' ELSE 'allocation' END"""
 
 
-def _place(task: str, part: str, has_root: str, job_id: str, day: str | None) -> str:
-    first = task if day is None else f"shiftleft(CAST(unix_date({day}) AS bigint), 32) + {task}"
-    other = f"shiftrightunsigned(xxhash64({job_id}), 8)"
-    rank = f"""CASE WHEN NOT ({has_root}) THEN 4 WHEN {part} = '' THEN 0 WHEN {part} = 'batch' THEN 1
-        WHEN {part} = 'extern' THEN 2 WHEN try_cast({part} AS int) >= 0 THEN 3 ELSE 4 END"""
-    within = f"CASE {rank} WHEN 3 THEN CAST({part} AS bigint) WHEN 4 THEN {other} ELSE 0L END"
-    return f"struct({first} AS k0, shiftleft(CAST({rank} AS bigint), 57) + coalesce({within}, 0L) AS k1)"
-
-
-def dump_order(job_id: str, day: str | None = None) -> str:
-    """Sort key that puts the rows of a job in dump order, as two numbers: every text column keeps a copy of it.
+def dump_order(job_id: str, name: str, day: str | None = None) -> list[dict[str, str]]:
+    """Columns, step by step, that end with ``name``: what puts the rows of a job in dump order.
 
-    First the day of the dump (if given) and the number of the array task; then, within a task or job, allocation, batch,
-    extern, steps by number, and anything else by a hash of the job id. Ids of digits, or of digits and the digits of an
-    array task, before the first dot are the rule; they need no regular expression.
+    The key is two numbers, as every text column keeps a copy of it. First the day of the dump (if given) and the number
+    of the array task; then, within a task or job, allocation, batch, extern, steps by number, and anything else by a hash
+    of the job id. Ids of digits, or of digits and the digits of an array task, before the first dot are the rule; they
+    need no regular expression. Each step is read more than once by the next: written as one expression, it would be
+    repeated so often that the JVM no longer compiles the code made from it.
     """
-    head = f"substring_index({job_id}, '.', 1)"
-    part = f"substring({job_id}, length({head}) + 2)"
-    shape = f"translate({head}, '0123456789', '')"
-    task = f"coalesce(try_cast(substring_index({head}, '_', -1) AS int) + 1L, 0L)"
-    odd_task = f"coalesce(try_cast(regexp_extract({job_id}, r'{ARRAY_TASK}', 1) AS int) + 1L, 0L)"
-    odd_part = f"regexp_extract({job_id}, r'{STEP_PART}', 1)"
-    return f"""CASE WHEN {shape} = '' AND {head} <> '' THEN {_place('0L', part, 'true', job_id, day)}
-        WHEN {shape} = '_' AND NOT startswith({head}, '_') AND NOT endswith({head}, '_') THEN {_place(task, part, 'true', job_id, day)}
-        ELSE {_place(odd_task, odd_part, f'{job_root(job_id)} IS NOT NULL', job_id, day)} END"""
+    head, shape, plain, part, task, rank = (f"{name}_{c}" for c in ("head", "shape", "plain", "part", "task", "rank"))
+    array_task = f"CASE WHEN {shape} = '_' THEN substring_index({head}, '_', -1) END"
+    odd_task = f"regexp_extract({job_id}, r'{ARRAY_TASK}', 1)"
+    number = f"coalesce(try_cast(CASE WHEN {plain} THEN {array_task} ELSE {odd_task} END AS int) + 1L, 0L)"
+    within = f"CASE {rank} WHEN 3 THEN CAST({part} AS bigint) WHEN 4 THEN shiftrightunsigned(xxhash64({job_id}), 8) ELSE 0L END"
+    first = task if day is None else f"shiftleft(CAST(unix_date({day}) AS bigint), 32) + {task}"
+    return [
+        {head: f"substring_index({job_id}, '.', 1)"},
+        {shape: f"translate({head}, '0123456789', '')"},
+        {plain: f"CASE {shape} WHEN '' THEN {head} <> '' WHEN '_' THEN NOT startswith({head}, '_') AND NOT endswith({head}, '_') ELSE false END"},
+        {
+            part: f"CASE WHEN {plain} THEN substring({job_id}, length({head}) + 2) ELSE regexp_extract({job_id}, r'{STEP_PART}', 1) END",
+            task: number,
+        },
+        {
+            rank: f"""CASE WHEN NOT {plain} AND {job_root(job_id)} IS NULL THEN 4 WHEN {part} = '' THEN 0 WHEN {part} = 'batch' THEN 1
+                WHEN {part} = 'extern' THEN 2 WHEN try_cast({part} AS int) >= 0 THEN 3 ELSE 4 END"""
+        },
+        {name: f"struct({first} AS k0, shiftleft(CAST({rank} AS bigint), 57) + coalesce({within}, 0L) AS k1)"},
+    ]
 
 
 def size_digits(text: str) -> str:
@@ -81,10 +89,19 @@ def unit_bytes(digits: str, unit: str) -> str:
     return f"try_multiply(try_cast({digits} AS bigint), CASE {unit} {factors} END)"
 
 
+def size_match(text: str) -> str:
+    """The digits and the unit of a size; empty if it has none."""
+    return f"regexp_extract({text}, r'{SIZE}', 0)"
+
+
+def matched_bytes(match: str) -> str:
+    """What :func:`size_match` found, in bytes."""
+    return unit_bytes(f"substring({match}, 1, length({match}) - 1)", f"right({match}, 1)")
+
+
 def size_bytes(text: str) -> str:
     """``12K``/``3M``/``2G`` in bytes; anything else is null."""
-    # Empty text (no match) is neither a number nor a unit, so the two matches need no test of their own.
-    return unit_bytes(f"regexp_extract({text}, r'{SIZE}', 1)", f"regexp_extract({text}, r'{SIZE}', 2)")
+    return matched_bytes(size_match(text))
 
 
 def gigabytes(size: str) -> str:

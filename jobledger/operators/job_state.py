@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from jobledger.operators.per_job import DAY, ORDER, add_cpu_efficiency, add_cpu_seconds, add_memory_efficiency, dump_place, sized_rows, with_expressions
+from jobledger.functions.generated import apart
+from jobledger.operators.per_job import DAY, ORDER, add_cpu_efficiency, add_cpu_seconds, add_dump_order, add_memory_efficiency, sized_rows, with_expressions
 
 # The job number, or empty for rows without one: a key that is never null.
 KEY = "job_key"
@@ -19,8 +20,7 @@ KEY = "job_key"
 
 def job_state(rows: DataFrame) -> DataFrame:
     """The state of each job in some accounting rows."""
-    rows = sized_rows(rows)
-    rows = with_expressions(rows, {ORDER: dump_place(rows), KEY: "coalesce(JobRoot, '')"})
+    rows = with_expressions(add_dump_order(sized_rows(rows)), {KEY: "coalesce(JobRoot, '')"})
     aggregates = []
     for field in rows.schema.fields:
         name = f"`{field.name}`"
@@ -35,7 +35,7 @@ def merged(history: DataFrame, day: DataFrame) -> DataFrame:
     """Both states as one. A column that one of them does not have is null there."""
     other = day.withColumnsRenamed({c: f"_day_{c}" for c in day.columns})
     both = history.join(other, F.col(KEY) == F.col(f"_day_{KEY}"), "full_outer")
-    cells = [F.coalesce(KEY, f"_day_{KEY}").alias(KEY)]
+    cells = [apart(F.coalesce(KEY, f"_day_{KEY}")).alias(KEY)]
     for field in [f for f in history.schema if f.name != KEY] + [f for f in day.schema if f.name not in history.columns]:
         sides = [c for c, there in ((f"`{field.name}`", field.name in history.columns), (f"`_day_{field.name}`", field.name in day.columns)) if there]
         # Of texts the one in the earlier place; nulls lose.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
@@ -21,7 +23,8 @@ def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
 def add_job_kind(df: DataFrame) -> DataFrame:
     """Adds ``JobRoot`` and ``JobInfoType``."""
     rooted = with_expressions(df, {"JobRoot": parsing.job_root("JobID")})
-    return with_expressions(rooted, {"JobInfoType": parsing.job_kind("JobID", "JobRoot")})
+    told = with_expressions(rooted, {"_suffix": parsing.job_suffix("JobID", "JobRoot")})
+    return with_expressions(told, {"JobInfoType": parsing.job_kind("JobID", "JobRoot", "_suffix")}).drop("_suffix")
 
 
 def add_size_unit(df: DataFrame, *names: str) -> DataFrame:
@@ -49,10 +52,11 @@ def add_rule_name(df: DataFrame) -> DataFrame:
     return with_expressions(df, {"rule_name": parsing.rule_name("Comment"), "wildcards": parsing.wildcards("Comment")})
 
 
-def dump_place(df: DataFrame, keys: list[str] | str = "JobRoot") -> str:
-    """A job in the dumps of several days takes its texts from the first, unless days are kept apart."""
+def add_dump_order(df: DataFrame, keys: list[str] | str = "JobRoot") -> DataFrame:
+    """Adds the place in dump order. A job in the dumps of several days takes its texts from the first, unless days are kept apart."""
     keys = [keys] if isinstance(keys, str) else keys
-    return parsing.dump_order("JobID", DAY if DAY in df.columns and DAY not in keys else None)
+    steps = parsing.dump_order("JobID", ORDER, DAY if DAY in df.columns and DAY not in keys else None)
+    return reduce(with_expressions, steps, df).drop(*[name for step in steps[:-1] for name in step])
 
 
 def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:
@@ -76,7 +80,8 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
             aggregates.append(F.expr(first).alias(field.name))
         else:
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")
-    return with_expressions(df, {ORDER: order or dump_place(df, keys)}).groupBy(*keys).agg(*aggregates)
+    ordered = with_expressions(df, {ORDER: order}) if order else add_dump_order(df, keys)
+    return ordered.groupBy(*keys).agg(*aggregates)
 
 
 def add_memory_efficiency(df: DataFrame) -> DataFrame:
@@ -93,9 +98,11 @@ def add_cpu_efficiency(df: DataFrame) -> DataFrame:
 def sized_rows(df: DataFrame) -> DataFrame:
     """Accounting rows with what they describe and their sizes as numbers: what the roll-up reads."""
     kinds = add_job_kind(df)
-    # The three size steps above at once.
-    sizes = {name: parsing.size_bytes(name) for name in ("MaxRSS", "ReqMem")}
-    return bytes_to_gigabytes(with_expressions(kinds, sizes), *sizes, keep_original=True)
+    # The three size steps above at once, with one match a size.
+    names = ("MaxRSS", "ReqMem")
+    matches = with_expressions(kinds, {f"_{name}": parsing.size_match(name) for name in names})
+    sizes = with_expressions(matches, {name: parsing.matched_bytes(f"_{name}") for name in names}).drop(*[f"_{name}" for name in names])
+    return bytes_to_gigabytes(sizes, *names, keep_original=True)
 
 
 def job_efficiency(df: DataFrame, keys: list[str] | str = "JobRoot", order: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobledger.functions.generated import apart
+
 ACCOUNTING = """
 WITH a AS (
  SELECT o_orderkey k, o_custkey, o_orderstatus, o_orderpriority,
@@ -133,7 +135,7 @@ def rows(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
 
 def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rows(spark, sf_dir, ACCOUNTING).drop("row_ord")
-    return df.withColumns({n: df[n].cast("long") for n in ("ElapsedRaw", "AllocCPUS", "CPUTimeRAW")})
+    return df.withColumns({**{n: df[n].cast("long") for n in ("ElapsedRaw", "AllocCPUS", "CPUTimeRAW")}, "JobID": apart("JobID")})
 
 
 def accounting_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
