@@ -172,10 +172,14 @@ def daily_duration_all_days(spark, sf_dir):
 @query("merged_job_state")
 def merged_job_state(spark, sf_dir):
     """The dumps of all days, merged into the state of jobs in three parts, one of them twice."""
-    table, path = f"job_state_{uuid.uuid4().hex}", scratch_path(spark, "job-state")
-    rows = star_tables.accounting_by_day(spark, sf_dir)
+    table, path, dumps_ = f"job_state_{uuid.uuid4().hex}", scratch_path(spark, "job-state"), scratch_path(spark, "parts")
+    # The dumps are made once: each merge reads its own part of them.
+    star_tables.accounting_by_day(spark, sf_dir).withColumn("part", F.expr("month(dt) % 3")).write.partitionBy("part").parquet(dumps_)
+    rows = spark.read.parquet(dumps_)
+    # A quarter of a million jobs are some hundred megabytes of state.
+    buckets = max(8, spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).count() // 250_000)
     for part in (2, 0, 1, 0):
-        job_state.merge_days(spark, rows.where(f"month(dt) % 3 = {part}"), table, path, buckets=8)
+        job_state.merge_days(spark, rows.where(f"part = {part}").drop("part"), table, path, buckets=buckets)
     return job_state.merged_jobs(spark, table).select("JobRoot", *oracles.TEXTS, *oracles.NUMBERS)
 
 

@@ -5,6 +5,8 @@ import re
 import __spark_entry__ as entry
 from jobledger.operators.job_state import job_state
 from jobledger.operators.per_job import job_efficiency
+from jobledger.plans import job_state as state_plans
+from jobledger.sources import star_tables
 
 # HotSpot interprets larger methods for ever.
 COMPILED = 8000
@@ -43,3 +45,16 @@ def test_state_is_compiled(spark, tmp_path, accounting):
         assert largest_method(job_state(spark.read.parquet(str(tmp_path / "rows")))) < COMPILED
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_merges_read_rows_that_were_made_once(spark, tmp_path, monkeypatch):
+    read, merge = [], state_plans.merge_days
+
+    def recorded(spark, rows, *args, **options):
+        read.extend(rows.inputFiles())
+        merge(spark, rows, *args, **options)
+
+    monkeypatch.setattr(entry.job_state, "merge_days", recorded)
+    folder = tables(spark, tmp_path)
+    assert entry.merged_job_state(spark, folder).count() == job_efficiency(star_tables.accounting(spark, folder)).count()
+    assert read and not [file for file in read if "lineitem" in file or "orders" in file]
