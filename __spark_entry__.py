@@ -559,10 +559,15 @@ def stored_rule_statistics(spark, sf_dir):
 RUNS = "(line_no - 10) div 60000"
 
 
+def _partitions(spark):
+    """As many as shuffles have: runs compress so well that partitions joined by their compressed size would be huge."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query("log_files")
 def log_files(spark, sf_dir):
     path = scratch_path(spark, "logs")
-    ordered = star_tables.log_lines(spark, sf_dir).repartition("file", F.expr(RUNS)).sortWithinPartitions("file", "line_no")
+    ordered = star_tables.log_lines(spark, sf_dir).repartition(_partitions(spark), "file", F.expr(RUNS)).sortWithinPartitions("file", "line_no")
     ordered.select("file", "value").write.partitionBy("file").text(path)
     found = log_records(read_log_lines(spark, path))
     return found.selectExpr("slurm_jobid", "job_id", "rule_name", "array_join(inputs, ',') AS inputs")
@@ -574,7 +579,7 @@ def _write_logs(spark, sf_dir):
     found = star_tables.log_lines(spark, sf_dir)
     for project in oracles.PROJECTS:
         own = found.where(F.col("file") == f"/w/{project}/.snakemake/log/run.log")
-        own.repartition(F.expr(RUNS)).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
+        own.repartition(_partitions(spark), F.expr(RUNS)).sortWithinPartitions("line_no").select("value").write.text(f"{root}/{project}/.snakemake/log")
     return root
 
 
@@ -584,7 +589,7 @@ def _write_growing(spark, sf_dir, folder, whole):
     found = star_tables.log_lines(spark, sf_dir).selectExpr("concat(substr(file, 4, 2), '-', (line_no - 10) div 6000) AS log", "line_no", "value")
     if not whole:
         found = found.where("(line_no - 10) % 6000 < 2000 + hash(log) % 1500")
-    found.repartition("log").sortWithinPartitions("log", "line_no").select("log", "value").write.partitionBy("log").text(place)
+    found.repartition(_partitions(spark), "log").sortWithinPartitions("log", "line_no").select("log", "value").write.partitionBy("log").text(place)
     for name in folders.names(place):
         for part in folders.names(f"{place}/{name}"):
             if part.startswith("part-"):

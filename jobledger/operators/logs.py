@@ -24,6 +24,7 @@ UNCLEAN_PATH = r"//|/\.{1,2}(/|\z)|/\z"
 TELLING_LINE = r"(?i)^(?:\[|rule\s|\s*input\s*:|job\s+\d+\s+has\s)"
 
 CHUNK_LINES = 65536
+PART_LINES = 8192
 
 
 def add_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
@@ -65,50 +66,71 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _latest(column: str, known: str) -> str:
-    """The last known value of a column together with its place in the file."""
-    return f"max(struct(chunk, line_no, {column} AS text)) FILTER (WHERE {known} IS NOT NULL) AS {column}"
+FIELDS = ["slurm_jobid", "job_id", "rule_name", "input_text"]
+END_OF_PART = "following IS NULL"
 
 
-FIELDS = ["slurm_jobid", "job_id", "rule_name", "input_text"]
+def _so_far(column: str, place: str, window: str) -> str:
+    """The last known value of a column up to a row, together with its place."""
+    return f"max(CASE WHEN {column} IS NOT NULL THEN struct({place} AS place, {column} AS text) END) OVER ({window} UNBOUNDED PRECEDING) AS {column}"
+
+
+def _since(column: str, start: str) -> str:
+    """That value if the record that begins at ``start`` has it."""
+    return f"CASE WHEN {start} IS NULL OR {column}.place >= {start} THEN {column}.text END AS {column}"
 
 
 def log_records(lines: DataFrame) -> DataFrame:
     """One row per record that names a job: ``first_line, slurm_jobid, job_id, rule_name, inputs`` (last mention wins).
 
     A record runs from a line that starts one to the next such line; lines before the first belong to none. Lines
-    are grouped into records chunk by chunk, so no task ever has to hold more than one chunk of a file. Only what
-    may go across a chunk border, the open beginning and the last record of each chunk, is then looked at file by
-    file: two rows per chunk.
+    are put in order part by part (some thousand lines of a chunk), and what a record says is known at its last line, so no
+    window holds more than a part and lines are sorted once. Only what may go across a border, the open beginning and the
+    last record of each part, is then looked at file by file: two rows per part. Parts are dealt to as many tasks as
+    shuffles have partitions: their lines compress so well that partitions joined by their compressed size would be huge.
     """
-    in_chunk = "PARTITION BY file, chunk ORDER BY line_no ROWS"
-    marked = marked_lines(lines).selectExpr(
-        "*",
-        f"last(CASE WHEN starts = 1 THEN line_no END, true) OVER ({in_chunk} UNBOUNDED PRECEDING) AS first_line",
-        f"max(CASE WHEN starts = 1 THEN line_no END) OVER ({in_chunk} BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_start",
-    )
-    pieces = marked.groupBy("file", "chunk", "first_line").agg(
-        F.max("last_start").alias("last_start"), *[F.expr(_latest(c, c)) for c in FIELDS]
+    spark = lines.sparkSession
+    part, place = ["file", "chunk", "part"], "line_no"
+    marked = marked_lines(lines).withColumn("part", F.expr(f"{place} div {PART_LINES}"))
+    dealt = marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *part)
+    in_part = f"PARTITION BY {', '.join(part)} ORDER BY {place}"
+    begins = f"CASE WHEN starts = 1 THEN {place} END"
+    pieces = (
+        dealt.selectExpr(
+            *part,
+            f"max({begins}) OVER ({in_part} ROWS UNBOUNDED PRECEDING) AS first_line",
+            f"lead(struct({begins} AS start)) OVER ({in_part}) AS following",
+            *[_so_far(c, place, f"{in_part} ROWS") for c in FIELDS],
+        )
+        # The last line of each piece.
+        .where(f"{END_OF_PART} OR (following.start IS NOT NULL AND NOT following.start <=> first_line)")
+        .selectExpr(*part, "first_line", f"{END_OF_PART} AS ends_part", *[_since(c, "first_line") for c in FIELDS])
     )
-    # Records inside a chunk are windows of their own; those at a border share one per file.
-    border = "CASE WHEN first_line IS NULL OR first_line = last_start THEN -1 ELSE chunk END"
-    owner = f"""last(CASE WHEN first_line IS NOT NULL THEN struct(chunk, first_line) END, true) OVER (
-        PARTITION BY file, {border} ORDER BY chunk, first_line ROWS UNBOUNDED PRECEDING) AS owner"""
-    records = (
-        pieces.selectExpr("file", owner, *FIELDS)
-        .where("owner IS NOT NULL")
-        .groupBy("file", "owner")
-        .agg(*[F.max(c).alias(c) for c in FIELDS])
-        .where("job_id IS NOT NULL")
+    # A record inside a part is complete; pieces at a border are put together per file.
+    inside = pieces.where("first_line IS NOT NULL AND NOT ends_part").drop("part", "ends_part")
+    in_file = "PARTITION BY file ORDER BY chunk, part, first_line"
+    here = "struct(chunk, part, first_line)"
+    start = f"CASE WHEN first_line IS NOT NULL THEN {here} END"
+    across = (
+        pieces.where("first_line IS NULL OR ends_part")
+        .selectExpr(
+            "file",
+            f"max({start}) OVER ({in_file} ROWS UNBOUNDED PRECEDING) AS owner",
+            f"lead(struct({start} AS start)) OVER ({in_file}) AS following",
+            *[_so_far(c, here, f"{in_file} ROWS") for c in FIELDS],
+        )
+        .where(f"owner IS NOT NULL AND ({END_OF_PART} OR following.start IS NOT NULL)")
+        .selectExpr("file", "owner.chunk AS chunk", "owner.first_line AS first_line", *[_since(c, "owner") for c in FIELDS])
     )
-    paths = f"transform(split({_trimmed('input_text.text')}, ','), p -> {_trimmed('p')})"
+    records = inside.unionByName(across).where("job_id IS NOT NULL")
+    paths = f"transform(split({_trimmed('input_text')}, ','), p -> {_trimmed('p')})"
     return records.selectExpr(
         "file",
-        "owner.chunk AS chunk",
-        "owner.first_line AS first_line",
-        "slurm_jobid.text AS slurm_jobid",
-        "job_id.text AS job_id",
-        "coalesce(rule_name.text, '') AS rule_name",
+        "chunk",
+        "first_line",
+        "slurm_jobid",
+        "job_id",
+        "coalesce(rule_name, '') AS rule_name",
         f"coalesce({paths}, array()) AS inputs",
     )
 

@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__ as entry
+from jobledger.operators import logs
 from jobledger.operators.job_state import job_state
 from jobledger.operators.per_job import job_efficiency
 from jobledger.plans import job_state as state_plans
@@ -58,3 +59,23 @@ def test_merges_read_rows_that_were_made_once(spark, tmp_path, monkeypatch):
     folder = tables(spark, tmp_path)
     assert entry.merged_job_state(spark, folder).count() == job_efficiency(star_tables.accounting(spark, folder)).count()
     assert read and not [file for file in read if "lineitem" in file or "orders" in file]
+
+
+def test_records_across_parts(spark, monkeypatch):
+    """Records of 1 to 30 lines, parts of 7 lines, chunks of 50: the same records as in one part; lines are sorted once."""
+    rows, expected, n = [], [], 0
+    for job in range(60):
+        rows.append(("/w/.snakemake/log/a.log", n, "[now]"))
+        first = n
+        for extra in range(job % 30):
+            rows.append(("/w/.snakemake/log/a.log", n + 1 + extra, "    input: old" if extra == 0 else "    input: x" if extra == 20 else "text"))
+        n += 1 + job % 30
+        rows.append(("/w/.snakemake/log/a.log", n, f"Job {job} has been submitted with SLURM jobid {job} (log: l)."))
+        n += 1
+        expected.append((first, str(job), ["x"] if job % 30 > 20 else ["old"] if job % 30 else []))
+    lines = spark.createDataFrame(rows, "file string, line_no long, value string")
+    monkeypatch.setattr(logs, "PART_LINES", 7)
+    records = logs.log_records(logs.add_chunks(lines, 50))
+    got = sorted((r["first_line"], r["slurm_jobid"], r["inputs"]) for r in records.collect())
+    assert got == sorted(expected)
+    assert "SortAggregate" not in records._jdf.queryExecution().sparkPlan().toString()
