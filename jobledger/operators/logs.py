@@ -162,8 +162,11 @@ def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | No
 
     ``manifest`` is (``path``, ``length``) with each path once. Paths of all records are joined at once; the record's
     own fields travel on its first path only, so the exploded rows stay small. A file used by most jobs makes one hot
-    path: AQE splits its join partition, which it can because both sides come straight from their shuffle.
+    path: AQE splits its join partition, which it can because both sides come straight from their shuffle. Joined rows are
+    dealt by record to as many tasks as shuffles have partitions and put in order there: a record's paths lie in different
+    partitions of the join, so nothing is gained by putting them in order before.
     """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     record, carried = ["file", "chunk", "first_line"], ["slurm_jobid", "job_id", "rule_name", "inputs"]
     records = resolve_inputs(log_records(lines), base_folder)
     exploded = records.selectExpr(
@@ -171,6 +174,8 @@ def log_input_sizes(lines: DataFrame, manifest: DataFrame, base_folder: str | No
     ).selectExpr(*record, "path", *[f"CASE WHEN coalesce(place, 0) = 0 THEN {c} END AS {c}" for c in carried])
     return (
         exploded.join(manifest, "path", "left")
+        .select(*record, "length", *carried)
+        .repartition(parts, *record)
         .groupBy(*record)
         .agg(F.expr("coalesce(sum(length), 0L) AS input_size_bytes"), *[F.max(c).alias(c) for c in carried])
         .select("slurm_jobid", "job_id", "rule_name", "input_size_bytes", "inputs")

@@ -79,3 +79,12 @@ def test_records_across_parts(spark, monkeypatch):
     got = sorted((r["first_line"], r["slurm_jobid"], r["inputs"]) for r in records.collect())
     assert got == sorted(expected)
     assert "SortAggregate" not in records._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_joined_rows_of_records_are_not_put_together_by_compressed_size(spark):
+    """Rows of few bytes, of which adaptive execution would make one task: they are dealt by record to all tasks."""
+    rows = [("/w/.snakemake/log/a.log", 3 * n + i, text) for n in range(20) for i, text in enumerate(("[now]", " input: a, b", f"Job {n} has been submitted with SLURM jobid {n} (log: l)."))]
+    lines = logs.add_chunks(spark.createDataFrame(rows, "file string, line_no long, value string"))
+    sizes = logs.log_input_sizes(lines, spark.createDataFrame([("/w/a", 2), ("/w/b", 3)], "path string, length long"))
+    assert sorted((int(r["job_id"]), r["input_size_bytes"], r["inputs"]) for r in sizes.collect()) == [(n, 5, "/w/a,/w/b") for n in range(20)]
+    assert sizes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
