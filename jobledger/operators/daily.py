@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobledger.functions.parsing import gigabytes, seconds_between
 from jobledger.operators.joining import join_on
 from jobledger.operators.per_job import with_expressions
-from jobledger.operators.quantiles import quantiles_of_frequencies, unpivoted_frequencies
+from jobledger.operators.quantiles import Keep, quantiles_of_frequencies, unkept, unpivoted_frequencies
 from jobledger.operators.timecols import END, START, SUBMIT, add_daily_duration, add_job_duration, add_wait_time, date_literal
 from jobledger.schema import DAILY_METRICS, DEFAULT_CAPACITY
 
@@ -51,9 +51,9 @@ def _both_scopes(df: DataFrame) -> DataFrame:
     return df.selectExpr("dt", BOTH_SCOPES, *[c for c in df.columns if c not in SCOPE])
 
 
-def _medians(facts: DataFrame) -> DataFrame:
-    freq = _both_scopes(unpivoted_frequencies(facts, ["dt", "QOS"], TIMES))
-    medians = quantiles_of_frequencies(freq, [*SCOPE, "measure"], {"median": 0.5})
+def _medians(facts: DataFrame, keep: Keep) -> DataFrame:
+    freq = _both_scopes(keep(time_counts(facts)))
+    medians = quantiles_of_frequencies(freq, [*SCOPE, "measure"], {"median": 0.5}, keep=keep)
     return medians.groupBy(*SCOPE).agg(
         *[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in TIMES]
     )
@@ -84,10 +84,11 @@ def needs_medians(names: list[str] | None) -> bool:
     return names is None or any(n.endswith("_median") for n in names)
 
 
-def metrics_of_facts(facts: DataFrame, capacity: dict | None = None, names: list[str] | None = None) -> DataFrame:
+def metrics_of_facts(facts: DataFrame, capacity: dict | None = None, names: list[str] | None = None, keep: Keep = unkept) -> DataFrame:
     """All metrics for all days in ``facts``: (``dt``, ``scope``, ``QOS``, 19 metrics, ``jobs_ended_on_day``), or ``names`` of them.
 
-    For medians ``facts`` is read twice, so pass a persisted or stored frame. Totals are aggregated per QOS
+    For medians ``facts`` is read twice, so pass a persisted or stored frame; ``keep`` (``Held.keep``) keeps the counts
+    that medians are taken from. Totals are aggregated per QOS
     and the cluster line is added up from those, so no job row is expanded before the first aggregation.
 
     ``jobs_ended`` counts jobs that *started* on the day, like ``jobs_started``; this is the reported metric.
@@ -120,7 +121,7 @@ def metrics_of_facts(facts: DataFrame, capacity: dict | None = None, names: list
     }
     complete = with_expressions(totals, derived)
     if needs_medians(names):
-        complete = join_on(complete, _medians(facts), SCOPE, "left")
+        complete = join_on(complete, _medians(facts, keep), SCOPE, "left")
     return complete.select(*SCOPE, *(names or [*DAILY_METRICS, "jobs_ended_on_day"]))
 
 

@@ -16,12 +16,20 @@ The result is exact: buckets only decide which values are looked at, ranks are c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.operators.joining import join_on
 
 STEPS = 4096
+# What keeps a frame that is read several times, as ``Held.keep`` does.
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def unkept(df: DataFrame) -> DataFrame:
+    return df
 
 
 def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -69,8 +77,12 @@ def _counted_before(keys: list[str], order: str) -> str:
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"""
 
 
-def values_to_rank(freq: DataFrame, keys: list[str], wanted: str) -> DataFrame:
-    """The values near the wanted ranks, with ``n``, ``total`` and how many values lie before them and were left out."""
+def values_to_rank(freq: DataFrame, keys: list[str], wanted: str, keep: Keep = unkept) -> DataFrame:
+    """The values near the wanted ranks, with ``n``, ``total`` and how many values lie before them and were left out.
+
+    ``freq`` is read for the buckets and for the values in them; these are read twice, which ``keep`` saves. A group has a few
+    wanted buckets, so a task makes a hash table of those it gets and need not sort the values.
+    """
     group = ", ".join(keys)
     values = freq.selectExpr(*keys, "value", "n", f"{BUCKET} AS bucket")
     # ``skipped`` counts what lies before a wanted bucket and in no other wanted one, so that the totals below,
@@ -86,7 +98,8 @@ def values_to_rank(freq: DataFrame, keys: list[str], wanted: str) -> DataFrame:
         .where(wanted)
         .selectExpr(*keys, "bucket", "low", "high", "total", f"before - {_counted_before(keys, 'bucket')} AS skipped")
     )
-    inside = join_on(values, buckets, [*keys, "bucket"]).selectExpr(*keys, "value", "n", "bucket", f"{PART} AS part", "total", "skipped")
+    found = join_on(values, buckets.hint("shuffle_hash"), [*keys, "bucket"])
+    inside = keep(found.selectExpr(*keys, "value", "n", "bucket", f"{PART} AS part", "total", "skipped"))
     order = "bucket, part"
     parts = (
         inside.groupBy(*keys, "bucket", "part", "total", "skipped")
@@ -98,16 +111,19 @@ def values_to_rank(freq: DataFrame, keys: list[str], wanted: str) -> DataFrame:
     return join_on(inside, parts, [*keys, "bucket", "part"]).select(*keys, "value", "n", "total", "skipped_more")
 
 
-def quantiles_of_frequencies(freq: DataFrame, keys: list[str], probabilities: dict[str, float], method: str = "linear") -> DataFrame:
+def quantiles_of_frequencies(
+    freq: DataFrame, keys: list[str], probabilities: dict[str, float], method: str = "linear", keep: Keep = unkept
+) -> DataFrame:
     """One row per group: the keys, ``count`` and one column per entry of ``probabilities``.
 
     ``freq`` has the keys, ``value`` and ``n``; a value may come in several rows. ``linear`` interpolates at rank
-    ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based.
+    ``p (n-1)`` (SQL ``percentile``), ``hazen`` at ``p n - 1/2``, zero-based. With ``keep`` (``Held.keep``) ``freq`` is read
+    twice, without it four times: Spark does not share the shuffles above a persisted frame.
     """
     positions = {name: _position(p, method) for name, p in probabilities.items()}
     wanted = " OR ".join(f"{_holds(f'floor({p})')} OR {_holds(f'ceil({p})')}" for p in positions.values())
     ranked = (
-        values_to_rank(freq, keys, wanted)
+        values_to_rank(freq, keys, wanted, keep)
         .selectExpr(*keys, "value", "n", "total", f"skipped_more + {_counted_before(keys, 'value')} AS before")
         .where(wanted)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobledger.functions.arithmetic import max_number, min_number
 from jobledger.functions.display import band_colour, table_number
 from jobledger.operators.joining import join_on
-from jobledger.operators.quantiles import quantiles_of_frequencies, unpivoted_frequencies
+from jobledger.operators.quantiles import Keep, quantiles_of_frequencies, unkept, unpivoted_frequencies
 from jobledger.schema import BANDED_HEADINGS, RULE_HEADING, RULE_TABLES
 
 KEY = "rule_name"
@@ -45,14 +45,16 @@ def _moments(measure: str) -> list[str]:
     ]
 
 
-def rule_statistics(runs: DataFrame, measures: list[str], texts: bool = True) -> DataFrame:
+def rule_statistics(runs: DataFrame, measures: list[str], texts: bool = True, keep: Keep = unkept) -> DataFrame:
     """Mean, median, deviation, minimum and maximum of each measure per rule, and some texts.
 
-    ``runs`` is read for moments, medians and texts: pass a persisted or stored frame.
+    ``runs`` is read for moments, medians and texts: pass a persisted or stored frame. ``keep`` (``Held.keep``) keeps the
+    counted values of the medians, which are read twice.
     """
     moments = runs.groupBy(KEY).agg(*[F.expr(e) for m in measures for e in _moments(m)])
+    counted = keep(unpivoted_frequencies(runs, [KEY], measures))
     medians = (
-        quantiles_of_frequencies(unpivoted_frequencies(runs, [KEY], measures), [KEY, "measure"], {"median": 0.5})
+        quantiles_of_frequencies(counted, [KEY, "measure"], {"median": 0.5}, keep=keep)
         .groupBy(KEY)
         .agg(*[F.expr(f"max(median) FILTER (WHERE measure = '{m}') AS {m}_median") for m in measures])
     )

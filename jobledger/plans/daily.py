@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobledger.operators.calendar import calendar, calendar_summary
 from jobledger.operators.daily import for_day, job_facts, metrics_of_facts, needs_medians, period_medians, time_counts
 from jobledger.operators.per_job import job_efficiency
+from jobledger.operators.quantiles import unkept
 from jobledger.operators.timecols import date_literal
 from jobledger.plans.held import Held
 from jobledger.sources.metrics import read_metrics, write_metrics, write_metrics_json
@@ -26,7 +27,7 @@ def daily_metrics(rows: DataFrame, day: str | dt.date, capacity: dict | None = N
 
     With ``held`` the facts are computed once and kept until the caller closes it; without, each part computes its own.
     """
-    return metrics_of_facts(_facts(for_day(job_efficiency(rows), day), held, None), capacity)
+    return metrics_of_facts(_facts(for_day(job_efficiency(rows), day), held, None), capacity, keep=held.keep if held else unkept)
 
 
 def daily_metrics_range(
@@ -46,7 +47,7 @@ def daily_metrics_range(
         rows = rows.where(f"dt >= {date_literal(first)}")
     if last is not None:
         rows = rows.where(f"dt <= {date_literal(last)}")
-    return metrics_of_facts(_facts(job_efficiency(rows, keys=["dt", "JobRoot"]), held, names), capacity, names)
+    return metrics_of_facts(_facts(job_efficiency(rows, keys=["dt", "JobRoot"]), held, names), capacity, names, held.keep if held else unkept)
 
 
 def store_time_counts(rows: DataFrame, path: str) -> None:

@@ -86,7 +86,7 @@ def rule_efficiency(
         runs = rows.sparkSession.read.parquet(output)
     held = Held()
     measured = held.keep(_narrow(runs, measures))
-    statistics = held.keep(rule_statistics(measured, measures, texts))
+    statistics = held.keep(rule_statistics(measured, measures, texts, held.keep))
     return RuleReport(runs, measured, statistics, measures, box_method, held)
 
 

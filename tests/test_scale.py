@@ -3,10 +3,11 @@
 import re
 
 import __spark_entry__ as entry
-from jobledger.operators import logs
+from jobledger.operators import logs, rules
 from jobledger.operators.job_state import job_state
 from jobledger.operators.per_job import job_efficiency
 from jobledger.plans import job_state as state_plans
+from jobledger.plans.held import Held
 from jobledger.sources import star_tables
 
 # HotSpot interprets larger methods for ever.
@@ -88,3 +89,12 @@ def test_joined_rows_of_records_are_not_put_together_by_compressed_size(spark):
     sizes = logs.log_input_sizes(lines, spark.createDataFrame([("/w/a", 2), ("/w/b", 3)], "path string, length long"))
     assert sorted((int(r["job_id"]), r["input_size_bytes"], r["inputs"]) for r in sizes.collect()) == [(n, 5, "/w/a,/w/b") for n in range(20)]
     assert sizes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_counted_values_are_kept(spark):
+    """With ``keep`` the rows are counted once and values near a rank are found once; results stay the same."""
+    runs = spark.range(1000).selectExpr("concat('r', id % 3) AS rule_name", "CAST(id % 77 AS double) AS a", "CAST(id AS double) / 3 AS b")
+    with Held() as held:
+        kept = rules.rule_statistics(runs, ["a", "b"], texts=False, keep=held.keep)
+        assert len(held.frames) == 2
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rules.rule_statistics(runs, ["a", "b"], texts=False).collect()))
