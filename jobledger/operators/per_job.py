@@ -68,6 +68,8 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
     without a job number) reaches the shuffle as one row per task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    # A text and its place are one buffer: Spark copies buffers for every row, and with ``min_by`` a text would have two.
+    place = f"{ORDER} AS place" if order else f"{ORDER}.k0, {ORDER}.k1"
     aggregates = []
     for field in df.schema.fields:
         name = f"`{field.name}`"
@@ -76,7 +78,7 @@ def aggregate_per_job(df: DataFrame, keys: list[str] | str = "JobRoot", order: s
         if isinstance(field.dataType, (LongType, DoubleType)):
             aggregates.append(F.expr(f"max({name})").alias(field.name))
         elif isinstance(field.dataType, StringType):
-            first = f"min_by({name}, CASE WHEN {name} IS NOT NULL THEN {ORDER} END)"
+            first = f"min(CASE WHEN {name} IS NOT NULL AND {ORDER} IS NOT NULL THEN struct({place}, {name} AS text) END).text"
             aggregates.append(F.expr(first).alias(field.name))
         else:
             raise TypeError(f"{field.name} has type {field.dataType.simpleString()}, expected bigint, double or string")

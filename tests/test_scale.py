@@ -98,3 +98,10 @@ def test_counted_values_are_kept(spark):
         kept = rules.rule_statistics(runs, ["a", "b"], texts=False, keep=held.keep)
         assert len(held.frames) == 2
         assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rules.rule_statistics(runs, ["a", "b"], texts=False).collect()))
+
+
+def test_a_text_and_its_place_are_one_buffer(spark, accounting):
+    rows = accounting({"JobID": "1.0", "State": "late"}, {"JobID": "1"}, {"JobID": "1.batch", "State": "first"}, {"JobID": "1.0", "State": "also late"})
+    jobs = job_efficiency(rows)
+    assert [r["State"] for r in jobs.collect()] == ["first"]
+    assert "min_by" not in jobs._jdf.queryExecution().analyzed().toString()
